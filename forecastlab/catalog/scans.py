@@ -1,0 +1,28 @@
+from forecastlab.catalog.registry import check
+
+@check("_units","SELECT * FROM v_units")
+def _(lab): return lab.units
+@check("_fw","SELECT * FROM v_forecast_wide")
+def _(lab): return lab.forecast_wide
+@check("_f","SELECT * FROM v_forecast")
+def _(lab): return lab.forecast
+@check("_now","SELECT * FROM v_nowcast")
+def _(lab): return lab.nowcast
+@check("_up","SELECT * FROM v_unit_power")
+def _(lab): return lab.unit_power
+@check("_ap","SELECT * FROM v_area_power")
+def _(lab): return lab.area_power
+@check("_h","SELECT * FROM v_hourly")
+def _(lab): return lab.hourly
+@check("_hw","SELECT * FROM v_hourly_wide")
+def _(lab): return lab.hourly_wide
+@check("_lp","SELECT * FROM v_local_pred")
+def _(lab): return lab.local_pred
+@check("_out","SELECT * FROM v_outage")
+def _(lab): return lab.outages
+@check("_tr","SELECT * FROM v_transmission")
+def _(lab): return lab.transmission
+@check("_ra","SELECT * FROM v_raster")
+def _(lab): return lab.raster
+@check("_po","SELECT * FROM v_points")
+def _(lab): return lab.points
