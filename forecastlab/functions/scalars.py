@@ -36,8 +36,8 @@ def offset_to_utc(x: Column | str, hours: int) -> Column:
 
 def lead_hours(time: Column | str, time_ref: Column | str) -> Column:
     """Whole hours from issue to valid time, truncated toward zero."""
-    seconds = F.unix_seconds(_c(time)) - F.unix_seconds(_c(time_ref))
-    return F.when(seconds >= 0, F.floor(seconds / 3600)).otherwise(F.ceil(seconds / 3600)).cast("long")
+    micros = F.unix_micros(_c(time)) - F.unix_micros(_c(time_ref))
+    return (micros / 3_600_000_000).cast("long")
 
 
 def add_hours(time: Column | str, hours: Column | str | int) -> Column:

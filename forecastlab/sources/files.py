@@ -101,9 +101,13 @@ def unit_power_long(raw: DataFrame, after: str = "2020-01-01", offset_hours: int
     )
 
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of installations, with the register's column names mapped to ours."""
-    return register_columns(spark.read.schema(schemas.REGISTER).option("multiLine", True).json(path))
+def read_register(spark: SparkSession, path: str, one_array: bool = True) -> DataFrame:
+    """JSON array of installations, with the register's column names mapped to ours.
+
+    ``one_array=False`` reads files with one array per line, which Spark can split.
+    """
+    reader = spark.read.schema(schemas.REGISTER).option("multiLine", one_array)
+    return register_columns(reader.json(path))
 
 
 def register_columns(raw: DataFrame) -> DataFrame:
@@ -132,17 +136,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_best_params(spark: SparkSession, path: str, study: str, params: dict[str, object], rmse: float) -> None:
-    """Chosen hyper-parameters of one study, appended to a small table."""
-    row = [(study, {k: str(v) for k, v in params.items()}, float(rmse))]
-    spark.createDataFrame(row, "study string, params map<string,string>, rmse double").write.mode(
-        "append"
-    ).parquet(path)
+def write_best_params(trials: DataFrame, path: str) -> None:
+    """Append the best of each study's trials ``(study, params map<string,string>, rmse)``."""
+    best = trials.groupBy("study").agg(
+        F.min_by("params", F.struct("rmse", F.map_entries("params"))).alias("params"), F.min("rmse").alias("rmse")
+    )
+    best.write.mode("append").parquet(path)
 
 
-def read_best_params(spark: SparkSession, path: str, study: str) -> DataFrame:
-    """Stored parameters of a study; the lowest error wins when it was tuned more than once."""
+def read_best_params(spark: SparkSession, path: str, study: str | None = None) -> DataFrame:
+    """Stored parameters; the lowest error wins when a study was tuned more than once."""
     stored = spark.read.schema("study string, params map<string,string>, rmse double").parquet(path)
-    return stored.filter(F.col("study") == study).groupBy("study").agg(
-        F.min_by("params", "rmse").alias("params"), F.min("rmse").alias("rmse")
-    )
+    if study is not None:
+        stored = stored.filter(F.col("study") == study)
+    return stored.groupBy("study").agg(F.min_by("params", "rmse").alias("params"), F.min("rmse").alias("rmse"))
