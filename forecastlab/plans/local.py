@@ -88,12 +88,16 @@ def unit_grid(units: DataFrame, times: DataFrame) -> DataFrame:
     return dense_grid(units, times).filter(F.col("time_ref") > F.col("production_start_date"))
 
 
-def alignment_window():
-    """Rows of one unit, issue time and member in order of lead time.
+def station_alignment(forecast: DataFrame) -> DataFrame:
+    """Forecast with ``alignment_10m``, the alignment of the 10 m wind over neighbouring lead times.
 
-    The member is part of the partition, so a frame never mixes members of equal lead time.
+    Speed at hub height is the 10 m speed times a factor of the unit alone, so the alignment at hub
+    height is this one times the same factor. Computing it per station keeps the window off the
+    unit rows, which are wider and more. The member is part of the partition, so a frame never mixes
+    members of equal lead time.
     """
-    return Window.partitionBy("time_ref", "windpark_nve_id", "em").orderBy("lt")
+    window = Window.partitionBy("windpark_statnet", "time_ref", "em").orderBy("lt")
+    return forecast.withColumn("alignment_10m", physics.wind_alignment("ws10m", window))
 
 
 def local_dataset(
@@ -109,7 +113,7 @@ def local_dataset(
     cells = grid.join(unit_power.select("windpark_nve_id", "time", "local_power"), ["windpark_nve_id", "time"], "left")
     cells = with_outages(cells, outages)
     cells = cells.join(nowcast_features(nowcast, leak_free), ["windpark_statnet", "time_ref"], "left")
-    rows = cells.join(forecast, ["windpark_statnet", "time_ref", "time"], "left")
+    rows = cells.join(station_alignment(forecast), ["windpark_statnet", "time_ref", "time"], "left")
     rows = rows.withColumns(
         {
             "gust_factor": physics.gust_factor(),
@@ -118,7 +122,7 @@ def local_dataset(
             **seasons.area_dummies(),
             "local_relative_power": ratio("local_power", "operating_power_max"),
             "windpark": F.col("windpark_nve"),
+            "wind_alignment": physics.hub_speed("alignment_10m"),
         }
     )
-    rows = rows.withColumn("wind_alignment", physics.wind_alignment("wshh", alignment_window()))
     return rows.select(*KEYS, *[F.col(f"`{c}`") for c in LOCAL_FEATURES])
