@@ -1 +1,261 @@
+"""Feature functions and data sets (survey 2.9)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from forecastlab.catalog.joins import area_cells, unit_cells
+from forecastlab.catalog.registry import check
+from forecastlab.catalog.rows import SEASON_SQL, r6, rounded
+from forecastlab.catalog.views import HUB_AIR
+from forecastlab.catalog.windows import geo_sites
+from forecastlab.functions import physics, seasons
+from forecastlab.functions.scalars import ratio
+from forecastlab.operators.reshape import bilinear
+from forecastlab.plans import area, design, local, units
+from forecastlab.sources.files import register_columns
+
+SITE = ["windpark_nve_id", "time_ref", "lt"]
+
+
+def site_first(lab):
+    """Member 0 of the forecast at each unit, under the plain variable names."""
+    plain = {f"{v}_00": v for v in ("ws10m", "wd10m", "t2m", "rh2m", "mslp", "g10m")}
+    first = lab.forecast_wide.select(
+        F.col("sid").alias("windpark_statnet"), "time_ref", "time", "lt", *[F.col(c).alias(v) for c, v in plain.items()]
+    )
+    return first.join(
+        lab.units.select("windpark_nve_id", "windpark_statnet", "mean_hub_height", "elevation"), "windpark_statnet"
+    )
+
+
+@check("feat_hub_speed", """
+SELECT windpark_nve_id, time_ref, lt, round(ws10m * pow(mean_hub_height / 10, 0.143), 6) AS wshh FROM v_site_first""")
+def _(lab):
+    return site_first(lab).select(*SITE, r6(physics.hub_speed()).alias("wshh"))
+
+
+@check("feat_hub_air", f"""
+SELECT windpark_nve_id, time_ref, lt, round(wshh, 6) AS wshh, round(adhh, 6) AS adhh, round(phh, 3) AS phh,
+       round(wind_power_density, 4) AS wind_power_density
+FROM ({HUB_AIR.format(source='v_site_first')})""")
+def _(lab):
+    digits = {"wshh": 6, "adhh": 6, "phh": 3, "wind_power_density": 4}
+    return site_first(lab).select(*SITE, *[F.round(c, digits[n]).alias(n) for n, c in physics.hub_air().items()])
+
+
+@check("feat_air_density", "SELECT sid, time_ref, lt, round(mslp_00 / (273.15 + t2m_00), 6) AS air_density FROM v_forecast_wide")
+def _(lab):
+    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(physics.air_density("mslp_00", "t2m_00")).alias("air_density"))
+
+
+@check("feat_power_density", """
+SELECT sid, time_ref, lt, round(mslp_14 / (273.15 + t2m_14) * pow(least(greatest(ws10m_14, 0), 20), 3), 6) AS wind_power_density FROM v_forecast_wide""")
+def _(lab):
+    density = physics.power_density(physics.air_density("mslp_14", "t2m_14"), "ws10m_14")
+    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(density).alias("wind_power_density"))
+
+
+@check("feat_vector_xy", """
+SELECT sid, time_ref, lt, round(ws10m_14 * cos(2 * pi() * wd10m_14 / 360), 6) AS wind_x, round(ws10m_14 * sin(2 * pi() * wd10m_14 / 360), 6) AS wind_y
+FROM v_forecast_wide""")
+def _(lab):
+    return lab.forecast_wide.select(
+        "sid", "time_ref", "lt", r6(physics.wind_x("ws10m_14", "wd10m_14")).alias("wind_x"),
+        r6(physics.wind_y("ws10m_14", "wd10m_14")).alias("wind_y"),
+    )
+
+
+@check("feat_gust_factor", "SELECT sid, time_ref, lt, round(g10m_14 / nullif(ws10m_14, 0), 6) AS gust_factor FROM v_forecast_wide")
+def _(lab):
+    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(physics.gust_factor("g10m_14", "ws10m_14")).alias("gust_factor"))
+
+
+@check("feat_alignment", """
+SELECT windpark_nve_id, time_ref, lt, round(sqrt(pow(avg(s * cos(2 * pi() * wd10m / 360)) OVER w, 2) + pow(avg(s * sin(2 * pi() * wd10m / 360)) OVER w, 2)), 6) AS wind_alignment
+FROM (SELECT *, ws10m * pow(mean_hub_height / 10, 0.143) AS s FROM v_site_first)
+WINDOW w AS (PARTITION BY time_ref, windpark_nve_id ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def _(lab):
+    rows = site_first(lab).withColumn("wshh", physics.hub_speed())
+    window = Window.partitionBy("time_ref", "windpark_nve_id").orderBy("lt")
+    return rows.select(*SITE, r6(physics.wind_alignment("wshh", window)).alias("wind_alignment"))
+
+
+@check("feat_season", f"SELECT time, bidding_area, {SEASON_SQL} FROM v_hourly")
+def _(lab):
+    return lab.hourly.drop("power").withColumns(rounded(seasons.season()))
+
+
+NOWCAST_FEATURES = [
+    "now_air_temperature_2m", "now_air_pressure_at_sea_level", "now_relative_humidity_2m", "now_precipitation_amount",
+    "now_wind_speed_10m", "now_wind_direction_10m", "now_air_density", "location_mean_ws", "now_wind_alignment",
+    "now_wind_power_density",
+]
+
+
+@check("feat_nowcast", "SELECT windpark_statnet, time_ref, "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in NOWCAST_FEATURES) + " FROM v_nowcast_feat")
+def _(lab):
+    features = local.nowcast_features(lab.nowcast)
+    return features.select("windpark_statnet", "time_ref", *[r6(c).alias(c) for c in NOWCAST_FEATURES])
+
+
+@check("feat_outage", """
+SELECT windpark_nve_id, time_ref, time, round(coalesce(unavailable_capacity, 0), 6) AS unavailable_capacity
+FROM v_unit_cell LEFT JOIN v_unit_share USING (windpark_nve_id, time_ref, time)""")
+def _(lab):
+    return local.with_outages(unit_cells(lab), lab.outages).withColumn("unavailable_capacity", r6("unavailable_capacity"))
+
+
+@check("feat_transmission", """
+SELECT time_ref, time, bidding_area, coalesce(unplannedEvent, false) AS unplannedEvent, round(coalesce(unavailable_transmission, 0), 6) AS unavailable_transmission
+FROM v_area_cell LEFT JOIN v_area_share USING (time_ref, time, bidding_area)""")
+def _(lab):
+    from forecastlab.sources.messages import page_items, transmission_outages
+
+    landed = transmission_outages(page_items(lab.pages), after="1995-06-01")
+    return area.with_transmission(area_cells(lab), landed).withColumn(
+        "unavailable_transmission", r6("unavailable_transmission")
+    )
+
+
+@check("feat_relative_power", """
+SELECT time, bidding_area, operating_power_max, round(relative_power, 6) AS relative_power FROM v_relative""")
+def _(lab):
+    return area.relative_power(lab.area_power, lab.units).select(
+        "time", "bidding_area", "operating_power_max", r6("relative_power").alias("relative_power")
+    )
+
+
+RECENT = ["last_power", "recent_mean", "recent_max", "recent_min", "recent_std", "ramp", "recent_range"]
+
+
+@check("feat_recent_block", "SELECT bidding_area, time AS time_ref, " + ", ".join(f"round({c}, 6) AS {c}" for c in RECENT) + " FROM v_recent")
+def _(lab):
+    block = area.recent_block(area.relative_power(lab.area_power, lab.units))
+    return block.select("bidding_area", F.col("time").alias("time_ref"), *[r6(c).alias(c) for c in RECENT])
+
+
+LOCAL_SQL = f"""
+WITH v_grid AS (
+  SELECT * FROM v_units CROSS JOIN (SELECT DISTINCT time_ref, time FROM v_forecast_wide) WHERE time_ref > production_start_date),
+v_cell AS (
+  SELECT g.*, p.local_power, coalesce(s.unavailable_capacity, 0) AS unavailable_capacity, n.* EXCLUDE (windpark_statnet, time_ref)
+  FROM v_grid g LEFT JOIN v_unit_power p USING (windpark_nve_id, time)
+       LEFT JOIN (SELECT c.windpark_nve_id, c.time_ref, c.time, sum(o.unavailableCapacity) / sum(o.installedCapacity) AS unavailable_capacity
+                  FROM v_grid c JOIN v_outage o USING (windpark_nve_id)
+                  WHERE c.time_ref > o.publicationDate AND c.time >= o.eventStart AND c.time <= o.eventStop GROUP BY 1, 2, 3) s
+         USING (windpark_nve_id, time_ref, time)
+       LEFT JOIN v_nowcast_feat n ON n.windpark_statnet = g.windpark_statnet AND n.time_ref = g.time_ref),
+v_row AS (
+  SELECT c.*, f.lt, f.em, f.ws10m, f.wd10m, f.t2m, f.rh2m, f.mslp, f.g10m
+  FROM v_cell c LEFT JOIN v_forecast f ON f.windpark_statnet = c.windpark_statnet AND f.time_ref = c.time_ref AND f.time = c.time),
+v_dataset AS (
+  SELECT *, g10m / nullif(ws10m, 0) AS gust_factor, local_power / operating_power_max AS local_relative_power, {SEASON_SQL},
+         sqrt(pow(avg(wshh * cos(2 * pi() * wd10m / 360)) OVER w, 2) + pow(avg(wshh * sin(2 * pi() * wd10m / 360)) OVER w, 2)) AS wind_alignment
+  FROM ({HUB_AIR.format(source='v_row')})
+  WINDOW w AS (PARTITION BY time_ref, windpark_nve_id, em ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+LOCAL_NUMBERS = [c for c in local.LOCAL_FEATURES if not c.startswith("ELSPOT")] + [
+    "local_power", "local_relative_power", "operating_power_max", "mean_production", "num_turbines"
+]
+
+
+@check("feat_local_dataset", LOCAL_SQL + """
+SELECT year(time_ref) AS year, bidding_area, em, count(*) AS n, count(local_power) AS n_power, count(DISTINCT windpark_nve) AS n_units, """
+       + ", ".join(f"round(avg({c}), 4) AS {c}" for c in LOCAL_NUMBERS)
+       + ", " + ", ".join(f"bool_or(bidding_area = 'ELSPOT NO{k}') AS is_no{k}" for k in range(1, 5))
+       + " FROM v_dataset GROUP BY 1, 2, 3")
+def _(lab):
+    # The table has one row per unit, valid time and member; its profile is what is compared.
+    table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
+    for c in ("sin_hod", "cos_hod", "sin_doy", "cos_doy"):
+        table = table.withColumn(c, r6(c))
+    return table.groupBy(F.year("time_ref").alias("year"), "bidding_area", "em").agg(
+        F.count(F.lit(1)).alias("n"), F.count("local_power").alias("n_power"), F.countDistinct("windpark").alias("n_units"),
+        *[F.round(F.avg(c), 4).alias(c) for c in LOCAL_NUMBERS],
+        *[F.bool_or(f"`ELSPOT NO{k}`").alias(f"is_no{k}") for k in range(1, 5)],
+    )
+
+
+AREA_NUMBERS = [
+    c for c in [*area.KEYS, *area.AREA_FEATURES, *area.EMOS_FEATURES]
+    if c not in ("time_ref", "time", "bidding_area", "lt", "unplannedEvent")
+]
+
+
+def area_table(lab, compat=False):
+    return area.area_dataset(lab.local_pred, lab.area_power, lab.units, lab.transmission, compat)
+
+
+@check("feat_area_dataset", "SELECT time_ref, time, bidding_area, lt, unplannedEvent, "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in AREA_NUMBERS) + " FROM v_area_dataset")
+def _(lab):
+    return area_table(lab).select(
+        "time_ref", "time", "bidding_area", "lt", "unplannedEvent", *[r6(F.col(c).cast("double")).alias(c) for c in AREA_NUMBERS]
+    )
+
+
+@check("feat_emos_mean_design", "SELECT time_ref, time, bidding_area, CAST(1 AS DOUBLE) AS intercept, "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in design.WIDER_MEAN_COLUMNS) + " FROM v_area_dataset")
+def _(lab):
+    columns = design.mean_design(design.WIDER_MEAN_COLUMNS)
+    return area_table(lab).select("time_ref", "time", "bidding_area", *[r6(c).alias(n) for n, c in columns.items()])
+
+
+@check("feat_emos_spread_design", """
+SELECT time_ref, time, bidding_area, CAST(1 AS DOUBLE) AS intercept, round(ln(greatest(std_sum_pred, 1e-6)), 5) AS log_std_sum_pred,
+       round((lt - 39) / 23, 5) AS lt, round(mean_sum_pred, 5) AS mean_sum_pred,
+       round(ln(greatest(max_sum_pred - min_sum_pred, 1e-6)), 5) AS log_range_pred,
+       round(CASE WHEN recent_std IS NOT NULL THEN ln(greatest(recent_std, 1e-6)) END, 5) AS log_recent_std,
+       round(CASE WHEN ramp IS NOT NULL THEN ln(greatest(abs(ramp), 1e-6)) END, 5) AS log_ramp, round(unavailable_transmission, 5) AS unavailable_transmission
+FROM v_area_dataset""")
+def _(lab):
+    return area_table(lab).select(
+        "time_ref", "time", "bidding_area", *[F.round(c, 5).alias(n) for n, c in design.spread_design().items()]
+    )
+
+
+def enriched(lab):
+    sites = units.unit_sites(geo_sites(lab), lab.lookup)
+    geo = units.site_features(sites, lab.raster, lab.raster)
+    return units.enriched_units(lab.lookup, register_columns(lab.register), geo, lab.unit_power)
+
+
+SAMPLED_SQL = """
+SELECT windpark_nve_id, CASE WHEN count(value) = count(*) THEN sum(value * weight) END AS value FROM (
+  SELECT p.windpark_nve_id, c.value, p.weight FROM (
+    SELECT windpark_nve_id, floor(x) + dx AS ix, floor(y) + dy AS iy,
+           (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS weight
+    FROM {points}, generate_series(0, 1) AS g(dx), generate_series(0, 1) AS h(dy)) p
+  LEFT JOIN v_raster c ON c.ix = p.ix AND c.iy = p.iy WHERE weight > 0) GROUP BY 1"""
+
+SHIFTED = "(SELECT windpark_nve_id, CASE WHEN windpark_nve_id % 3 = 0 THEN x + 1 ELSE x END AS x, y FROM v_points)"
+
+
+@check("feat_raster_bilinear", f"SELECT windpark_nve_id, round(value, 6) AS value FROM ({SAMPLED_SQL.format(points='v_points')})")
+def _(lab):
+    return bilinear(lab.points, lab.raster, "windpark_nve_id").withColumn("value", r6("value"))
+
+
+@check("feat_unit_enrich", f"""
+SELECT r.windpark_nve_id, r.windpark_nve, r.windpark_statnet, r.bidding_area, r.bidding_area AS province, r.windpark_statnet AS county,
+       r.production_start_date, r.operating_power_max AS reported_operating_power_max,
+       greatest(r.operating_power_max, coalesce(m.top, 0)) AS operating_power_max,
+       round(coalesce(r.hub, (SELECT avg(hub) FROM v_register)), 6) AS mean_hub_height, r.mean_production, r.mean_rotor_diameter,
+       r.num_turbines, round(s.value, 6) AS elevation, round(coalesce(s.value, 0), 6) AS ruggedness
+FROM v_register r LEFT JOIN ({SAMPLED_SQL.format(points=SHIFTED)}) s USING (windpark_nve_id)
+     LEFT JOIN (SELECT windpark_nve_id, max(local_power) AS top FROM v_unit_power GROUP BY 1) m USING (windpark_nve_id)""")
+def _(lab):
+    return enriched(lab).withColumns({c: r6(c) for c in ("mean_hub_height", "elevation", "ruggedness")})
+
+
+@check("feat_standardize", """
+SELECT sid, time_ref, lt, round((ws10m_00 - m.a) / m.b, 6) AS ws10m_00, round((mslp_00 - m.c) / m.d, 6) AS mslp_00
+FROM v_forecast_wide, (SELECT avg(ws10m_00) AS a, stddev_samp(ws10m_00) AS b, avg(mslp_00) AS c, stddev_samp(mslp_00) AS d
+                       FROM v_forecast_wide WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00') m""")
+def _(lab):
+    columns = ["ws10m_00", "mslp_00"]
+    rows = lab.forecast_wide.select("sid", "time_ref", "lt", *columns)
+    train = rows.filter(F.col("time_ref") < F.lit("1999-01-01").cast("timestamp"))
+    return design.standardize(rows, train, columns).withColumns({c: r6(c) for c in columns})

@@ -105,7 +105,7 @@ class Lab:
         """Ensemble-wide station forecasts (A2): 6 variables of 15 members side by side."""
         columns = []
         for em in MEMBERS:
-            speed = F.col("ws") * (0.75 + em / 32)
+            speed = F.col("ws") * (0.75 + em / 31)
             columns += [
                 speed.alias(f"ws10m_{em:02d}"),
                 (F.col("wd") + 4.0 * em).alias(f"wd10m_{em:02d}"),
@@ -172,7 +172,7 @@ class Lab:
         return (
             by_unit.join(self.units.select("windpark_nve_id", "bidding_area"), "windpark_nve_id")
             .groupBy("time", "bidding_area")
-            .agg((F.sum("delivered") / 20).alias("power"))
+            .agg((F.sum("delivered") * 50 / 1009).alias("power"))
         )
 
     @cached_property
@@ -205,7 +205,7 @@ class Lab:
             "windpark_statnet", F.col("windpark_nve").alias("windpark"), "bidding_area",
             "operating_power_max", "production_start_date",
         )
-        power = F.col("operating_power_max") * F.least(F.col("ws10m") / 32, F.lit(1.0))
+        power = F.col("operating_power_max") * F.least(F.col("ws10m") / 30, F.lit(1.0))
         return (
             ensemble_long(
                 self.forecast_wide, [F.col("sid").alias("windpark_statnet"), "time_ref", "time", "lt"], ["ws10m"]

@@ -38,8 +38,8 @@ FROM lineitem GROUP BY 1, 2, 3"""
 VIEWS["v_forecast_wide"] = (
     "SELECT sid, time_ref, time_ref + CAST(lt AS INT) * INTERVAL '1' HOUR AS time, lt, "
     + ", ".join(
-        f"ws * {0.75 + em / 32} AS ws10m_{em:02d}, wd + {4 * em} AS wd10m_{em:02d}, t2 + {em / 8} AS t2m_{em:02d},"
-        f" rh AS rh2m_{em:02d}, ms + {em / 4} AS mslp_{em:02d}, ws * {0.75 + em / 32} + gust AS g10m_{em:02d}"
+        f"ws * {0.75 + em / 31!r}e0 AS ws10m_{em:02d}, wd + {4 * em} AS wd10m_{em:02d}, t2 + {em / 8} AS t2m_{em:02d},"
+        f" rh AS rh2m_{em:02d}, ms + {em / 4} AS mslp_{em:02d}, ws * {0.75 + em / 31!r}e0 + gust AS g10m_{em:02d}"
         for em in range(15)
     )
     + " FROM v_forecast_base"
@@ -47,8 +47,8 @@ VIEWS["v_forecast_wide"] = (
 
 VIEWS["v_forecast"] = """
 SELECT sid AS windpark_statnet, time_ref, time_ref + CAST(lt AS INT) * INTERVAL '1' HOUR AS time, lt,
-       CAST(em AS INT) AS em, ws * (0.75 + em / 32) AS ws10m, wd + 4 * em AS wd10m, t2 + em / 8 AS t2m,
-       rh AS rh2m, ms + em / 4 AS mslp, ws * (0.75 + em / 32) + gust AS g10m
+       CAST(em AS INT) AS em, ws * (0.75 + em / 31) AS ws10m, wd + 4 * em AS wd10m, t2 + em / 8 AS t2m,
+       rh AS rh2m, ms + em / 4 AS mslp, ws * (0.75 + em / 31) + gust AS g10m
 FROM v_forecast_base, generate_series(0, 14) AS g(em)"""
 
 VIEWS["v_nowcast"] = """
@@ -69,7 +69,7 @@ VIEWS["v_unit_power"] = """
 SELECT windpark_nve_id, time, sum(l_quantity) AS local_power FROM v_production GROUP BY 1, 2"""
 
 VIEWS["v_area_power"] = """
-SELECT time, bidding_area, CAST(sum(delivered) AS DOUBLE) / 20 AS power
+SELECT time, bidding_area, CAST(sum(delivered) * 50 AS DOUBLE) / 1009 AS power
 FROM v_production JOIN v_units USING (windpark_nve_id) GROUP BY 1, 2"""
 
 VIEWS["v_hourly"] = """
@@ -87,7 +87,7 @@ VIEWS["v_hourly_wide"] = (
 
 VIEWS["v_local_pred"] = """
 SELECT time_ref, time, lt, windpark_nve AS windpark, bidding_area, em,
-       operating_power_max * least(ws10m / 32, 1.0) AS local_power_pred
+       operating_power_max * least(ws10m / 30, 1.0) AS local_power_pred
 FROM v_forecast JOIN v_units USING (windpark_statnet)
 WHERE time_ref > production_start_date"""
 
@@ -137,6 +137,119 @@ VIEWS["v_points"] = """
 SELECT s_suppkey AS windpark_nve_id, (s_suppkey * 7 % 164) / 4 AS x, (s_suppkey * 11 % 100) / 8 AS y FROM supplier"""
 
 
+VIEWS["v_truth"] = """
+SELECT i.bidding_area, i.time AS time_ref, p.time, CAST(date_diff('hour', i.time, p.time) AS BIGINT) AS lt, p.power AS y_true
+FROM v_area_power i JOIN v_area_power p ON i.bidding_area = p.bidding_area
+     AND CAST(p.time AS DATE) = CAST(i.time + INTERVAL '2' DAY AS DATE)
+WHERE hour(i.time) = 9"""
+
+VIEWS["v_member_sum"] = """
+SELECT time_ref, time, lt, bidding_area, em, sum(local_power_pred) AS sum_local_pred FROM v_local_pred GROUP BY ALL"""
+
+VIEWS["v_ensemble_mean"] = """
+SELECT time_ref, time, bidding_area, avg(sum_local_pred) AS y_pred FROM v_member_sum GROUP BY ALL"""
+
+VIEWS["v_scored"] = """
+SELECT t.*, coalesce(p.y_pred, 0) AS y_pred, p.y_pred IS NULL AS filled
+FROM v_truth t LEFT JOIN v_ensemble_mean p USING (bidding_area, time_ref, time)"""
+
+VIEWS["v_capacity"] = """
+SELECT p.time, p.bidding_area, sum(u.operating_power_max) AS operating_power_max, sum(u.mean_production) AS mean_production,
+       CAST(sum(u.num_turbines) AS BIGINT) AS num_turbines
+FROM v_area_power p JOIN v_units u ON u.bidding_area = p.bidding_area AND p.time >= u.production_start_date GROUP BY 1, 2"""
+
+VIEWS["v_relative"] = """
+SELECT *, power / operating_power_max AS relative_power FROM v_area_power JOIN v_capacity USING (bidding_area, time)"""
+
+VIEWS["v_recent"] = """
+SELECT *, relative_power AS last_power,
+       CASE WHEN count(relative_power) OVER w = 24 THEN avg(relative_power) OVER w END AS recent_mean,
+       CASE WHEN count(relative_power) OVER w = 24 THEN max(relative_power) OVER w END AS recent_max,
+       CASE WHEN count(relative_power) OVER w = 24 THEN min(relative_power) OVER w END AS recent_min,
+       CASE WHEN count(relative_power) OVER w = 24 THEN max(relative_power) OVER w - min(relative_power) OVER w END AS recent_range,
+       CASE WHEN count(relative_power) OVER w = 24 THEN stddev_samp(relative_power) OVER w END AS recent_std,
+       relative_power - lag(relative_power) OVER (PARTITION BY bidding_area ORDER BY time) AS ramp
+FROM v_relative WINDOW w AS (PARTITION BY bidding_area ORDER BY time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"""
+
+VIEWS["v_unit_cell"] = """
+SELECT windpark_nve_id, time_ref, time FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet
+WHERE time_ref > production_start_date"""
+
+VIEWS["v_area_cell"] = """
+SELECT DISTINCT time_ref, time, bidding_area FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet"""
+
+VIEWS["v_unit_share"] = """
+SELECT c.windpark_nve_id, c.time_ref, c.time, sum(o.unavailableCapacity) AS unavailableCapacity,
+       sum(o.installedCapacity) AS installedCapacity,
+       sum(o.unavailableCapacity) / sum(o.installedCapacity) AS unavailable_capacity
+FROM v_unit_cell c JOIN v_outage o USING (windpark_nve_id)
+WHERE c.time_ref > o.publicationDate AND c.time >= o.eventStart AND c.time <= o.eventStop GROUP BY 1, 2, 3"""
+
+VIEWS["v_area_share"] = """
+SELECT c.bidding_area, c.time_ref, c.time, bool_or(t.unplannedEvent) AS unplannedEvent,
+       sum(t.unavailableCapacity) / sum(t.installedCapacity) AS unavailable_transmission
+FROM v_area_cell c JOIN v_transmission t ON right(c.bidding_area, 3) = t.outAreaName
+WHERE c.time_ref > t.publicationDate AND c.time >= t.eventStart AND c.time <= t.eventStop GROUP BY 1, 2, 3"""
+
+VIEWS["v_local_sum"] = """
+SELECT time, bidding_area, sum(local_power) AS local_power FROM v_unit_power JOIN v_units USING (windpark_nve_id) GROUP BY 1, 2"""
+
+
+VIEWS["v_nowcast_feat"] = """
+SELECT windpark AS windpark_statnet, time AS time_ref, air_temperature_2m AS now_air_temperature_2m,
+       air_pressure_at_sea_level AS now_air_pressure_at_sea_level, relative_humidity_2m AS now_relative_humidity_2m,
+       precipitation_amount AS now_precipitation_amount, wind_speed_10m AS now_wind_speed_10m,
+       wind_direction_10m AS now_wind_direction_10m,
+       air_pressure_at_sea_level / (273.15 + air_temperature_2m) AS now_air_density,
+       avg(wind_speed_10m) OVER (PARTITION BY windpark ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS location_mean_ws,
+       sqrt(pow(list_sum(list_transform(lx, lambda v, i: v * pow(0.5, len(lx) - i))), 2)
+          + pow(list_sum(list_transform(ly, lambda v, i: v * pow(0.5, len(ly) - i))), 2))
+         / list_sum(list_transform(lx, lambda v, i: pow(0.5, len(lx) - i))) AS now_wind_alignment,
+       air_pressure_at_sea_level / (273.15 + air_temperature_2m) * pow(least(greatest(wind_speed_10m, 0), 20), 3) AS now_wind_power_density
+FROM (SELECT *, list(wind_speed_10m * cos(2 * pi() * wind_direction_10m / 360)) OVER w AS lx,
+             list(wind_speed_10m * sin(2 * pi() * wind_direction_10m / 360)) OVER w AS ly
+      FROM v_nowcast WINDOW w AS (PARTITION BY windpark ORDER BY time ROWS BETWEEN 63 PRECEDING AND CURRENT ROW))"""
+
+VIEWS["v_site_weather"] = """
+SELECT windpark_nve_id, time_ref, time, lt, em, ws10m, wd10m, t2m, rh2m, mslp, g10m, mean_hub_height, elevation
+FROM v_forecast JOIN v_units USING (windpark_statnet)"""
+
+# Member 0 of the wide table under the plain variable names, at each unit.
+VIEWS["v_site_first"] = """
+SELECT windpark_nve_id, time_ref, time, lt, ws10m_00 AS ws10m, wd10m_00 AS wd10m, t2m_00 AS t2m, rh2m_00 AS rh2m,
+       mslp_00 AS mslp, g10m_00 AS g10m, mean_hub_height, elevation
+FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet"""
+
+HUB_AIR = """
+SELECT *, phh / (287.05 * tv) AS adhh, 0.5 * (phh / (287.05 * tv)) * pow(least(greatest(wshh, 0), 25), 3) AS wind_power_density
+FROM (SELECT *, ws10m * pow(mean_hub_height / 10, 0.143) AS wshh,
+             mslp * 100 * exp(-9.80665 * (elevation + mean_hub_height) / (287.05 * tv)) AS phh
+      FROM (SELECT *, layer * (1 + 0.61 * (0.622 * e / (p0 - 0.378 * e))) AS tv
+            FROM (SELECT *, mslp * 100 * exp(-9.80665 * elevation / (287.05 * layer)) AS p0
+                  FROM (SELECT *, t2m + 273.15 - 0.0065 * mean_hub_height AS layer,
+                               rh2m / 100 * (6.112 * exp((17.67 * t2m) / (t2m + 243.5))) * 100 AS e FROM {source}))))"""
+
+VIEWS["v_area_dataset"] = """
+SELECT time_ref, time, bidding_area, power, relative_power, operating_power_max, mean_production, num_turbines, last_power,
+       recent_mean, ramp, recent_max, recent_min, recent_range, recent_std, lt, coalesce(s.unplannedEvent, false) AS unplannedEvent,
+       coalesce(s.unavailable_transmission, 0) AS unavailable_transmission, mean_sum_pred, std_sum_pred, min_sum_pred, max_sum_pred,
+       lag(mean_sum_pred, 1) OVER w AS pred_lag1, lag(mean_sum_pred, 2) OVER w AS pred_lag2,
+       lead(mean_sum_pred, 1) OVER w AS pred_lead1, lead(mean_sum_pred, 2) OVER w AS pred_lead2
+FROM (
+  SELECT m.time_ref, m.time, m.lt, m.bidding_area, any_value(t.power) AS power, any_value(t.relative_power) AS relative_power,
+         any_value(r.operating_power_max) AS operating_power_max, any_value(r.mean_production) AS mean_production,
+         any_value(r.num_turbines) AS num_turbines, any_value(r.last_power) AS last_power, any_value(r.recent_mean) AS recent_mean,
+         any_value(r.ramp) AS ramp, any_value(r.recent_max) AS recent_max, any_value(r.recent_min) AS recent_min,
+         any_value(r.recent_range) AS recent_range, any_value(r.recent_std) AS recent_std,
+         avg(sum_local_pred / r.operating_power_max) AS mean_sum_pred, stddev_samp(sum_local_pred / r.operating_power_max) AS std_sum_pred,
+         min(sum_local_pred / r.operating_power_max) AS min_sum_pred, max(sum_local_pred / r.operating_power_max) AS max_sum_pred
+  FROM v_member_sum m JOIN v_recent r ON m.time_ref = r.time AND m.bidding_area = r.bidding_area
+       JOIN v_relative t ON m.time = t.time AND m.bidding_area = t.bidding_area
+  GROUP BY 1, 2, 3, 4) d
+LEFT JOIN v_area_share s USING (bidding_area, time_ref, time)
+WINDOW w AS (PARTITION BY time_ref, bidding_area ORDER BY time)"""
+
+
 def compose(body: str) -> str:
     """Statement with the views it reads, directly or through other views, as leading CTEs."""
     needed: list[str] = []
