@@ -123,7 +123,7 @@ def _(lab):
 
 @check("agg_daily_mse_top", """
 SELECT windpark, round(avg(mse), 6) AS mse FROM (
-  SELECT windpark, CAST(time AS DATE) AS day, round(avg((p.local_power_pred - u.local_power) * (p.local_power_pred - u.local_power)), 6) AS mse
+  SELECT windpark, CAST(time AS DATE) AS day, avg((p.local_power_pred - u.local_power) * (p.local_power_pred - u.local_power)) AS mse
   FROM v_local_pred p JOIN v_lookup l ON p.windpark = l.windpark_nve JOIN v_unit_power u USING (windpark_nve_id, time)
   GROUP BY 1, 2 ORDER BY mse DESC, windpark, day LIMIT 100) GROUP BY 1""")
 def _(lab):

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from forecastlab.catalog.joins import area_cells, unit_cells
 from forecastlab.catalog.registry import check
-from forecastlab.catalog.rows import SEASON_SQL, r6, rounded
+from forecastlab.catalog.rows import SEASON_RAW, SEASON_SQL, r6, rounded
 from forecastlab.catalog.views import HUB_AIR
 from forecastlab.catalog.windows import geo_sites
 from forecastlab.functions import physics, seasons
@@ -151,7 +151,8 @@ v_row AS (
   SELECT c.*, f.lt, f.em, f.ws10m, f.wd10m, f.t2m, f.rh2m, f.mslp, f.g10m
   FROM v_cell c LEFT JOIN v_forecast f ON f.windpark_statnet = c.windpark_statnet AND f.time_ref = c.time_ref AND f.time = c.time),
 v_dataset AS (
-  SELECT *, g10m / nullif(ws10m, 0) AS gust_factor, local_power / operating_power_max AS local_relative_power, {SEASON_SQL},
+  SELECT *, g10m / nullif(ws10m, 0) AS gust_factor, local_power / operating_power_max AS local_relative_power,
+         {", ".join(f"{sql} AS {name}" for name, sql in SEASON_RAW.items())},
          sqrt(pow(avg(wshh * cos(2 * pi() * wd10m / 360)) OVER w, 2) + pow(avg(wshh * sin(2 * pi() * wd10m / 360)) OVER w, 2)) AS wind_alignment
   FROM ({HUB_AIR.format(source='v_row')})
   WINDOW w AS (PARTITION BY time_ref, windpark_nve_id, em ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
@@ -169,8 +170,6 @@ SELECT year(time_ref) AS year, bidding_area, em, count(*) AS n, count(local_powe
 def _(lab):
     # The table has one row per unit, valid time and member; its profile is what is compared.
     table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
-    for c in ("sin_hod", "cos_hod", "sin_doy", "cos_doy"):
-        table = table.withColumn(c, r6(c))
     return table.groupBy(F.year("time_ref").alias("year"), "bidding_area", "em").agg(
         F.count(F.lit(1)).alias("n"), F.count("local_power").alias("n_power"), F.countDistinct("windpark").alias("n_units"),
         *[F.round(F.avg(c), 4).alias(c) for c in LOCAL_NUMBERS],
@@ -180,7 +179,7 @@ def _(lab):
 
 AREA_NUMBERS = [
     c for c in [*area.KEYS, *area.AREA_FEATURES, *area.EMOS_FEATURES]
-    if c not in ("time_ref", "time", "bidding_area", "lt", "unplannedEvent")
+    if c not in ("time_ref", "time", "bidding_area", "lt", "num_turbines", "unplannedEvent")
 ]
 
 
@@ -188,11 +187,11 @@ def area_table(lab, compat=False):
     return area.area_dataset(lab.local_pred, lab.area_power, lab.units, lab.transmission, compat)
 
 
-@check("feat_area_dataset", "SELECT time_ref, time, bidding_area, lt, unplannedEvent, "
+@check("feat_area_dataset", "SELECT time_ref, time, bidding_area, lt, num_turbines, unplannedEvent, "
        + ", ".join(f"round({c}, 6) AS {c}" for c in AREA_NUMBERS) + " FROM v_area_dataset")
 def _(lab):
     return area_table(lab).select(
-        "time_ref", "time", "bidding_area", "lt", "unplannedEvent", *[r6(F.col(c).cast("double")).alias(c) for c in AREA_NUMBERS]
+        "time_ref", "time", "bidding_area", "lt", "num_turbines", "unplannedEvent", *[r6(F.col(c).cast("double")).alias(c) for c in AREA_NUMBERS]
     )
 
 

@@ -215,6 +215,25 @@ class Lab:
             .select("time_ref", "time", "lt", "windpark", "bidding_area", "em", power.alias("local_power_pred"))
         )
 
+    @cached_property
+    def local_rows(self) -> DataFrame:
+        """Training rows: member forecasts of started units with their production where known."""
+        unit = self.units.select(
+            "windpark_statnet", "windpark_nve_id", F.col("windpark_nve").alias("windpark"), "bidding_area",
+            "operating_power_max", "mean_hub_height", "production_start_date",
+        )
+        wide = self.forecast_wide.withColumnRenamed("sid", "windpark_statnet")
+        cells = (
+            wide.join(unit, "windpark_statnet")
+            .filter(F.col("time_ref") > F.col("production_start_date"))
+            .join(self.unit_power, ["windpark_nve_id", "time"], "left")
+        )
+        ids = [
+            "time_ref", "time", "lt", "windpark", "bidding_area", "operating_power_max", "mean_hub_height",
+            (F.col("local_power") / F.col("operating_power_max")).alias("local_relative_power"),
+        ]
+        return ensemble_long(cells, ids, ["ws10m", "t2m", "mslp", "g10m"])
+
     @cached_property
     def messages(self) -> DataFrame:
         """Nested market messages (A7), one per order."""

@@ -1 +1,252 @@
+"""Backtests, models and bands (survey 2.10)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forecastlab.catalog.aggregates import scored_pairs
+from forecastlab.catalog.features import area_table
+from forecastlab.catalog.registry import check
+from forecastlab.catalog.rows import r6
+from forecastlab.functions.errors import rmse, weighted_rmse
+from forecastlab.functions.scalars import is_day_ahead, logit
+from forecastlab.operators.series import month_of
+from forecastlab.plans import area, backtest, bands, design, logitnormal, moments, trees, truth
+from forecastlab.session import cut_lineage
+
+FIRST = "1998-01-01"
+SPLIT = "1999-01-01"
+TARGET, WEIGHT = "local_relative_power", "operating_power_max"
+FEATURES = ["lt", "mean_hub_height", "ws10m", "t2m", "mslp", "g10m"]
+SMALL = {"maxIter": 5, "maxDepth": 4}
+
+
+def line():
+    return [F.lit(1.0), F.col("ws10m")]
+
+
+def rolling_line(lab):
+    """Monthly expanding fits on member 0, weighted by capacity, applied to all members."""
+    return moments.rolling_prediction(
+        lab.local_rows, line(), TARGET, WEIGHT, FIRST, train=F.col("em") == 0, scale=WEIGHT
+    )
+
+
+@check("bt_time_blocks", """
+SELECT start, stop, (SELECT count(*) FROM v_local_row WHERE time_ref < start AND local_relative_power IS NOT NULL) AS n_train,
+       (SELECT count(*) FROM v_local_row WHERE time_ref >= start AND time_ref < stop) AS n_pred,
+       (SELECT max(time_ref) FROM v_local_row WHERE time_ref < start AND local_relative_power IS NOT NULL) AS last_train
+FROM v_block""")
+def _(lab):
+    summary = backtest.block_summary(lab.local_rows, TARGET, FIRST)
+    bounds = backtest.block_bounds(backtest.month_starts(lab.local_rows, TARGET, FIRST))
+    return bounds.join(summary, "start").select("start", "stop", "n_train", "n_pred", "last_train")
+
+
+@check("bt_rolling_predict", "SELECT time_ref, time, bidding_area, round(y_pred, 5) AS y_pred FROM v_rolling")
+def _(lab):
+    return truth.ensemble_mean_prediction(rolling_line(lab)).withColumn("y_pred", F.round("y_pred", 5))
+
+
+@check("bt_leak_guard", """
+SELECT 'split' AS name, (SELECT max(time_ref) FROM v_local_row WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00') AS last_train,
+       (SELECT min(time_ref) FROM v_local_row WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00') AS first_pred, false AS leak
+UNION ALL
+SELECT 'all', (SELECT max(time_ref) FROM v_local_row), (SELECT min(time_ref) FROM v_local_row), true""")
+def _(lab):
+    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
+    rows = lab.local_rows.select("time_ref")
+    good = backtest.leak_check(rows.filter(early), rows.filter(~early)).withColumn("name", F.lit("split"))
+    return good.unionByName(backtest.leak_check(rows, rows).withColumn("name", F.lit("all")))
+
+
+@check("bt_holdout_split", """
+SELECT windpark, time_ref, time, em, CASE WHEN time_ref < TIMESTAMP '1999-01-01 00:00:00' THEN 'train' ELSE 'validation' END AS part,
+       operating_power_max AS sample_weight
+FROM v_local_row WHERE local_relative_power IS NOT NULL AND lt > 0
+  AND ((time_ref < TIMESTAMP '1999-01-01 00:00:00' AND em = 0)
+    OR (time_ref >= TIMESTAMP '1999-01-01 00:00:00' AND CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)))""")
+def _(lab):
+    train, validation = backtest.holdout(lab.local_rows, SPLIT, TARGET, WEIGHT)
+    both = train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation")))
+    return both.select("windpark", "time_ref", "time", "em", "part", "sample_weight")
+
+
+@check("bt_purged_split", """
+SELECT bidding_area, time_ref, time, CASE WHEN pos < floor(n * 0.75) THEN 'train' WHEN pos < floor(n * 0.75) + 62 THEN 'gap' ELSE 'validation' END AS part
+FROM (SELECT *, row_number() OVER (ORDER BY time_ref, time, bidding_area) - 1 AS pos, count(*) OVER () AS n FROM v_truth)""")
+def _(lab):
+    pairs = truth.evaluation_set(lab.area_power).select("bidding_area", "time_ref", "time")
+    return backtest.purged_split(pairs, ["time_ref", "time", "bidding_area"], month_of("time_ref"), 0.75, 39 + 24 - 1)
+
+
+@check("bt_train_year", """
+WITH cutoff AS (SELECT min(time_ref) AS c FROM v_truth WHERE time_ref >= TIMESTAMP '2000-01-01 00:00:00')
+SELECT bidding_area, time_ref, time, round(relative_power, 6) AS relative_power FROM v_area_dataset, cutoff
+WHERE time_ref < c AND time_ref >= c - INTERVAL '365' DAY AND relative_power IS NOT NULL""")
+def _(lab):
+    late = truth.evaluation_set(lab.area_power, start="2000-01-01")
+    year = backtest.train_year(area_table(lab), late, "relative_power")
+    return year.select("bidding_area", "time_ref", "time", r6("relative_power").alias("relative_power"))
+
+
+@check("mdl_linear_moments", """
+SELECT start AS block, n, round(intercept, 5) AS intercept, round(slope, 6) AS slope FROM v_block_fit""")
+def _(lab):
+    fits = moments.expanding_coefficients(lab.local_rows, line(), TARGET, WEIGHT, FIRST, train=F.col("em") == 0)
+    return fits.select(
+        "block", "n", F.round(F.col("beta")[0], 5).alias("intercept"), r6(F.col("beta")[1]).alias("slope")
+    )
+
+
+def tree_split(lab):
+    rows = lab.local_rows.filter(F.col(TARGET).isNotNull())
+    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
+    rows = cut_lineage(rows)
+    return rows.filter(early), rows.filter(~early)
+
+
+def tree_score(predicted, pred: str = "local_power_pred", scale: bool = True):
+    y = F.col(TARGET) * F.col(WEIGHT) if scale else F.col(TARGET)
+    return predicted.groupBy("bidding_area").agg(
+        F.count(F.lit(1)).alias("n"), rmse(y, pred).alias("rmse"), F.avg(pred).alias("mean_pred")
+    )
+
+
+@check("mdl_boosted_em0")
+def _(lab):
+    train, pred = tree_split(lab)
+    return tree_score(trees.first_member_model(train, pred, FEATURES, TARGET, WEIGHT, **SMALL))
+
+
+@check("mdl_boosted_pooled")
+def _(lab):
+    train, pred = tree_split(lab)
+    return tree_score(trees.pooled_model(train, pred, FEATURES, TARGET, **SMALL), scale=False)
+
+
+@check("mdl_boosted_per_member")
+def _(lab):
+    train, pred = tree_split(lab)
+    members = list(range(15))
+    return tree_score(trees.member_models(train, pred, FEATURES, TARGET, members, maxIter=2, maxDepth=3), scale=False)
+
+
+AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred"]
+
+
+@check("mdl_boosted_area")
+def _(lab):
+    table = cut_lineage(area_table(lab).filter(F.col("relative_power").isNotNull()))
+    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
+    model = trees.fit_trees(table.filter(early), AREA_TREE, "relative_power", "operating_power_max", **SMALL)
+    predicted = trees.predict_trees(model, table.filter(~early), AREA_TREE, "operating_power_max", "area_pred")
+    return predicted.groupBy("bidding_area").agg(
+        rmse(F.col("mean_sum_pred") * F.col("operating_power_max"), "power").alias("rmse_sum_local"),
+        rmse("area_pred", "power").alias("rmse_area"),
+    )
+
+
+@check("mdl_importance")
+def _(lab):
+    train, _ = tree_split(lab)
+    model = trees.fit_trees(train.filter(F.col("em") == 0), FEATURES, TARGET, WEIGHT, **SMALL)
+    return lab.spark.createDataFrame(trees.importance(model, FEATURES), "feature string, importance double")
+
+
+@check("mdl_tune")
+def _(lab):
+    train, validation = backtest.holdout(lab.local_rows, SPLIT, TARGET, WEIGHT)
+    grid = {"maxDepth": [2, 4], "maxIter": [3], "subsamplingRate": [0.7, 1.0]}
+    trials = trees.tune(cut_lineage(train), cut_lineage(validation), FEATURES, TARGET, WEIGHT, grid, "unit_trees")
+    return trials.select("study", F.col("params")["maxDepth"].alias("max_depth"),
+                         F.col("params")["subsamplingRate"].alias("subsampling"), "rmse")
+
+
+@check("mdl_quantile_band", """
+SELECT bidding_area, time_ref, time, lt, round(greatest(y_pred + low, 0), 6) AS q05, round(y_pred + high, 6) AS q95
+FROM v_scored LEFT JOIN (
+  SELECT lt, quantile_cont(y_true - y_pred, 0.05) AS low, quantile_cont(y_true - y_pred, 0.95) AS high
+  FROM v_scored WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' GROUP BY 1) USING (lt)
+WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'""")
+def _(lab):
+    pairs, cut = scored_pairs(lab), F.lit(SPLIT).cast("timestamp")
+    band = bands.quantile_band(pairs.filter(F.col("time_ref") >= cut), pairs.filter(F.col("time_ref") < cut), ["lt"])
+    return band.select("bidding_area", "time_ref", "time", "lt", r6("q05").alias("q05"), r6("q95").alias("q95"))
+
+
+@check("mdl_normal_band", """
+SELECT bidding_area, time_ref, time, round(m - 1.96 * s, 6) AS lower, round(m + 1.96 * s, 6) AS upper, round(m - power, 6) AS residual
+FROM (SELECT time_ref, time, bidding_area, avg(sum_local_pred) AS m, stddev_samp(sum_local_pred) AS s FROM v_member_sum GROUP BY 1, 2, 3)
+JOIN v_area_power USING (time, bidding_area)""")
+def _(lab):
+    sums = area.ensemble_sums(lab.local_pred).join(lab.area_power, ["time", "bidding_area"])
+    band = bands.normal_band(sums)
+    return band.select("bidding_area", "time_ref", "time", *[r6(c).alias(c) for c in ("lower", "upper", "residual")])
+
+
+def calibrated(lab, draws: int = 200):
+    """Area model fitted on the first years, with draws for the later ones."""
+    keys = ["bidding_area", "time_ref", "time", "power", "relative_power", "operating_power_max"]
+    day_ahead = area_table(lab).filter(is_day_ahead("time", "time_ref"))
+    table = cut_lineage(design.with_design(day_ahead, keys))
+    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
+    params = logitnormal.fit(table.filter(early), len(design.mean_design()), len(design.spread_design()))
+    return params, logitnormal.predict(table.filter(~early), params, draws=draws)
+
+
+@check("mdl_logit_normal")
+def _(lab):
+    params, _ = calibrated(lab)
+    return params.select("bidding_area", "n", F.inline(F.arrays_zip("beta", F.sequence(F.lit(0), F.size("beta") - 1).alias("column")))).select(
+        "bidding_area", "n", F.col("column").alias("column"), r6("beta").alias("beta")
+    )
+
+
+DRAWS = 99
+DRAW_LIST = "[" + ", ".join(f"{z!r}" + ("" if "e" in repr(z) else "e0") for z in logitnormal.normal_scores(DRAWS)) + "]"
+
+
+@check("mdl_predictive_draws", f"""
+WITH fitted AS (
+  SELECT bidding_area, regr_slope(z, x) AS b, regr_intercept(z, x) AS a, regr_count(z, x) AS n,
+         sqrt((regr_syy(z, x) - regr_slope(z, x) * regr_sxy(z, x)) / regr_count(z, x)) AS s
+  FROM (SELECT bidding_area, mean_sum_pred AS x, ln(p / (1 - p)) AS z FROM (
+    SELECT *, least(greatest(relative_power, 0.0001), 0.9999) AS p FROM v_area_dataset)) GROUP BY 1),
+draws AS (
+  SELECT d.bidding_area, d.time_ref, d.time,
+         list_sort(list_transform({DRAW_LIST}, lambda e: operating_power_max / (1 + exp(-(a + b * mean_sum_pred + s * e))))) AS l
+  FROM v_area_dataset d JOIN fitted USING (bidding_area) WHERE n >= 10)
+SELECT bidding_area, time_ref, time, round(l[5] + (l[6] - l[5]) * 0.9, 5) AS q050, round(l[50], 5) AS q500,
+       round(l[94] + (l[95] - l[94]) * 0.1, 5) AS q950, round(list_avg(l), 5) AS pred_mean, round(list_stddev_samp(l), 5) AS pred_std
+FROM draws""")
+def _(lab):
+    table = area_table(lab).select("bidding_area", "time_ref", "time", "mean_sum_pred", "operating_power_max", "relative_power")
+    z, x = logit("relative_power"), F.col("mean_sum_pred")
+    fitted = table.withColumn("_z", z).groupBy("bidding_area").agg(
+        F.regr_slope("_z", "mean_sum_pred").alias("b"), F.regr_intercept("_z", "mean_sum_pred").alias("a"),
+        F.sqrt((F.regr_syy("_z", "mean_sum_pred") - F.regr_slope("_z", "mean_sum_pred") * F.regr_sxy("_z", "mean_sum_pred"))
+               / F.regr_count("_z", "mean_sum_pred")).alias("s"),
+        F.regr_count("_z", "mean_sum_pred").alias("n"),
+    ).filter(F.col("n") >= 10)
+    rows = table.join(fitted, "bidding_area")
+    drawn = logitnormal.predictive_draws(rows, F.col("a") + F.col("b") * x, F.col("s"), "operating_power_max", DRAWS)
+    columns = logitnormal.quantile_columns("draws", (0.05, 0.5, 0.95))
+    return drawn.select("bidding_area", "time_ref", "time", *[F.round(c, 5).alias(n) for n, c in columns.items()])
+
+
+@check("fn_ratio_adjust", """
+WITH p AS (SELECT bidding_area, local_power, power, power / local_power AS r, ln(power) / nullif(ln(local_power), 0) AS l
+           FROM v_local_sum JOIN v_area_power USING (time, bidding_area) WHERE local_power > 10 AND year(time) <= 2000),
+m AS (SELECT bidding_area, median(r) AS mr, median(l) AS ml FROM p GROUP BY 1)
+SELECT bidding_area, round(sqrt(avg((local_power * mr - power) * (local_power * mr - power))), 6) AS rmse_ratio,
+       round(sqrt(avg((pow(local_power, ml) - power) * (pow(local_power, ml) - power))), 6) AS rmse_log
+FROM p JOIN m USING (bidding_area) GROUP BY 1""")
+def _(lab):
+    from forecastlab.plans import summaries
+
+    pairs = summaries.local_against_area(lab.unit_power, lab.units, lab.area_power).filter(
+        (F.col("local_power") > 10) & (F.year("time") <= 2000)
+    )
+    adjusted = summaries.ratio_adjustment(pairs, "bidding_area")
+    return adjusted.withColumns({c: r6(c) for c in ("rmse_ratio", "rmse_log")})

@@ -12,9 +12,13 @@ from forecastlab.plans.units import observed_capacity
 
 WS = [f"ws10m_{em:02d}" for em in range(15)]
 WS_LIST = "[" + ", ".join(WS) + "]"
-SEASON_SQL = """round(sin(2 * pi() * (hour(time) / 24.0)), 6) AS sin_hod, round(cos(2 * pi() * (hour(time) / 24.0)), 6) AS cos_hod,
-       round(sin(2 * pi() * ((dayofyear(time) - 1 + hour(time) / 24.0) / 365.2425)), 6) AS sin_doy,
-       round(cos(2 * pi() * ((dayofyear(time) - 1 + hour(time) / 24.0) / 365.2425)), 6) AS cos_doy"""
+SEASON_RAW = {
+    "sin_hod": "sin(2 * pi() * (hour(time) / 24.0))",
+    "cos_hod": "cos(2 * pi() * (hour(time) / 24.0))",
+    "sin_doy": "sin(2 * pi() * ((dayofyear(time) - 1 + hour(time) / 24.0) / 365.2425))",
+    "cos_doy": "cos(2 * pi() * ((dayofyear(time) - 1 + hour(time) / 24.0) / 365.2425))",
+}
+SEASON_SQL = ", ".join(f"round({sql}, 6) AS {name}" for name, sql in SEASON_RAW.items())
 
 
 def r6(column, digits: int = 6):

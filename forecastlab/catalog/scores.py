@@ -1 +1,235 @@
+"""Baselines, scores and series statistics (survey 2.10)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forecastlab.catalog.aggregates import scored_pairs
+from forecastlab.catalog.models import SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line
+from forecastlab.catalog.registry import check
+from forecastlab.catalog.rows import r6
+from forecastlab.catalog.views import AR2_SOLUTION
+from forecastlab.functions.errors import coverage
+from forecastlab.functions.scalars import is_day_ahead
+from forecastlab.operators.ranks import two_sample_ks
+from forecastlab.plans import area, autoregression, baselines, bands, moments, scores, truth
+
+AREA = ["bidding_area"]
+SCORE = "round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS crps"
+
+MOVING_SQL = """
+SELECT t.*, m.y_pred FROM v_hour_truth t LEFT JOIN (
+  SELECT bidding_area, time AS time_ref, CASE WHEN count(power) OVER w = 24 THEN avg(power) OVER w END AS y_pred FROM v_hourly
+  WINDOW w AS (PARTITION BY bidding_area ORDER BY time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) m USING (bidding_area, time_ref)"""
+
+AR2_PATH = """
+WITH RECURSIVE path AS (
+  SELECT bidding_area, time_ref, const, phi1, phi2, y AS now, y1 AS old, 0 AS h FROM v_ar2 WHERE det <> 0
+  UNION ALL SELECT bidding_area, time_ref, const, phi1, phi2, const + phi1 * now + phi2 * old, now, h + 1 FROM path WHERE h < 63),
+ar_pair AS (
+  SELECT t.*, coalesce(p.now, 0) AS y_pred FROM v_hour_truth t LEFT JOIN (
+    SELECT bidding_area, time_ref, CAST(h - 1 AS BIGINT) AS lt, now FROM path WHERE h >= 40) p USING (bidding_area, time_ref, lt))"""
+
+
+def rounded_score(df):
+    return df.withColumns({c: F.round(c, 5) for c in ("rmse", "crps")})
+
+
+def hour_truth(lab):
+    return truth.evaluation_set(lab.hourly)
+
+
+@check("eval_truth_set", """
+SELECT bidding_area, time_ref, time, lt, round(y_true, 6) AS y_true FROM v_hour_truth WHERE time_ref >= TIMESTAMP '2024-01-10 00:00:00'""")
+def _(lab):
+    return truth.evaluation_set(lab.hourly, start="2024-01-10").withColumn("y_true", r6("y_true"))
+
+
+@check("base_moving_average", f"SELECT 'MA Baseline' AS name, {SCORE} FROM ({MOVING_SQL})")
+def _(lab):
+    return rounded_score(scores.point_score(baselines.moving_average(hour_truth(lab), lab.hourly), "MA Baseline"))
+
+
+@check("base_ar2", f"{AR2_PATH} SELECT bidding_area, time_ref, time, lt, round(y_pred, 5) AS y_pred FROM ar_pair")
+def _(lab):
+    pairs = baselines.autoregressive(hour_truth(lab), lab.hourly)
+    return pairs.select("bidding_area", "time_ref", "time", "lt", F.round("y_pred", 5).alias("y_pred"))
+
+
+@check("base_single_model_mean", f"SELECT 'Single Model Mean' AS name, {SCORE} FROM v_scored")
+def _(lab):
+    return rounded_score(scores.point_score(scored_pairs(lab), "Single Model Mean"))
+
+
+ROLLED = "(SELECT t.*, coalesce(p.y_pred, 0) AS y_pred FROM v_truth t LEFT JOIN v_rolling p USING (bidding_area, time_ref, time))"
+
+
+@check("base_em0_model_mean", f"SELECT 'EM0 Model Mean' AS name, {SCORE} FROM {ROLLED}")
+def _(lab):
+    pairs = baselines.model_mean(truth.evaluation_set(lab.area_power), rolling_line(lab))
+    return rounded_score(scores.point_score(pairs, "EM0 Model Mean"))
+
+
+def member_draws(lab):
+    """Area production beside the member sums as draws."""
+    return area.ensemble_sums(lab.local_pred).join(lab.area_power, ["time", "bidding_area"]).withColumnRenamed(
+        "member_sums", "draws"
+    )
+
+
+CRPS_SQL = """
+SELECT bidding_area, time_ref, time, lt, avg(abs(sum_local_pred - power)) - sum((2 * r - n - 1) * sum_local_pred) / (n * n) AS crps
+FROM (SELECT m.*, p.power, row_number() OVER (PARTITION BY m.time_ref, m.time, m.bidding_area ORDER BY sum_local_pred) AS r,
+             count(*) OVER (PARTITION BY m.time_ref, m.time, m.bidding_area) AS n
+      FROM v_member_sum m JOIN v_area_power p USING (time, bidding_area))
+GROUP BY bidding_area, time_ref, time, lt, n"""
+
+
+@check("eval_crps", f"SELECT bidding_area, time_ref, time, lt, round(crps, 6) AS crps FROM ({CRPS_SQL})")
+def _(lab):
+    scored = scores.per_observation_crps(member_draws(lab), "power", "draws")
+    return scored.select("bidding_area", "time_ref", "time", "lt", r6("crps").alias("crps"))
+
+
+@check("eval_crps_weighted", f"""
+SELECT bidding_area, round(sum(crps * lt) / sum(lt), 6) AS crps, round(avg(crps), 6) AS plain FROM ({CRPS_SQL}) GROUP BY 1""")
+def _(lab):
+    scored = scores.per_observation_crps(member_draws(lab), "power", "draws")
+    return scored.groupBy("bidding_area").agg(
+        r6(scores.mean_crps(weight="lt")).alias("crps"), r6(scores.mean_crps()).alias("plain")
+    )
+
+
+@check("eval_coverage", """
+SELECT bidding_area, round(avg(CAST(power < lo AS INT)), 6) AS under, round(avg(CAST(power >= lo AND power <= hi AS INT)), 6) AS inside,
+       round(avg(CAST(power > hi AS INT)), 6) AS over, round(avg(CAST(power > mid AS INT)), 6) AS over_median
+FROM (SELECT time_ref, time, bidding_area, quantile_cont(sum_local_pred, 0.05) AS lo, quantile_cont(sum_local_pred, 0.5) AS mid,
+             quantile_cont(sum_local_pred, 0.95) AS hi FROM v_member_sum GROUP BY 1, 2, 3)
+JOIN v_area_power USING (time, bidding_area) GROUP BY 1""")
+def _(lab):
+    from forecastlab.functions.ensemble import array_quantile
+
+    ordered = member_draws(lab).withColumn("draws", F.array_sort("draws"))
+    bounds = {n: array_quantile(F.col("draws"), q) for n, q in (("lo", 0.05), ("mid", 0.5), ("hi", 0.95))}
+    shares = ordered.withColumns(bounds).groupBy("bidding_area").agg(*coverage("power", "lo", "hi", "mid"))
+    return shares.select("bidding_area", *[r6(c).alias(c) for c in ("under", "inside", "over", "over_median")])
+
+
+@check("eval_report", f"""{AR2_PATH}
+SELECT 'MA Baseline' AS name, {SCORE} FROM ({MOVING_SQL})
+UNION ALL SELECT 'AR(2)', {SCORE} FROM ar_pair
+UNION ALL SELECT 'Single Model Mean', {SCORE} FROM v_scored
+UNION ALL SELECT 'EM0 Model Mean', {SCORE} FROM {ROLLED}""")
+def _(lab):
+    hours, areas = hour_truth(lab), truth.evaluation_set(lab.area_power)
+    return rounded_score(scores.report([
+        scores.point_score(baselines.moving_average(hours, lab.hourly), "MA Baseline"),
+        scores.point_score(baselines.autoregressive(hours, lab.hourly), "AR(2)"),
+        scores.point_score(baselines.model_mean(areas, lab.local_pred), "Single Model Mean"),
+        scores.point_score(baselines.model_mean(areas, rolling_line(lab)), "EM0 Model Mean"),
+    ]))
+
+
+@check("eval_calibrator")
+def _(lab):
+    from forecastlab.functions.ensemble import array_mean
+
+    _, drawn = calibrated(lab)
+    drawn = drawn.withColumn("pred_mean", array_mean(F.col("draws")))
+    return rounded_score(scores.draws_score(drawn, "Bayesian Calibrator", y="power"))
+
+
+def left_out(lab):
+    """Errors of every unit when its station or another one is left out."""
+    known = lab.local_rows.filter(F.col(TARGET).isNotNull()).withColumn("part", F.col("bidding_area"))
+    cut = F.lit(SPLIT).cast("timestamp")
+    train = known.filter((F.col("time_ref") < cut) & (F.col("em") == 0))
+    validation = known.filter((F.col("time_ref") >= cut) & is_day_ahead("time", "time_ref"))
+    return moments.leave_one_out(train, validation, "part", "windpark", line(), TARGET, WEIGHT)
+
+
+@check("eval_loo_station", """
+WITH known AS (SELECT * FROM v_local_row WHERE local_relative_power IS NOT NULL),
+train AS (SELECT bidding_area, operating_power_max AS w, ws10m AS x, local_relative_power AS y FROM known
+          WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' AND em = 0),
+validation AS (SELECT * FROM known WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'
+               AND CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)),
+fit AS (SELECT excluded, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw AS a
+        FROM (SELECT p.bidding_area AS excluded, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+              FROM (SELECT DISTINCT bidding_area FROM validation) p JOIN train t ON t.bidding_area <> p.bidding_area GROUP BY 1))
+SELECT windpark, operating_power_max AS weight, excluded, bidding_area = excluded AS is_excluded,
+       round(sqrt(avg(pow(local_relative_power - a - b * ws10m, 2))), 5) AS rmse,
+       round(sqrt(avg(pow((local_relative_power - a - b * ws10m) * operating_power_max, 2))), 4) AS rmse_scaled
+FROM validation, fit GROUP BY 1, 2, 3, 4""")
+def _(lab):
+    return left_out(lab).withColumns({"rmse": F.round("rmse", 5), "rmse_scaled": F.round("rmse_scaled", 4)})
+
+
+@check("eval_ks_two_sample", """
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(max(abs(c1 / n1 - c2 / n2)), 6) AS ks
+FROM (SELECT v, sum(a) OVER (ORDER BY v) AS c1, sum(b) OVER (ORDER BY v) AS c2, sum(a) OVER () AS n1, sum(b) OVER () AS n2
+      FROM (SELECT l_extendedprice AS v, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b
+            FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)) GROUP BY 1, 2""")
+def _(lab):
+    rows = lab.table("lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    return two_sample_ks(rows, "l_extendedprice", F.col("l_returnflag") == "A").select("n1", "n2", r6("ks").alias("ks"))
+
+
+LAGS = list(range(39, 120))
+CENTRED_SQL = "SELECT bidding_area, power - avg(power) OVER (PARTITION BY bidding_area) AS c, row_number() OVER (PARTITION BY bidding_area ORDER BY time) AS i FROM v_hourly"
+ACF_SQL = f"""
+SELECT a.bidding_area, k AS lag, sum(a.c * b.c) / any_value(v.s) AS r
+FROM (SELECT *, unnest(generate_series(0, 119)) AS k FROM ({CENTRED_SQL})) a
+JOIN ({CENTRED_SQL}) b ON a.bidding_area = b.bidding_area AND b.i = a.i + a.k
+JOIN (SELECT bidding_area, sum(c * c) AS s FROM ({CENTRED_SQL}) GROUP BY 1) v ON v.bidding_area = a.bidding_area GROUP BY 1, 2"""
+
+
+def acf(lab):
+    return autoregression.autocorrelation(lab.hourly, AREA, "time", "power", 119)
+
+
+@check("ts_acf", f"SELECT bidding_area, lag, round(r, 6) AS acf FROM ({ACF_SQL}) WHERE lag >= 39")
+def _(lab):
+    return autoregression.lag_rows(acf(lab), AREA, "acf", LAGS, "acf").withColumn("acf", r6("acf"))
+
+
+@check("ts_pacf", f"""
+WITH RECURSIVE r AS (SELECT bidding_area, list(r ORDER BY lag)[2:] AS l FROM ({ACF_SQL}) GROUP BY 1),
+step AS (
+  SELECT bidding_area, l, 1 AS k, l[1] AS last, [l[1]] AS phi FROM r
+  UNION ALL
+  SELECT bidding_area, l, k + 1, v, list_append(list_transform(phi, lambda p, i: p - v * phi[k + 1 - i]), v)
+  FROM (SELECT *, (l[k + 1] - list_sum(list_transform(phi, lambda p, i: p * l[k + 1 - i])))
+                  / (1 - list_sum(list_transform(phi, lambda p, i: p * l[i]))) AS v FROM step WHERE k < 119))
+SELECT bidding_area, CAST(k AS BIGINT) AS lag, round(last, 5) AS pacf FROM step WHERE k >= 39""")
+def _(lab):
+    pacf = autoregression.partial_autocorrelation(acf(lab), AREA)
+    return autoregression.lag_rows(pacf, AREA, "pacf", LAGS, "pacf").withColumn("pacf", F.round("pacf", 5))
+
+
+@check("ts_adf_stat", """
+SELECT bidding_area, CAST(n AS BIGINT) AS n, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) AS statistic
+FROM (SELECT bidding_area, regr_count(y - y1, y1) AS n, regr_slope(y - y1, y1) AS b, regr_sxx(y - y1, y1) AS sxx, regr_syy(y - y1, y1) AS syy
+      FROM v_hour_lags GROUP BY 1)""")
+def _(lab):
+    return autoregression.dickey_fuller(lab.hourly, AREA, "time", "power").withColumn("statistic", F.round("statistic", 5))
+
+
+@check("ts_adf_stat_aic")
+def _(lab):
+    return autoregression.augmented_dickey_fuller(lab.hourly, AREA, "time", "power").withColumn(
+        "statistic", F.round("statistic", 5)
+    )
+
+
+@check("ts_ar_criteria", f"""
+SELECT bidding_area, CAST(n AS BIGINT) AS n, round(const, 5) AS const, round(phi1, 5) AS phi1, round(phi2, 5) AS phi2,
+       round(n * (ln(2 * pi()) + ln(ssr / n) + 1) + 8, 4) AS aic, round(n * (ln(2 * pi()) + ln(ssr / n) + 1) + 8 * ln(ln(n)), 4) AS hqic,
+       round(n * (ln(2 * pi()) + ln(ssr / n) + 1) + 4 * ln(n), 4) AS bic
+FROM ({AR2_SOLUTION.format(source='''(SELECT bidding_area, CAST(count(*) AS DOUBLE) AS n, sum(y1) AS s1, sum(y2) AS s2, sum(y) AS sy, sum(y1 * y1) AS s11,
+      sum(y2 * y2) AS s22, sum(y1 * y2) AS s12, sum(y1 * y) AS s1y, sum(y2 * y) AS s2y, sum(y * y) AS syy
+      FROM v_hour_lags WHERE y2 IS NOT NULL GROUP BY 1)''')})""")
+def _(lab):
+    fitted = autoregression.ar_criteria(lab.hourly, AREA, "time", "power")
+    digits = {"const": 5, "phi1": 5, "phi2": 5, "aic": 4, "hqic": 4, "bic": 4}
+    return fitted.withColumns({c: F.round(c, d) for c, d in digits.items()})

@@ -250,6 +250,55 @@ LEFT JOIN v_area_share s USING (bidding_area, time_ref, time)
 WINDOW w AS (PARTITION BY time_ref, bidding_area ORDER BY time)"""
 
 
+VIEWS["v_local_row"] = """
+SELECT time_ref, time, lt, windpark_nve AS windpark, bidding_area, em, operating_power_max, mean_hub_height,
+       local_power / operating_power_max AS local_relative_power, ws10m, t2m, mslp, g10m
+FROM v_forecast JOIN v_units USING (windpark_statnet) LEFT JOIN v_unit_power USING (windpark_nve_id, time)
+WHERE time_ref > production_start_date"""
+
+VIEWS["v_block"] = """
+SELECT start, coalesce(lead(start) OVER (ORDER BY start), TIMESTAMP '9999-01-01 00:00:00') AS stop FROM (
+  SELECT min(time_ref) AS start FROM v_local_row WHERE local_relative_power IS NOT NULL AND time_ref >= TIMESTAMP '1998-01-01 00:00:00'
+  GROUP BY date_trunc('month', time_ref))"""
+
+# Weighted straight line of relative power on wind speed, member 0, all rows before each block.
+VIEWS["v_block_fit"] = """
+SELECT start, stop, n, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope,
+       (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw AS intercept
+FROM (SELECT start, any_value(stop) AS stop, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+      FROM v_block JOIN (SELECT time_ref, operating_power_max AS w, ws10m AS x, local_relative_power AS y FROM v_local_row
+                         WHERE em = 0 AND local_relative_power IS NOT NULL) r ON r.time_ref < start GROUP BY 1)"""
+
+VIEWS["v_rolling"] = """
+SELECT time_ref, time, bidding_area, avg(s) AS y_pred FROM (
+  SELECT time_ref, time, bidding_area, em, sum((intercept + slope * ws10m) * operating_power_max) AS s
+  FROM v_local_row JOIN v_block_fit ON time_ref >= start AND time_ref < stop GROUP BY ALL) GROUP BY ALL"""
+
+VIEWS["v_hour_truth"] = """
+SELECT i.bidding_area, i.time AS time_ref, p.time, CAST(date_diff('hour', i.time, p.time) AS BIGINT) AS lt, p.power AS y_true
+FROM v_hourly i JOIN v_hourly p ON i.bidding_area = p.bidding_area
+     AND CAST(p.time AS DATE) = CAST(i.time + INTERVAL '2' DAY AS DATE)
+WHERE hour(i.time) = 9"""
+
+VIEWS["v_hour_lags"] = """
+SELECT bidding_area, time, power AS y, lag(power, 1) OVER w AS y1, lag(power, 2) OVER w AS y2, row_number() OVER w - 1 AS pos
+FROM v_hourly WINDOW w AS (PARTITION BY bidding_area ORDER BY time)"""
+
+AR2_SOLUTION = """
+SELECT *, (sy - phi1 * s1 - phi2 * s2) / n AS const,
+       (syy - sy * sy / n) - phi1 * (s1y - s1 * sy / n) - phi2 * (s2y - s2 * sy / n) AS ssr
+FROM (SELECT *, ((s22 - s2 * s2 / n) * (s1y - s1 * sy / n) - (s12 - s1 * s2 / n) * (s2y - s2 * sy / n)) / det AS phi1,
+             ((s11 - s1 * s1 / n) * (s2y - s2 * sy / n) - (s12 - s1 * s2 / n) * (s1y - s1 * sy / n)) / det AS phi2
+      FROM (SELECT *, (s11 - s1 * s1 / n) * (s22 - s2 * s2 / n) - (s12 - s1 * s2 / n) * (s12 - s1 * s2 / n) AS det FROM {source}))"""
+
+VIEWS["v_ar2"] = AR2_SOLUTION.format(source="""
+(SELECT bidding_area, time AS time_ref, y, y1, 198.0 AS n, sum(y1) OVER w AS s1, sum(y2) OVER w AS s2, sum(y) OVER w AS sy,
+        sum(y1 * y1) OVER w AS s11, sum(y2 * y2) OVER w AS s22, sum(y1 * y2) OVER w AS s12, sum(y1 * y) OVER w AS s1y,
+        sum(y2 * y) OVER w AS s2y, sum(y * y) OVER w AS syy, pos
+ FROM v_hour_lags WINDOW w AS (PARTITION BY bidding_area ORDER BY time ROWS BETWEEN 197 PRECEDING AND CURRENT ROW))""") + """
+WHERE pos >= 199 AND hour(time_ref) = 9"""
+
+
 def compose(body: str) -> str:
     """Statement with the views it reads, directly or through other views, as leading CTEs."""
     needed: list[str] = []

@@ -44,7 +44,7 @@ def with_position(
 def frame_columns(
     df: DataFrame,
     keys: Sequence[str],
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    *columns: Callable[[WindowSpec], dict[str, Column]],
     before: int = 0,
     after: int = 0,
     pos: str = "pos",
@@ -53,7 +53,8 @@ def frame_columns(
     """Window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead.
 
     A series is cut into runs of ``chunk`` rows. Rows near an edge are copied into the neighbouring
-    run, so every frame is complete, and the copies are dropped afterwards.
+    run, so every frame is complete, and the copies are dropped afterwards. Several sets of columns
+    are added one after the other on the same partitioning; ``before`` is then their sum.
     """
     chunk = max(chunk, before, after)
     home = F.floor(F.col(pos) / chunk)
@@ -66,26 +67,24 @@ def frame_columns(
         )
     )
     window = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    return (
-        df.withColumn("_chunk", F.explode(copies))
-        .withColumns(columns(window))
-        .filter(F.col("_chunk") == home)
-        .drop("_chunk")
-    )
+    cut = df.withColumn("_chunk", F.explode(copies))
+    for step in columns:
+        cut = cut.withColumns(step(window))
+    return cut.filter(F.col("_chunk") == home).drop("_chunk")
 
 
 def series_columns(
     df: DataFrame,
     keys: Sequence[str],
     time: str,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    *columns: Callable[[WindowSpec], dict[str, Column]],
     before: int = 0,
     after: int = 0,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """:func:`with_position` by month followed by :func:`frame_columns`."""
     placed = with_position(df, keys, [time], month_of(time), "_pos")
-    return frame_columns(placed, keys, columns, before, after, "_pos", chunk).drop("_pos")
+    return frame_columns(placed, keys, *columns, before=before, after=after, pos="_pos", chunk=chunk).drop("_pos")
 
 
 def rolling(agg: Callable[[Column], Column], x: Column | str, rows: int, window: WindowSpec) -> Column:

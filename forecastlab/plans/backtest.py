@@ -25,20 +25,16 @@ def block_bounds(starts: DataFrame) -> DataFrame:
     return starts.select("start", F.coalesce(following, F.lit(FAR_FUTURE).cast("timestamp")).alias("stop"))
 
 
-def block_of(starts: DataFrame, time_ref: str = "time_ref") -> Column:
-    """Start of the block a row is predicted in, or the earliest time before the first block.
+def with_blocks(data: DataFrame, target: str, first: str | None = None) -> DataFrame:
+    """Rows with ``block``: predicted in that block, trained on by every later one.
 
-    The starts are a list of months (twelve a year, whatever the size of the data) looked up by each
-    row, so no row is shuffled.
+    Rows before the first block get the earliest time. The starts are a list of months (twelve a
+    year, whatever the size of the data) that each row looks up, so no row is shuffled.
     """
-    ordered = starts.agg(F.array_sort(F.collect_list("start"))).scalar()
-    passed = F.filter(ordered, lambda s: s <= F.col(time_ref))
-    return F.coalesce(F.try_element_at(passed, F.lit(-1)), F.lit(BEFORE_ALL).cast("timestamp"))
-
-
-def with_blocks(data: DataFrame, target: str, first: str | None = None) -> DataFrame:
-    """Rows with ``block``: predicted in that block, trained on by every later one."""
-    return data.withColumn("block", block_of(month_starts(data, target, first)))
+    starts = month_starts(data, target, first).agg(F.array_sort(F.collect_list("start"))).scalar()
+    passed = F.filter("_starts", lambda s: s <= F.col("time_ref"))
+    block = F.coalesce(F.try_element_at(passed, F.lit(-1)), F.lit(BEFORE_ALL).cast("timestamp"))
+    return data.withColumn("_starts", starts).withColumn("block", block).drop("_starts")
 
 
 def block_summary(data: DataFrame, target: str, first: str | None = None) -> DataFrame:
