@@ -105,7 +105,7 @@ class Lab:
         """Ensemble-wide station forecasts (A2): 6 variables of 15 members side by side."""
         columns = []
         for em in MEMBERS:
-            speed = F.col("ws") * (0.75 + em / 31)
+            speed = F.col("ws") * ((757 + 32 * em) / 1009)
             columns += [
                 speed.alias(f"ws10m_{em:02d}"),
                 (F.col("wd") + 4.0 * em).alias(f"wd10m_{em:02d}"),

@@ -67,7 +67,7 @@ SELECT sid, time_ref, time, lt, CASE WHEN lt <> 15 THEN ws10m_00 END AS ws10m_00
 FROM v_forecast_wide""")
 def _(lab):
     wide = lab.forecast_wide.withColumn("ws10m_00", F.when(F.col("lt") != 15, F.col("ws10m_00")))
-    ordered = wide.select(*[f.name for f in schemas.FORECAST_WIDE])
+    ordered = wide.select(*schemas.names(schemas.FORECAST_WIDE))
     path = _landed(lab, ordered, "forecast", header=True, nullValue="NA")
     typed = files.read_csv_like(lab.spark, path, schemas.FORECAST_WIDE)
     return typed.select("sid", "time_ref", "time", "lt", "ws10m_00", F.round("t2m_14", 6).alias("t2m_14"))
@@ -84,7 +84,7 @@ def _(lab):
             "county": F.concat(F.lit("Åfjord, "), "windpark_nve"),
             "reported_operating_power_max": F.col("operating_power_max"),
         }
-    ).select(*[f.name for f in schemas.UNITS])
+    ).select(*schemas.names(schemas.UNITS))
     path = _landed(lab, full, "units", header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return files.read_units(lab.spark, path).select(
         "windpark_nve_id", "windpark_nve", "windpark_statnet", "bidding_area", "production_start_date",
@@ -103,8 +103,7 @@ def _(lab):
 @check("src_parquet", """
 SELECT l_orderkey, l_suppkey, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01 00:00:00'""")
 def _(lab):
-    schema = schemas._struct(SCHEMAS["lineitem"])
-    scan = files.read_parquet(lab.spark, f"{lab.sf_dir}/lineitem.parquet", schema)
+    scan = files.read_parquet(lab.spark, f"{lab.sf_dir}/lineitem.parquet", SCHEMAS["lineitem"])
     return scan.filter(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")).select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_shipdate"
     )

@@ -38,8 +38,8 @@ FROM lineitem GROUP BY 1, 2, 3"""
 VIEWS["v_forecast_wide"] = (
     "SELECT sid, time_ref, time_ref + CAST(lt AS INT) * INTERVAL '1' HOUR AS time, lt, "
     + ", ".join(
-        f"ws * {0.75 + em / 31!r}e0 AS ws10m_{em:02d}, wd + {4 * em} AS wd10m_{em:02d}, t2 + {em / 8} AS t2m_{em:02d},"
-        f" rh AS rh2m_{em:02d}, ms + {em / 4} AS mslp_{em:02d}, ws * {0.75 + em / 31!r}e0 + gust AS g10m_{em:02d}"
+        f"ws * {(757 + 32 * em) / 1009!r}e0 AS ws10m_{em:02d}, wd + {4 * em} AS wd10m_{em:02d}, t2 + {em / 8} AS t2m_{em:02d},"
+        f" rh AS rh2m_{em:02d}, ms + {em / 4} AS mslp_{em:02d}, ws * {(757 + 32 * em) / 1009!r}e0 + gust AS g10m_{em:02d}"
         for em in range(15)
     )
     + " FROM v_forecast_base"
@@ -47,8 +47,8 @@ VIEWS["v_forecast_wide"] = (
 
 VIEWS["v_forecast"] = """
 SELECT sid AS windpark_statnet, time_ref, time_ref + CAST(lt AS INT) * INTERVAL '1' HOUR AS time, lt,
-       CAST(em AS INT) AS em, ws * (0.75 + em / 31) AS ws10m, wd + 4 * em AS wd10m, t2 + em / 8 AS t2m,
-       rh AS rh2m, ms + em / 4 AS mslp, ws * (0.75 + em / 31) + gust AS g10m
+       CAST(em AS INT) AS em, ws * ((757 + 32 * em) / 1009) AS ws10m, wd + 4 * em AS wd10m, t2 + em / 8 AS t2m,
+       rh AS rh2m, ms + em / 4 AS mslp, ws * ((757 + 32 * em) / 1009) + gust AS g10m
 FROM v_forecast_base, generate_series(0, 14) AS g(em)"""
 
 VIEWS["v_nowcast"] = """

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forecastlab.operators.series import running_totals
+from forecastlab.session import settle
 
 ACCURACY = 10_000
 SLICES = 256
@@ -62,6 +63,7 @@ def exact_quantiles(
         .groupBy(*keys, "n", "_q", "_cell", F.col("_lo")[F.col("_q")].alias("_lo"), F.col("_hi")[F.col("_q")].alias("_hi"))
         .agg(F.count(F.lit(1)).alias("_k"))
     )
+    counted = settle(counted, "counts")
     width = F.col("_hi") - F.col("_lo")
     slice_no = (
         F.when(F.col("_cell").isNull(), F.lit(-1))
@@ -100,7 +102,7 @@ def two_sample_ks(df: DataFrame, value: str, is_first: Column, keys: Sequence[st
     borders = flagged.agg(
         F.percentile_approx("_v", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 4096)
     ).scalar()
-    by_value = flagged.groupBy(*keys, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    by_value = settle(flagged.groupBy(*keys, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")), "counts")
     cut = by_value.withColumn("_borders", borders)
     slice_no = F.size(F.filter("_borders", lambda s: s < F.col("_v")))
     summed = running_totals(cut, keys, ["_v"], ["_a", "_b"], slice_no).drop("_borders")

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from forecastlab.session import settle
+
 CHUNK_ROWS = 4096
 
 
@@ -159,7 +161,7 @@ def forward_fill(
 
 def ewm_mean(
     df: DataFrame, keys: Sequence[str], time: str, values: dict[str, str], alpha: float,
-    pos: str | None = None,
+    pos: str | None = None, means: dict[str, str] | None = None,
 ) -> DataFrame:
     """Exponentially weighted mean of whole series, in time linear in the rows.
 
@@ -167,11 +169,14 @@ def ewm_mean(
     gives the weighted sums up to a factor that cancels in the quotient. A run is cut before the
     weights leave the range of a double; the sums of the run before it enter with the weight that
     belongs to their distance. Missing values get no weight but still take up a place; their own
-    result is missing.
+    result is missing. ``means`` adds plain expanding means of other columns in the same pass.
+
+    Numbered rows are settled first, because they are read twice (sums per run, and rows).
     """
+    means = means or {}
     decay = -math.log1p(-alpha)
     run = max(2, int(300 / decay))
-    placed = df if pos else with_position(df, keys, [time], month_of(time), "_pos")
+    placed = df if pos else settle(with_position(df, keys, [time], month_of(time), "_pos"), "positions")
     at = pos or "_pos"
     placed = placed.withColumns(
         {"_run": F.floor(F.col(at) / run), "_w": F.exp(F.lit(decay) * (F.col(at) % run))}
@@ -180,13 +185,17 @@ def ewm_mean(
     for out, x in values.items():
         sums[f"_n_{out}"] = F.col(x) * F.col("_w")
         sums[f"_d_{out}"] = F.when(F.col(x).isNotNull(), F.col("_w"))
+    for out, x in means.items():
+        sums[f"_n_{out}"] = F.col(x).cast("double")
+        sums[f"_d_{out}"] = F.when(F.col(x).isNotNull(), F.lit(1.0))
     placed = placed.withColumns(sums)
 
     totals = placed.groupBy(*keys, "_run").agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
     earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys, "_run",
-        *[F.last(f"_t{c}", ignorenulls=True).over(earlier).alias(f"_c{c}") for c in sums],
+        *[F.last(f"_t_{k}_{out}", ignorenulls=True).over(earlier).alias(f"_c_{k}_{out}") for out in values for k in "nd"],
+        *[F.sum(f"_t_{k}_{out}").over(earlier).alias(f"_c_{k}_{out}") for out in means for k in "nd"],
         *[
             F.last(F.when(F.col(f"_t_d_{out}").isNotNull(), F.col("_run")), ignorenulls=True)
             .over(earlier).alias(f"_from_{out}")
@@ -202,6 +211,10 @@ def ewm_mean(
         old_num = F.coalesce(F.col(f"_c_n_{out}") * weight, F.lit(0.0))
         old_den = F.coalesce(F.col(f"_c_d_{out}") * weight, F.lit(0.0))
         result[out] = F.when(F.col(x).isNotNull(), (num + old_num) / (den + old_den))
+    for out in means:
+        total = F.coalesce(F.sum(f"_n_{out}").over(inside), F.lit(0.0)) + F.coalesce(f"_c_n_{out}", F.lit(0.0))
+        count = F.coalesce(F.sum(f"_d_{out}").over(inside), F.lit(0.0)) + F.coalesce(f"_c_d_{out}", F.lit(0.0))
+        result[out] = F.try_divide(total, count)
     extra = ["_run", "_w", *sums, *[f"_c{c}" for c in sums], *[f"_from_{o}" for o in values]]
     return (
         placed.join(carried, [*keys, "_run"])
@@ -225,7 +238,7 @@ def fill_gaps(
     df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], step: str = "1 hour"
 ) -> DataFrame:
     """Regular series: spine, left join, last value carried forward."""
-    spread = hour_spine(df, keys, time, step).join(df, [*keys, time], "left")
+    spread = settle(hour_spine(df, keys, time, step).join(df, [*keys, time], "left"), "spine")
     return forward_fill(spread, keys, [time], columns, month_of(time))
 
 

@@ -11,6 +11,7 @@ from forecastlab.functions.scalars import last_chars, ratio
 from forecastlab.operators.capacity import active_capacity
 from forecastlab.operators.intervals import visible_totals
 from forecastlab.operators.series import rolling, series_columns
+from forecastlab.session import settle
 from forecastlab.sources.schemas import MEMBERS
 
 # The feature lists of the area models.
@@ -110,9 +111,11 @@ def area_dataset(
     """The whole area table, unsorted.
 
     Predictions are scaled by the capacity at issue time, the target by the capacity at valid time.
-    The capacity at issue time comes with the recent block, so capacity is computed once.
+    The capacity at issue time comes with the recent block, so capacity is computed once. Three small
+    tables (area by time, area by issue and valid time) are settled because several branches read
+    them; predictions and production, the large inputs, are read once.
     """
-    relative = relative_power(area_power, units)
+    relative = settle(relative_power(settle(area_power, "area_power"), units), "relative")
     recent = recent_block(relative, compat).withColumnRenamed("time", "time_ref").drop("power", "relative_power")
     target = relative.select("time", "bidding_area", "power", "relative_power")
 
@@ -126,5 +129,5 @@ def area_dataset(
             "max_sum_pred": ratio(F.array_max("member_sums"), capacity),
         }
     )
-    rows = with_transmission(neighbours(rows), transmission)
+    rows = with_transmission(settle(neighbours(rows.drop("member_sums")), "area_rows"), transmission)
     return rows.select(*KEYS, *AREA_FEATURES, *EMOS_FEATURES)

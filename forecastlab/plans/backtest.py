@@ -25,16 +25,19 @@ def block_bounds(starts: DataFrame) -> DataFrame:
     return starts.select("start", F.coalesce(following, F.lit(FAR_FUTURE).cast("timestamp")).alias("stop"))
 
 
-def with_blocks(data: DataFrame, target: str, first: str | None = None) -> DataFrame:
+def with_blocks(
+    data: DataFrame, target: str, first: str | None = None, starts: DataFrame | None = None
+) -> DataFrame:
     """Rows with ``block``: predicted in that block, trained on by every later one.
 
     Rows before the first block get the earliest time. The starts are a list of months (twelve a
     year, whatever the size of the data) that each row looks up, so no row is shuffled.
     """
-    starts = month_starts(data, target, first).agg(F.array_sort(F.collect_list("start"))).scalar()
+    months = month_starts(data, target, first) if starts is None else starts
+    listed = months.agg(F.array_sort(F.collect_list("start"))).scalar()
     passed = F.filter("_starts", lambda s: s <= F.col("time_ref"))
     block = F.coalesce(F.try_element_at(passed, F.lit(-1)), F.lit(BEFORE_ALL).cast("timestamp"))
-    return data.withColumn("_starts", starts).withColumn("block", block).drop("_starts")
+    return data.withColumn("_starts", listed).withColumn("block", block).drop("_starts")
 
 
 def block_summary(data: DataFrame, target: str, first: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from forecastlab.functions import physics, seasons
 from forecastlab.functions.scalars import ratio
 from forecastlab.operators.intervals import visible_totals
 from forecastlab.operators.reshape import dense_grid
-from forecastlab.operators.series import ewm_mean, expanding_mean
+from forecastlab.operators.series import ewm_mean
 
 # The feature list of the unit model.
 LOCAL_FEATURES = [
@@ -49,13 +49,12 @@ def nowcast_features(nowcast: DataFrame, leak_free: bool = True) -> DataFrame:
             "now_air_density": physics.air_density("now_air_pressure_at_sea_level", "now_air_temperature_2m"),
         }
     )
-    if leak_free:
-        base = expanding_mean(base, [station], "time_ref", speed, "location_mean_ws")
-    else:
-        base = station_mean(base, station, speed)
     smooth = ewm_mean(
-        base, [station], "time_ref", {"ewm_now_wind_x": "now_wind_x", "ewm_now_wind_y": "now_wind_y"}, 0.5
+        base, [station], "time_ref", {"ewm_now_wind_x": "now_wind_x", "ewm_now_wind_y": "now_wind_y"}, 0.5,
+        means={"location_mean_ws": speed},
     )
+    if not leak_free:
+        smooth = station_mean(smooth.drop("location_mean_ws"), station, speed)
     return smooth.withColumns(
         {
             "now_wind_alignment": physics.vector_length(F.col("ewm_now_wind_x"), F.col("ewm_now_wind_y")),
@@ -74,9 +73,16 @@ def station_mean(df: DataFrame, station: str, value: str, name: str = "location_
     return df.join(means, station, "left")
 
 
-def with_outages(df: DataFrame, outages: DataFrame, key: str = "windpark_nve_id") -> DataFrame:
-    """Share of capacity reported unavailable, as known at issue time; 0 without a message."""
-    known = visible_totals(df, outages, [key], ["unavailableCapacity", "installedCapacity"])
+def with_outages(
+    df: DataFrame, outages: DataFrame, key: str = "windpark_nve_id", asked: DataFrame | None = None
+) -> DataFrame:
+    """Share of capacity reported unavailable, as known at issue time; 0 without a message.
+
+    ``asked`` names the ``(key, time_ref, time)`` wanted when that is cheaper to compute than ``df``.
+    """
+    known = visible_totals(
+        df if asked is None else asked, outages, [key], ["unavailableCapacity", "installedCapacity"]
+    )
     share = known.select(
         key, "time_ref", "time", ratio("unavailableCapacity", "installedCapacity").alias("unavailable_capacity")
     )
@@ -111,7 +117,7 @@ def local_dataset(
     """
     grid = unit_grid(units, forecast.select("time_ref", "time"))
     cells = grid.join(unit_power.select("windpark_nve_id", "time", "local_power"), ["windpark_nve_id", "time"], "left")
-    cells = with_outages(cells, outages)
+    cells = with_outages(cells, outages, asked=grid)
     cells = cells.join(nowcast_features(nowcast, leak_free), ["windpark_statnet", "time_ref"], "left")
     rows = cells.join(station_alignment(forecast), ["windpark_statnet", "time_ref", "time"], "left")
     rows = rows.withColumns(

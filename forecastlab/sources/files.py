@@ -10,14 +10,14 @@ from forecastlab.functions.scalars import decimal_comma
 from forecastlab.sources import schemas
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
     """Lazy columnar scan; the declared schema keeps footers from being read for inference."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(*([path] if isinstance(path, str) else path))
 
 
 def read_parquet_extended(
-    spark: SparkSession, history: str, extension: str | None, schema: T.StructType | None = None
+    spark: SparkSession, history: str, extension: str | None, schema: str | T.StructType | None = None
 ) -> DataFrame:
     """History plus optional later files (a glob), matched by column name."""
     base = read_parquet(spark, history, schema)
@@ -37,12 +37,12 @@ def csv_header(spark: SparkSession, path: str, sep: str = ";") -> list[str]:
     return spark.read.option("sep", sep).option("header", True).csv(path).columns
 
 
-def read_csv_like(spark: SparkSession, path: str, schema: T.StructType, null_value: str = "NA") -> DataFrame:
+def read_csv_like(spark: SparkSession, path: str, schema: str | T.StructType, null_value: str = "NA") -> DataFrame:
     """Comma file typed by the schema of a sibling table, with a text marker for missing."""
     return spark.read.schema(schema).option("header", True).option("nullValue", null_value).csv(path)
 
 
-def read_csv_dates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_dates(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Comma file with ISO timestamps."""
     return (
         spark.read.schema(schema)

@@ -2,38 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 MEMBERS = list(range(15))
 WEATHER_VARIABLES = ["ws10m", "wd10m", "t2m", "rh2m", "mslp", "g10m"]
 AREAS = [f"ELSPOT NO{k}" for k in range(1, 5)]
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def names(flat_ddl: str) -> list[str]:
+    """Column names of a schema without nested types."""
+    return [part.strip().rsplit(" ", 1)[0].strip("`") for part in flat_ddl.split(",")]
 
 
-FORECAST_WIDE = T.StructType(
-    _struct("sid string, time_ref timestamp, time timestamp, lt long").fields
-    + [
-        T.StructField(f"{variable}_{em:02d}", T.DoubleType())
-        for variable in WEATHER_VARIABLES
-        for em in MEMBERS
-    ]
+FORECAST_WIDE = "sid string, time_ref timestamp, time timestamp, lt long, " + ", ".join(
+    f"{variable}_{em:02d} double" for variable in WEATHER_VARIABLES for em in MEMBERS
 )
 
-NOWCAST = _struct(
+NOWCAST = (
     "windpark string, time timestamp, air_temperature_2m double, air_pressure_at_sea_level double,"
     "relative_humidity_2m double, precipitation_amount double, wind_speed_10m double,"
     "wind_direction_10m double"
 )
 
-AREA_POWER_WIDE = T.StructType(
-    [T.StructField("__index_level_0__", T.TimestampType())]
-    + [T.StructField(area, T.DoubleType()) for area in AREAS]
-)
+AREA_POWER_WIDE = "__index_level_0__ timestamp, " + ", ".join(f"`{area}` double" for area in AREAS)
 
-UNITS = _struct(
+UNITS = (
     "windpark_nve_id long, windpark_nve string, windpark_statnet string, bidding_area string,"
     "province string, county string, production_start_date timestamp,"
     "reported_operating_power_max double, operating_power_max double, mean_hub_height double,"
@@ -41,7 +32,7 @@ UNITS = _struct(
     "ruggedness double"
 )
 
-LOOKUP = _struct(
+LOOKUP = (
     "windpark_nve_id long, windpark_nve string, windpark_statnet string, bidding_area string,"
     "eic_code string"
 )
@@ -58,7 +49,7 @@ TRANSMISSION_OUTAGE = (
     f"installedCapacity:double,timePeriods:array<{PERIOD}>>"
 )
 NAMED_CODE = "struct<name:string,code:string>"
-MESSAGE_DDL = (
+MESSAGE = (
     "messageId string, messageType int, unavailabilityType int, reasonCode string,"
     "unavailabilityReason string, remarks string, publicationDate string, publisherId string,"
     "publisherName string, eventStart string, eventStop string,"
@@ -66,12 +57,10 @@ MESSAGE_DDL = (
     f"transmissionUnits array<{TRANSMISSION_OUTAGE}>, areas array<{NAMED_CODE}>,"
     f"assets array<{NAMED_CODE}>"
 )
-MESSAGE = _struct(MESSAGE_DDL)
-PAGE = T.StructType(
-    [T.StructField("total", T.LongType()), T.StructField("items", T.ArrayType(MESSAGE))]
-)
+FIELDS = MESSAGE.replace(" string", ":string").replace(" int", ":int").replace(" array", ":array")
+PAGE = f"total long, items array<struct<{FIELDS}>>"
 
-REGISTER = _struct(
+REGISTER = (
     "VindkraftAnleggId long, Navn string, IdriftsettelseForsteByggetrinn string,"
     "InstallertEffekt_MW double, Fylke string, Kommune string, GjsnittNavhoeyde double,"
     "GjsnittGeneratorytelse double, GjsnittRotordiameter double, AntallOperativeTurbiner long,"
