@@ -164,13 +164,10 @@ class Lab:
 
     @cached_property
     def area_power(self) -> DataFrame:
-        """Area production in long form: five slots a day, with holes.
-
-        Units are added up by unit and time before the join, so only one row per unit and slot moves.
-        """
-        by_unit = self._production.groupBy("windpark_nve_id", "time").agg(F.sum("delivered").alias("delivered"))
+        """Area production in long form: five slots a day, with holes."""
+        area = self.units.select("windpark_nve_id", "bidding_area")
         return (
-            by_unit.join(self.units.select("windpark_nve_id", "bidding_area"), "windpark_nve_id")
+            self._production.join(area, "windpark_nve_id")
             .groupBy("time", "bidding_area")
             .agg((F.sum("delivered") * 50 / 1009).alias("power"))
         )
