@@ -10,7 +10,6 @@ from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.functions.errors import rmse, weighted_rmse
 from forecastlab.functions.scalars import is_day_ahead, logit
-from forecastlab.operators.series import month_of
 from forecastlab.plans import area, backtest, bands, design, logitnormal, moments, trees, truth
 from forecastlab.session import cut_lineage
 
@@ -77,7 +76,7 @@ SELECT bidding_area, time_ref, time, CASE WHEN pos < floor(n * 0.75) THEN 'train
 FROM (SELECT *, row_number() OVER (ORDER BY time_ref, time, bidding_area) - 1 AS pos, count(*) OVER () AS n FROM v_truth)""")
 def _(lab):
     pairs = truth.evaluation_set(lab.area_power).select("bidding_area", "time_ref", "time")
-    return backtest.purged_split(pairs, ["time_ref", "time", "bidding_area"], month_of("time_ref"), 0.75, 39 + 24 - 1)
+    return backtest.purged_split(pairs, ["time_ref", "time", "bidding_area"], 0.75, 39 + 24 - 1)
 
 
 @check("bt_train_year", """

@@ -260,10 +260,10 @@ def _(lab):
 @check("sort_multi", """
 SELECT time_ref, time, sid, row_number() OVER (ORDER BY time_ref, time, sid) - 1 AS pos FROM v_forecast_wide""")
 def _(lab):
-    from forecastlab.operators.series import month_of, with_position
+    from forecastlab.operators.series import global_position
 
-    rows = lab.forecast_wide.select("time_ref", "time", "sid")
-    return with_position(rows, [], ["time_ref", "time", "sid"], month_of("time_ref")).orderBy("time_ref", "time", "sid")
+    order = ["time_ref", "time", "sid"]
+    return global_position(lab.forecast_wide.select(*order), order).orderBy(*order)
 
 
 @check("topk_tail", """

@@ -20,7 +20,9 @@ def exact_quantiles(
 
     A mergeable sketch first brackets every quantile. Values below a bracket are only counted, those
     above are dropped, and what lies inside is counted by value and ranked. The bracket is wider than
-    the sketch's error, so the result is exact. Groups too small for a bracket are ranked whole.
+    the sketch's error, so the result is exact. Groups too small for a bracket are ranked whole. The
+    brackets are settled, so Spark sees their size and can broadcast them instead of moving the rows
+    of a large group together.
     """
     names, qs = list(quantiles), list(quantiles.values())
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -41,6 +43,7 @@ def exact_quantiles(
             "_hi": F.when(wide, F.col("_hi")).otherwise(F.array(*[F.lit(float("inf"))] * len(qs))),
         }
     )
+    brackets = settle(brackets, "brackets")
     if keys:
         tied = present.join(brackets, list(keys))
     else:

@@ -43,6 +43,17 @@ def with_position(
     )
 
 
+def global_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Row number from 0 over the whole table.
+
+    Rows are range partitioned on the order, which balances the ranges by sampling, and settled so
+    that the ranges stay what they are; then each range is numbered on its own and moved by the rows
+    before it.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return with_position(settle(ranged, "ranges"), [], order, F.col("_range"), name).drop("_range")
+
+
 def frame_columns(
     df: DataFrame,
     keys: Sequence[str],

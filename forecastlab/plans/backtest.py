@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from forecastlab.functions.scalars import add_days, is_day_ahead
-from forecastlab.operators.series import month_of, with_position
+from forecastlab.operators.series import global_position, month_of
 
 FAR_FUTURE = "9999-01-01"
 BEFORE_ALL = "0001-01-01"
@@ -84,14 +84,14 @@ def holdout(
 
 
 def purged_split(
-    data: DataFrame, order: list[str], bucket: Column, train_share: float = 0.75, gap: int = 0
+    data: DataFrame, order: list[str], train_share: float = 0.75, gap: int = 0
 ) -> DataFrame:
     """``part``: the first share of rows in time, then a gap, then the rest.
 
-    Rows are numbered in two levels, so no task sorts all of them.
+    Rows are numbered in ranges, so no task sorts all of them.
     """
-    placed = with_position(data, [], order, bucket, "_pos")
-    total = data.agg(F.count(F.lit(1))).scalar()
+    placed = global_position(data, order, "_pos")
+    total = placed.agg(F.max("_pos") + 1).scalar()
     cut = F.floor(total * F.lit(train_share))
     part = (
         F.when(F.col("_pos") < cut, "train").when(F.col("_pos") < cut + gap, "gap").otherwise("validation")

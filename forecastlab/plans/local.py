@@ -9,6 +9,7 @@ from forecastlab.functions.scalars import ratio
 from forecastlab.operators.intervals import visible_totals
 from forecastlab.operators.reshape import dense_grid
 from forecastlab.operators.series import ewm_mean
+from forecastlab.session import settle
 
 # The feature list of the unit model.
 LOCAL_FEATURES = [
@@ -67,9 +68,9 @@ def station_mean(df: DataFrame, station: str, value: str, name: str = "location_
     """Mean over all time of each station, beside every row.
 
     Grouped and joined back: partial means are combined before the shuffle, and no station has to
-    fit in one task as it would in a window.
+    fit in one task as it would in a window. The means are settled, so that Spark knows their size.
     """
-    means = df.groupBy(station).agg(F.avg(value).alias(name))
+    means = settle(df.groupBy(station).agg(F.avg(value).alias(name)), "means")
     return df.join(means, station, "left")
 
 

@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         jvm_dir = spark.sparkContext.getCheckpointDir()
         named = jvm_dir or tempfile.mkdtemp(prefix="forecastlab-")
         spark.conf.set("spark.checkpoint.dir", named)

@@ -92,7 +92,7 @@ def test_holdout_and_purged_split(spark):
     assert val.filter(F.to_date("time") != F.date_add(F.to_date("time_ref"), 2)).isEmpty()
     assert train.select("sample_weight").distinct().collect()[0][0] == 1.0
     ids = spark.range(1000).select(F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("time"))
-    parts = backtest.purged_split(ids, ["time"], F.date_trunc("DAY", "time"), 0.75, 62).groupBy("part").count().collect()
+    parts = backtest.purged_split(ids, ["time"], 0.75, 62).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in parts} == {"train": 750, "gap": 62, "validation": 188}
 
 

@@ -30,8 +30,10 @@ def test_position_counts_across_buckets(spark):
 
 def test_position_without_keys(spark):
     frame = hourly(300, keys=("a",))
-    got = collected(series.with_position(spark.createDataFrame(frame), [], ["time"], F.date_trunc("DAY", "time")), "time")
+    df = spark.createDataFrame(frame)
+    got = collected(series.with_position(df, [], ["time"], F.date_trunc("DAY", "time")), "time")
     assert got["pos"].tolist() == list(range(len(frame)))
+    assert collected(series.global_position(df.repartition(7), ["time"]), "time")["pos"].tolist() == list(range(len(frame)))
 
 
 @pytest.mark.parametrize("chunk", [24, 37, 4096])
