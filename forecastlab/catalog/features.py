@@ -13,6 +13,7 @@ from forecastlab.functions import physics, seasons
 from forecastlab.functions.scalars import ratio
 from forecastlab.operators.reshape import bilinear
 from forecastlab.plans import area, design, local, units
+from forecastlab.session import settle
 from forecastlab.sources.files import register_columns
 
 SITE = ["windpark_nve_id", "time_ref", "lt"]
@@ -104,7 +105,7 @@ def _(lab):
 SELECT windpark_nve_id, time_ref, time, round(coalesce(unavailable_capacity, 0), 6) AS unavailable_capacity
 FROM v_unit_cell LEFT JOIN v_unit_share USING (windpark_nve_id, time_ref, time)""")
 def _(lab):
-    return local.with_outages(unit_cells(lab), lab.outages).withColumn("unavailable_capacity", r6("unavailable_capacity"))
+    return local.with_outages(settle(unit_cells(lab), "cells"), lab.outages).withColumn("unavailable_capacity", r6("unavailable_capacity"))
 
 
 @check("feat_transmission", """
@@ -114,7 +115,7 @@ def _(lab):
     from forecastlab.sources.messages import page_items, transmission_outages
 
     landed = transmission_outages(page_items(lab.pages), after="1995-06-01")
-    return area.with_transmission(area_cells(lab), landed).withColumn(
+    return area.with_transmission(settle(area_cells(lab), "cells"), landed).withColumn(
         "unavailable_transmission", r6("unavailable_transmission")
     )
 

@@ -11,7 +11,8 @@ from forecastlab.operators import matching
 from forecastlab.operators.capacity import active_capacity
 from forecastlab.operators.intervals import visible_pairs
 from forecastlab.operators.reshape import dense_grid
-from forecastlab.plans import area, local, truth
+from forecastlab.plans import area, truth
+from forecastlab.session import settle
 
 CELLS_SQL = """
 SELECT windpark_nve_id, time_ref, time FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet
@@ -99,7 +100,7 @@ FROM ({AREA_CELLS_SQL}) c LEFT JOIN (
   WHERE c.time_ref > t.publicationDate AND c.time >= t.eventStart AND c.time <= t.eventStop GROUP BY 1, 2, 3) k
 USING (bidding_area, time_ref, time)""")
 def _(lab):
-    return area.with_transmission(area_cells(lab), lab.transmission).withColumn(
+    return area.with_transmission(settle(area_cells(lab), "cells"), lab.transmission).withColumn(
         "unavailable_transmission", r6("unavailable_transmission")
     )
 

@@ -8,10 +8,10 @@ from forecastlab.catalog.aggregates import scored_pairs
 from forecastlab.catalog.features import area_table
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
-from forecastlab.functions.errors import rmse, weighted_rmse
+from forecastlab.functions.errors import rmse
 from forecastlab.functions.scalars import is_day_ahead, logit
 from forecastlab.plans import area, backtest, bands, design, logitnormal, moments, trees, truth
-from forecastlab.session import cut_lineage
+from forecastlab.session import cut_lineage, settle
 
 FIRST = "1998-01-01"
 SPLIT = "1999-01-01"
@@ -169,7 +169,7 @@ FROM v_scored LEFT JOIN (
   FROM v_scored WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' GROUP BY 1) USING (lt)
 WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'""")
 def _(lab):
-    pairs, cut = scored_pairs(lab), F.lit(SPLIT).cast("timestamp")
+    pairs, cut = settle(scored_pairs(lab), "pairs"), F.lit(SPLIT).cast("timestamp")
     band = bands.quantile_band(pairs.filter(F.col("time_ref") >= cut), pairs.filter(F.col("time_ref") < cut), ["lt"])
     return band.select("bidding_area", "time_ref", "time", "lt", r6("q05").alias("q05"), r6("q95").alias("q95"))
 

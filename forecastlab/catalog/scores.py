@@ -140,7 +140,10 @@ def _(lab):
 
 
 def left_out(lab):
-    """Errors of every unit when its station or another one is left out."""
+    """Errors of every unit when its own area or another one is left out of the training.
+
+    The left-out part is the area and not the unit: a row per unit and unit would be all pairs.
+    """
     known = lab.local_rows.filter(F.col(TARGET).isNotNull()).withColumn("part", F.col("bidding_area"))
     cut = F.lit(SPLIT).cast("timestamp")
     train = known.filter((F.col("time_ref") < cut) & (F.col("em") == 0))

@@ -12,6 +12,7 @@ from forecastlab.operators import series
 from forecastlab.operators.ranks import exact_quantiles, first_per_key
 from forecastlab.plans import area, backtest, local, summaries, truth
 from forecastlab.plans.units import unit_sites
+from forecastlab.session import settle
 
 
 def _recent(lab, columns, compat=False):
@@ -138,7 +139,7 @@ def _(lab):
         truth.evaluation_set(lab.area_power), truth.ensemble_mean_prediction(lab.local_pred),
         ["bidding_area", "time_ref", "time"], fill=None,
     )
-    filled = series.forward_fill(pairs, ["bidding_area"], ["time_ref", "time"], ["y_pred"], series.month_of("time_ref"))
+    filled = series.forward_fill(settle(pairs, "pairs"), ["bidding_area"], ["time_ref", "time"], ["y_pred"], series.month_of("time_ref"))
     return filled.select("bidding_area", "time_ref", "time", r6("y_pred").alias("y_pred"))
 
 
