@@ -10,7 +10,6 @@ from forecastlab.catalog.rows import SEASON_RAW, SEASON_SQL, r6, rounded
 from forecastlab.catalog.views import HUB_AIR
 from forecastlab.catalog.windows import geo_sites
 from forecastlab.functions import physics, seasons
-from forecastlab.functions.scalars import ratio
 from forecastlab.operators.reshape import bilinear
 from forecastlab.plans import area, design, local, units
 from forecastlab.session import settle

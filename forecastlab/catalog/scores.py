@@ -12,7 +12,7 @@ from forecastlab.catalog.views import AR2_SOLUTION
 from forecastlab.functions.errors import coverage
 from forecastlab.functions.scalars import is_day_ahead
 from forecastlab.operators.ranks import two_sample_ks
-from forecastlab.plans import area, autoregression, baselines, bands, moments, scores, truth
+from forecastlab.plans import area, autoregression, baselines, moments, scores, truth
 
 AREA = ["bidding_area"]
 SCORE = "round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS crps"

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
-from forecastlab.functions import ensemble, physics
+from forecastlab.functions import physics
 from forecastlab.functions.scalars import ratio
 from forecastlab.operators import series
 from forecastlab.operators.ranks import exact_quantiles, first_per_key

@@ -37,7 +37,8 @@ def visible_totals(
 
     No row-message pair is made. A message is spread over the hours it covers and added up per
     ``(key, hour, first hour it is visible)`` before the shuffle; a running sum along the visible
-    hour, with the issue times sorted in between, then answers every row. Issue and valid times must
+    hour, with the issue times sorted in between, then answers every row. Messages are few but long,
+    so they are spread over the tasks before they are opened to hours. Issue and valid times must
     be whole hours; a row that is not raises an error instead of giving a wrong sum. Rows that see
     no message are absent.
     """
@@ -49,6 +50,7 @@ def visible_totals(
     known = (
         events.withColumns({"_from": first_hour, "_to": F.date_trunc("HOUR", F.col(STOP))})
         .filter(F.col("_from") <= F.col("_to"))
+        .repartition(*keys, START, PUBLISHED)
         .withColumn("time", F.explode(F.expr("sequence(_from, _to, INTERVAL 1 HOUR)")))
         .groupBy(
             *keys, "time",
