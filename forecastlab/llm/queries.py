@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from forecastlab.llm import sentence_pieces, sharding, token_counts  # noqa: F401
+from forecastlab.llm import quality_net, secrets, sentence_pieces, sharding, token_counts, toxicity  # noqa: F401
 from forecastlab.llm.registry import ORACLES, QUERIES  # noqa: F401
