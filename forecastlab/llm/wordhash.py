@@ -15,6 +15,9 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For ``words_of``: ASCII signs part words as well; letters, digits and all bytes of other scripts make them.
+SIGNS = np.ones(256, dtype=bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +56,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         start = stop
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a large-string slice, and the bounds of each text: text ``i`` has words ``[b[i], b[i+1])``."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     n = int(offsets[-1] - offsets[0])
@@ -61,7 +64,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=n, offset=int(offsets[0]))
     offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[(offsets < n)]
