@@ -70,11 +70,16 @@ def signature(tokens: np.ndarray) -> int:
     if not len(tokens):
         return 0
     both = np.array([np.bitwise_xor.reduce(tokens), tokens.sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
-    return int((mix(both)[0] * np.uint64(3) + mix(both)[1]).view(np.int64))
+    return int(mix(mix(both) * np.array([3, 1], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
+def content_key() -> F.Column:
+    """Rows of one id and text are the same document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, sig)`` of every row; ``sig`` is null for an empty set."""
+    """``(key, doc_id, n, sig)`` of every row; ``sig`` is null for an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +87,11 @@ def set_rows(docs: DataFrame) -> DataFrame:
             for tokens in shingle_sets(batch.column("text"), WORDS):
                 n.append(len(tokens))
                 sig.append(signature(tokens) if len(tokens) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["doc_id", "n", "sig"])
+            yield pa.record_batch(
+                [batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], names=["key", "doc_id", "n", "sig"]
+            )
 
-    return id_text(docs).mapInArrow(work, "doc_id long, n long, sig long")
+    return id_text(docs).withColumn("key", content_key()).mapInArrow(work, "key long, doc_id long, n long, sig long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -320,7 +327,7 @@ def matrix_links(sets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows ``(doc_id, n, sig)``, and ``(node, root)`` of all sets that link with another one."""
+    """The rows ``(key, doc_id, n, sig)``, and ``(node, root)`` of all sets that link with another one."""
     rows = settle(set_rows(docs), "near_rows")
     entity = settle(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "near_entities")
     sharing = settle(sharing_documents(docs, entity.select("sig", "n")), "near_sharing")
@@ -353,11 +360,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one with the smallest id (of equal ids, one row); rows without words all stay."""
-    ids = near_classes(docs)
-    lost = settle(ids.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct(), "near_lost")
-    stay = docs.join(small_side(lost.where("doc_id is not null"), lost.count(), 24), "doc_id", "left_anti")
-    return stay.select(docs.columns)
+    """One row of each class: the smallest id, ids before nulls, then the smallest hash of the content. Rows without words all stay."""
+    rows, roots = classes(docs)
+    rows = rows.where("sig is not null")
+    rows = rows.join(roots, rows["sig"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "sig").alias("root"))
+    rows = settle(rows, "near_members")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("many"))
+    first = first.where("many > 1").select("root", F.col("first.key").alias("first"))
+    lost = settle(rows.join(first, "root").where("key <> first").select("key").distinct(), "near_lost")
+    twice = settle(rows.groupBy("key").count().where("count > 1").select("key"), "near_twice")
+    kept = docs.withColumn("_key", content_key())
+    kept = kept.join(small_side(lost.withColumnRenamed("key", "_key"), lost.count(), 24), "_key", "left_anti")
+    many = twice.count()
+    if many:  # rows that are the same in id and text
+        same = small_side(twice.withColumnRenamed("key", "_key"), many, 24)
+        kept = kept.join(same, "_key", "left_anti").unionByName(kept.join(same, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(docs.columns)
 
 
 # The brute-force form for small tables: all shingle sets, all pairs that share a shingle.
