@@ -121,8 +121,8 @@ def train(data: np.ndarray, good: np.ndarray, epochs: int = EPOCHS, seed: int =
 
 
 def padded(raw: np.ndarray) -> np.ndarray:
-    """The bytes with zeros behind, to a whole number of steps."""
-    blocks = max(1, -(-len(raw) // STEP))
+    """The bytes with at least ``WIDTH - 1`` zeros behind, to a whole number of steps."""
+    blocks = -(-(len(raw) + WIDTH - 1) // STEP)
     out = np.zeros(blocks * STEP, np.uint8)
     out[: len(raw)] = raw
     return out
@@ -139,6 +139,8 @@ def text_features(net: Net, texts: list[bytes]) -> np.ndarray:
         stop = min(len(block), start + many)
         seen = windows(net, data[start * STEP : stop * STEP + WIDTH - 1])
         z = np.ascontiguousarray(seen) @ net.filters
+        ends = bounds[1:][(bounds[1:] > start) & (bounds[1:] <= stop)] - start
+        z[(ends[:, None] * STEP - np.arange(1, WIDTH)).ravel()] = -np.inf  # these reach from the padding into the next text
         block[start:stop] = z.reshape(-1, STEP, FILTERS).max(axis=1)
     block = np.maximum(block + net.bias, 0)
     chunk = block.copy()
@@ -147,8 +149,10 @@ def text_features(net: Net, texts: list[bytes]) -> np.ndarray:
     several = np.diff(bounds) > 1
     chunk[ends] = np.where(several[:, None], chunk[ends - 1], block[ends])
     value = chunk_values(net, chunk)[1].astype(np.float64)
-    at = bounds[:-1]
-    return np.column_stack([np.maximum.reduceat(value, at), np.add.reduceat(value, at) / np.diff(bounds), np.minimum.reduceat(value, at)])
+    at, once = bounds[:-1], np.ones(len(value))
+    once[ends[several]] = 0  # the last step of a longer text begins no chunk of its own
+    mean = np.add.reduceat(value * once, at) / np.add.reduceat(once, at)
+    return np.column_stack([np.maximum.reduceat(value, at), mean, np.minimum.reduceat(value, at)])
 
 
 def spread_chunks(raw: bytes, many: int = CHUNKS_PER_TEXT) -> list[bytes]:
