@@ -46,35 +46,36 @@ def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, n, words)``: the word hashes of every item as bytes."""
+    """``(item, item_id, n, words)``: the word hashes of every item as bytes; ``item`` tells items apart, whatever their ids."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start, rows in slices(batch.column("text")):
             words, bounds = words_of(rows, SIGNS)
             parts = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.record_batch(
-                [batch.column("item_id").slice(start, len(rows)), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["item_id", "n", "words"],
+                [batch.column("item").slice(start, len(rows)), batch.column("item_id").slice(start, len(rows)), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["item", "item_id", "n", "words"],
             )
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows.where("text is not null").dropDuplicates(), work, "item_id long, n long, words binary").where(f"n >= {SEED_WORDS}")
+    rows = rows.where("text is not null").dropDuplicates().withColumn("item", F.xxhash64("item_id", "text"))
+    return map_arrow(rows, work, "item long, item_id long, n long, words binary").where(f"n >= {SEED_WORDS}")
 
 
 def item_grams(items: DataFrame) -> DataFrame:
-    """``(item_id, seed, parts)``: distinct n-grams of every item with their word hashes."""
+    """``(item, seed, parts)``: distinct n-grams of every item with their word hashes."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for item, raw in zip(batch.column("item_id"), batch.column("words").to_pylist()):
+        for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
             words = np.frombuffer(raw, np.uint64)
             seeds, at = np.unique(gram_hash(words, SEED_WORDS), return_index=True)
             parts = np.lib.stride_tricks.sliding_window_view(words, SEED_WORDS)[at].view(np.int64)
             yield pa.record_batch(
-                [pa.array([item.as_py()] * len(seeds), pa.int64()), pa.array(seeds.view(np.int64)), pa.array(parts.tolist(), pa.list_(pa.int64()))],
-                names=["item_id", "seed", "parts"],
+                [pa.array([item] * len(seeds), pa.int64()), pa.array(seeds.view(np.int64)), pa.array(parts.tolist(), pa.list_(pa.int64()))],
+                names=["item", "seed", "parts"],
             )
 
-    return map_arrow(items.select("item_id", "words"), work, "item_id long, seed long, parts array<bigint>")
+    return map_arrow(items.select("item", "words"), work, "item long, seed long, parts array<bigint>")
 
 
 def word_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -100,13 +101,13 @@ def word_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(item_id, seed)``: the n-grams that are rare by chance, and at least the rarest few of each item."""
+    """``(item, seed)``: the n-grams that are rare by chance, and at least the rarest few of each item."""
     total = F.lit(max(1, counts.where("word is null").agg(F.sum("n")).first()[0] or 0))
     share = F.log((F.coalesce("n", F.lit(0)) + 1) / (total + 1))
-    long = grams.select("item_id", "seed", F.explode("parts").alias("word")).join(counts.where("word is not null"), "word", "left")
-    chance = long.groupBy("item_id", "seed").agg(F.sum(share).alias("chance"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("chance", "seed"))  # one item's n-grams
-    return chance.withColumn("rank", rank).where((F.col("chance") <= F.log(F.lit(RARE / 1e6))) | (F.col("rank") <= LEAST_SEEDS)).select("item_id", "seed")
+    long = grams.select("item", "seed", F.explode("parts").alias("word")).join(counts.where("word is not null"), "word", "left")
+    chance = long.groupBy("item", "seed").agg(F.sum(share).alias("chance"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("chance", "seed"))  # one item's n-grams
+    return chance.withColumn("rank", rank).where((F.col("chance") <= F.log(F.lit(RARE / 1e6))) | (F.col("rank") <= LEAST_SEEDS)).select("item", "seed")
 
 
 def passages(docs: DataFrame, key: str, seeds: np.ndarray, reach: int) -> DataFrame:
@@ -200,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", min_s
     blocks = max(1, -(-grams.count() * 2 // BLOCK_SEEDS))  # half filled, as the hash spreads unevenly
     found = None
     for block in range(blocks):
-        part = grams.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        part = grams.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         words = np.sort(np.array([r[0] for r in part.select(F.explode("parts")).distinct().collect()], np.int64).view(np.uint64))
         counts = settle(word_counts(docs, words), "leak_words")
         seeds = settle(rare_seeds(part, counts), "leak_seeds")
@@ -209,9 +210,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", min_s
             continue
         near = passages(docs, key, known, int(longest)).withColumn("place", F.xxhash64("key", "start", "words"))
         near = settle(near, "leak_passages")
-        hits = near.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").select("place", "item_id").distinct()
+        hits = near.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").select("place", "item").distinct()
         chosen = near.select("place", "key", "start", "words").dropDuplicates(["place"]).join(hits, "place")
-        pairs = chosen.join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+        pairs = chosen.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
         scored = _aligned(pairs).where(F.col("score") >= min_score)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
