@@ -13,7 +13,9 @@ ids (both decode to the empty text); every row of the table gives one row.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +26,23 @@ from forecastlab.llm.registry import query
 from forecastlab.llm.vocabulary import MODEL_PATH, SPACE, UNKNOWN_SCORE, load_pieces, piece_scores
 from forecastlab.llm.wordhash import slices
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 _WORD = re.compile(" *[^ \n]+| +|\n")
+_LETTERS = re.compile(" *[A-Za-zÀ-ÖØ-öø-ɏ]+| *[^A-Za-zÀ-ÖØ-öø-ɏ \n]+| +|\n")
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+_LOW = float("-inf")
+_NOWHERE = (-1, ())
 
 
 class StreamingViterbi:
     """Best segmentation of a stream of characters; ids leave as soon as they are certain."""
 
     def __init__(self, scores: dict[str, tuple[float, int]], first_byte: int):
-        self.pieces: dict[str, tuple[float, int] | None] = {}
-        for piece, value in scores.items():
+        self.pieces: dict[str, tuple | None] = {}  # None: only the beginning of pieces
+        for piece, (score, number) in scores.items():
             for end in range(1, len(piece)):
                 self.pieces.setdefault(piece[:end], None)
-            self.pieces[piece] = value
+            self.pieces[piece] = (score, number, (number,))
         self.longest = max(map(len, scores), default=1)
         self.first_byte = first_byte
         self.restart()
@@ -49,35 +55,30 @@ class StreamingViterbi:
 
     def follow(self, upto: int) -> None:
         """Follow the edges out of positions before ``upto``. A later, equal path loses: the longer last piece wins."""
-        text, best, back, pieces = self.text, self.best, self.back, self.pieces
-        low = float("-inf")
+        text, best, back, find = self.text, self.best, self.back, self.pieces.get
         n = len(text)
+        more = n + 1 - len(best)
+        if more > 0:
+            best.extend([_LOW] * more)
+            back.extend([_NOWHERE] * more)
         for start in range(self.done, upto):
             here = best[start]
-            end = start + 1
             single = False
-            while end <= n:
-                piece = text[start:end]
-                if piece not in pieces:
-                    break
-                value = pieces[piece]
-                if value is not None:
-                    single = single or end == start + 1
-                    while len(best) <= end:
-                        best.append(low)
-                        back.append((-1, ()))
+            for end in range(start + 1, n + 1):
+                value = find(text[start:end], 0)
+                if value:
+                    if end == start + 1:
+                        single = True
                     if here + value[0] > best[end]:
                         best[end] = here + value[0]
-                        back[end] = (start, (value[1],))
-                end += 1
-            if not single:
-                if len(best) <= start + 1:
-                    best.append(low)
-                    back.append((-1, ()))
-                if here + UNKNOWN_SCORE > best[start + 1]:
-                    best[start + 1] = here + UNKNOWN_SCORE
-                    back[start + 1] = (start, tuple(self.first_byte + b for b in text[start].encode("utf-8", "surrogatepass")))
-        self.done = max(self.done, upto)
+                        back[end] = (start, value[2])
+                elif value == 0:  # no piece goes on like this
+                    break
+            if not single and here + UNKNOWN_SCORE > best[start + 1]:
+                best[start + 1] = here + UNKNOWN_SCORE
+                back[start + 1] = (start, tuple(self.first_byte + b for b in text[start].encode("utf-8", "surrogatepass")))
+        if upto > self.done:
+            self.done = upto
 
     def path(self, end: int) -> list[int]:
         """The ids from the committed boundary to ``end``."""
@@ -89,7 +90,7 @@ class StreamingViterbi:
 
     def converged(self) -> int:
         """The last boundary that the paths of all reached, not yet followed positions share."""
-        ends = {e for e in range(self.done, len(self.best)) if self.best[e] > float("-inf")}
+        ends = {e for e in range(self.done, len(self.best)) if self.best[e] > _LOW}
         while len(ends) > 1:
             top = max(ends)
             ends.remove(top)
@@ -118,26 +119,54 @@ class StreamingViterbi:
         return out
 
     def encode(self, chars: str) -> list[int]:
-        return self.feed(chars) + self.finish()
+        if len(chars) > self.longest:
+            return self.feed(chars) + self.finish()
+        self.text = chars  # it fits the window
+        return self.finish()
+
+
+def joined_pairs(pieces: tuple[str, ...]) -> set[str]:
+    """Pairs of characters that stand together in some piece."""
+    return {p[k : k + 2] for p in (piece.replace(SPACE, " ") for piece in pieces) for k in range(len(p) - 1)}
+
+
+def word_pattern(joined: set[str]) -> re.Pattern:
+    """Units that no piece reaches across; runs of letters stand alone if no piece joins them to other characters."""
+    mixed = any(a != " " and bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in joined)
+    return _WORD if mixed else _LETTERS
 
 
 class Encoder(dict):
-    """Ids of words as int32 bytes, found by the search on first sight; the whole cache is dropped when it is full."""
+    """Ids of words as int32 bytes, found by the search on first sight. When full, the cache becomes the older half of the next."""
 
     def __init__(self, pieces: tuple[str, ...], first_byte: int):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.search = StreamingViterbi(piece_scores(pieces), first_byte)
+        self.joined = joined_pairs(pieces)
+        self.words = word_pattern(self.joined).findall
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = np.array(self.search.encode(word.replace(" ", SPACE)), dtype=np.int32).tobytes()
+        """Ids of a word not seen lately; a place whose two characters stand together in no piece parts it."""
+        ids = self.older.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
+        joined = self.joined
+        cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in joined]
+        if cuts:
+            ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
+        else:
+            ids = array("i", self.search.encode(word.replace(" ", SPACE))).tobytes()
         if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _WORD.findall(" " + text))) if text else b""
+        return b"".join(map(self.__getitem__, self.words(" " + text))) if text else b""
 
 
 class Decoder:
