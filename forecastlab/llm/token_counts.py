@@ -1,6 +1,7 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of distinct pre-tokens.
 
-A pre-token is a word between white space with the word mark in front. Distinct pre-tokens go into a trie;
+Pre-tokens are the units that no vocabulary piece reaches across: a run of letters or of other signs with
+the spaces before it as word marks, or a line break; a text starts with one word mark. Distinct pre-tokens go into a trie;
 the best score and token count of a prefix is computed when its node is made, so pre-tokens that share a
 prefix share that work, and the node where a pre-token ends holds its count. Each Python worker keeps one
 trie; when it reaches its node limit it is started anew, which costs time and changes no result.
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from forecastlab.llm.common import id_text, map_arrow, table
 from forecastlab.llm.registry import query
+from forecastlab.llm.sentence_pieces import joined_pairs, word_pattern
 from forecastlab.llm.vocabulary import MODEL_PATH, SPACE, UNKNOWN_SCORE, load_pieces, piece_scores
 from forecastlab.llm.wordhash import slices
 
@@ -28,33 +30,40 @@ class PrefixTrie:
     """Forward scores of all prefixes of the inserted pre-tokens."""
 
     def __init__(self, scores: dict[str, tuple[float, int]], max_nodes: int = MAX_NODES):
-        self.scores = {piece: value for piece, (value, _) in scores.items()}
-        self.longest = max(map(len, self.scores), default=1)
+        self.scores: dict[str, float | None] = {}  # None: only the end of pieces
+        for piece in scores:
+            for start in range(1, len(piece)):
+                self.scores.setdefault(piece[start:], None)
+        for piece, (value, _) in scores.items():
+            self.scores[piece] = value
         self.max_nodes = max_nodes
+        self.terminal = {}
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.best: list[tuple[float, int]] = [(0.0, 0)]
+        self.older = self.terminal  # results of the trie before this one
         self.terminal: dict[str, tuple[float, int]] = {}
 
     def extend(self, word: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         """Best ``(score, tokens)`` of ``word[:end]`` from those of its shorter prefixes."""
-        char = word[end - 1]
-        get = self.scores.get
-        score, tokens = path[end - 1]
-        known = get(char)
-        if known is None:
-            top = (score + UNKNOWN_SCORE, tokens + len(char.encode("utf-8", "surrogatepass")))
-        else:
-            top = (score + known, tokens + 1)
-        high = top[0]
-        for start in range(end - 2, max(-1, end - self.longest - 1), -1):
-            known = get(word[start:end])
-            if known is not None and path[start][0] + known >= high:
-                high = path[start][0] + known
-                top = (high, path[start][1] + 1)
-        return top
+        find = self.scores.get
+        high = float("-inf")
+        tokens = 0
+        for start in range(end - 1, -1, -1):
+            known = find(word[start:end], 0)
+            if known:
+                before = path[start]
+                if before[0] + known >= high:
+                    high = before[0] + known
+                    tokens = before[1] + 1
+            elif known == 0:  # no piece ends like this
+                break
+        char, before = word[end - 1], path[end - 1]
+        if before[0] + UNKNOWN_SCORE > high and not find(char):
+            return before[0] + UNKNOWN_SCORE, before[1] + len(char.encode("utf-8", "surrogatepass"))
+        return high, tokens
 
     def insert(self, word: str) -> tuple[float, int]:
         """``(score, tokens)`` of a whole pre-token, computing only the prefixes not seen yet."""
@@ -71,7 +80,6 @@ class PrefixTrie:
                 child[node, char] = below
             path.append(best[below])
             node = below
-        self.terminal[word] = path[-1]
         return path[-1]
 
     def count(self, words: list[str]) -> tuple[int, float]:
@@ -79,7 +87,10 @@ class PrefixTrie:
         for word in words:
             found = self.terminal.get(word)
             if found is None:
-                found = self.insert(word)
+                found = self.older.get(word)
+                if found is None:
+                    found = self.insert(word.replace(" ", SPACE))
+                self.terminal[word] = found
             total += found[0]
             tokens += found[1]
         return tokens, total
@@ -96,11 +107,12 @@ def token_counts(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
         trie = _tries.get(path)
         if trie is None:
             trie = _tries[path] = PrefixTrie(piece_scores(shared.value))
+        words = word_pattern(joined_pairs(shared.value)).findall
         for start, rows in slices(batch.column("text")):
             counted = []
             for text in rows.to_pylist():
-                words = [SPACE + word for word in text.split()]
-                counted.append((len(words), *trie.count(words)))
+                units = words(" " + text) if text else []
+                counted.append((len(units), *trie.count(units)))
             columns = list(zip(*counted))
             yield pa.record_batch(
                 [
