@@ -163,16 +163,17 @@ LOCAL_NUMBERS = [c for c in local.LOCAL_FEATURES if not c.startswith("ELSPOT")]
 
 
 @check("feat_local_dataset", LOCAL_SQL + """
-SELECT year(time_ref) AS year, bidding_area, em, count(*) AS n, count(local_power) AS n_power, count(DISTINCT windpark_nve) AS n_units, """
-       + ", ".join(f"round(avg({c}), 4) AS {c}" for c in LOCAL_NUMBERS)
+SELECT date_trunc('month', time_ref)::TIMESTAMP AS month, windpark_nve AS windpark, em, count(*) AS n, """
+       + ", ".join(f"round(avg({c}), 4) AS {c}, count({c}) AS n_{c}" for c in LOCAL_NUMBERS)
        + ", " + ", ".join(f"bool_or(bidding_area = 'ELSPOT NO{k}') AS is_no{k}" for k in range(1, 5))
        + " FROM v_dataset GROUP BY 1, 2, 3")
 def _(lab):
-    # The table has one row per unit, valid time and member; its profile is what is compared.
+    # One row per unit, valid time and member; compared by unit, month and member: mean and count of every column.
     table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
-    return table.groupBy(F.year("time_ref").alias("year"), "bidding_area", "em").agg(
-        F.count(F.lit(1)).alias("n"), F.count("local_power").alias("n_power"), F.countDistinct("windpark").alias("n_units"),
+    return table.groupBy(F.date_trunc("MONTH", "time_ref").alias("month"), "windpark", "em").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.round(F.avg(c), 4).alias(c) for c in LOCAL_NUMBERS],
+        *[F.count(c).alias(f"n_{c}") for c in LOCAL_NUMBERS],
         *[F.bool_or(f"`ELSPOT NO{k}`").alias(f"is_no{k}") for k in range(1, 5)],
     )
 

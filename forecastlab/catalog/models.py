@@ -184,14 +184,24 @@ def _(lab):
     return band.select("bidding_area", "time_ref", "time", *[r6(c).alias(c) for c in ("lower", "upper", "residual")])
 
 
+FILLED = [*design.MEAN_COLUMNS, *design.SPREAD_COLUMNS, "operating_power_max"]
+
+
 def calibrated(lab, draws: int = 200):
-    """Area model fitted on the first years, with draws for the later ones."""
-    keys = ["bidding_area", "time_ref", "time", "power", "relative_power", "operating_power_max"]
-    day_ahead = area_table(lab).filter(is_day_ahead("time", "time_ref"))
-    table = cut_lineage(design.with_design(day_ahead, keys))
-    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
-    params = logitnormal.fit(table.filter(early), len(design.mean_design()), len(design.spread_design()))
-    return params, logitnormal.predict(table.filter(~early), params, draws=draws)
+    """Area model fitted on the year before the evaluation set, with draws for every row of that set.
+
+    Missing entries take the last ones of their area, in training and evaluation alike. What is missing even then has no draws.
+    """
+    asked = truth.evaluation_set(lab.area_power, start=SPLIT)
+    table = settle(area_table(lab).filter(is_day_ahead("time", "time_ref")), "day_ahead")
+    train = design.filled(backtest.train_year(table, asked, "relative_power"), FILLED)
+    params = logitnormal.fit(
+        design.with_design(train, ["bidding_area", "relative_power"]), len(design.mean_design()), len(design.spread_design())
+    )
+    known = table.select("bidding_area", "time_ref", "time", *FILLED)
+    rows = design.filled(asked.join(known, ["bidding_area", "time_ref", "time"], "left"), FILLED)
+    rows = design.with_design(rows, ["bidding_area", "time_ref", "time", "y_true", "operating_power_max"])
+    return params, logitnormal.predict(rows, params, draws=draws)
 
 
 @check("mdl_logit_normal")

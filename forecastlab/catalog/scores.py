@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forecastlab.catalog.aggregates import scored_pairs
-from forecastlab.catalog.models import SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line
+from forecastlab.catalog.models import FILLED, SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.catalog.views import AR2_SOLUTION
+from forecastlab.functions.ensemble import array_mean, array_quantile
 from forecastlab.functions.errors import coverage
 from forecastlab.functions.scalars import is_day_ahead
 from forecastlab.operators.ranks import two_sample_ks
@@ -107,8 +108,6 @@ FROM (SELECT time_ref, time, bidding_area, quantile_cont(sum_local_pred, 0.05) A
              quantile_cont(sum_local_pred, 0.95) AS hi FROM v_member_sum GROUP BY 1, 2, 3)
 JOIN v_area_power USING (time, bidding_area) GROUP BY 1""")
 def _(lab):
-    from forecastlab.functions.ensemble import array_quantile
-
     ordered = member_draws(lab).withColumn("draws", F.array_sort("draws"))
     bounds = {n: array_quantile(F.col("draws"), q) for n, q in (("lo", 0.05), ("mid", 0.5), ("hi", 0.95))}
     shares = ordered.withColumns(bounds).groupBy("bidding_area").agg(*coverage("power", "lo", "hi", "mid"))
@@ -132,11 +131,33 @@ def _(lab):
 
 @check("eval_calibrator")
 def _(lab):
-    from forecastlab.functions.ensemble import array_mean
-
     _, drawn = calibrated(lab)
     drawn = drawn.withColumn("pred_mean", array_mean(F.col("draws")))
-    return rounded_score(scores.draws_score(drawn, "Bayesian Calibrator", y="power"))
+    return rounded_score(scores.draws_score(drawn, "Bayesian Calibrator"))
+
+
+def seen(columns, frame):
+    """SQL: whether every column has had a value in its area up to the row."""
+    return " AND ".join(f"count({c}) OVER {frame} > 0" for c in columns)
+
+
+@check("eval_calibrator_rows", f"""
+WITH asked AS (SELECT * FROM v_truth WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'),
+cut AS (SELECT min(time_ref) AS c FROM asked),
+data AS (SELECT * FROM v_area_dataset WHERE CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)),
+fitted AS (SELECT DISTINCT bidding_area FROM (
+  SELECT bidding_area, {seen(FILLED[:-1], "w")} AS whole FROM data, cut
+  WHERE time_ref < c AND time_ref >= c - INTERVAL '365' DAY AND relative_power IS NOT NULL
+  WINDOW w AS (PARTITION BY bidding_area ORDER BY time_ref, time ROWS UNBOUNDED PRECEDING)) WHERE whole),
+val AS (SELECT bidding_area, {seen(FILLED, "w")} AS whole FROM asked LEFT JOIN data USING (bidding_area, time_ref, time)
+  WINDOW w AS (PARTITION BY bidding_area ORDER BY time_ref, time ROWS UNBOUNDED PRECEDING))
+SELECT bidding_area, count(*) AS n_truth, count(*) FILTER (whole AND bidding_area IN (SELECT bidding_area FROM fitted)) AS n_scored,
+       count(*) FILTER (NOT (whole AND bidding_area IN (SELECT bidding_area FROM fitted))) AS n_missing FROM val GROUP BY 1""")
+def _(lab):
+    _, drawn = calibrated(lab, draws=3)
+    return drawn.groupBy("bidding_area").agg(
+        F.count(F.lit(1)).alias("n_truth"), F.count("draws").alias("n_scored"), F.count_if(F.col("draws").isNull()).alias("n_missing")
+    )
 
 
 def left_out(lab):
@@ -169,13 +190,18 @@ def _(lab):
 
 
 @check("eval_ks_two_sample", """
-SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(max(abs(c1 / n1 - c2 / n2)), 6) AS ks
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(ks, 6) AS ks,
+       round(CASE WHEN ks * sqrt(n1 * n2 / (n1 + n2)) < 0.2 THEN 1 ELSE greatest(least(list_sum(list_transform(range(1, 101),
+         lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * ks * ks * n1 * n2 / (n1 + n2)))), 1), 0) END, 6) AS p_value
+FROM (SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, max(abs(c1 / n1 - c2 / n2)) AS ks
 FROM (SELECT v, sum(a) OVER (ORDER BY v) AS c1, sum(b) OVER (ORDER BY v) AS c2, sum(a) OVER () AS n1, sum(b) OVER () AS n2
       FROM (SELECT l_extendedprice AS v, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b
-            FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)) GROUP BY 1, 2""")
+            FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)) GROUP BY 1, 2)""")
 def _(lab):
     rows = lab.table("lineitem").filter(F.col("l_returnflag").isin("A", "R"))
-    return two_sample_ks(rows, "l_extendedprice", F.col("l_returnflag") == "A").select("n1", "n2", r6("ks").alias("ks"))
+    return two_sample_ks(rows, "l_extendedprice", F.col("l_returnflag") == "A").select(
+        "n1", "n2", r6("ks").alias("ks"), r6("p_value").alias("p_value")
+    )
 
 
 LAGS = list(range(39, 120))

@@ -10,22 +10,34 @@ from forecastlab.operators.series import running_totals
 from forecastlab.session import settle
 
 ACCURACY = 10_000
-SLICES = 256
+
+
+def _ranges(counted: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """``counted`` in ranges of about equal numbers of rows along ``order``, settled so that they stay what they are.
+
+    Spark samples the borders, and there are as many ranges as the data fills partitions.
+    """
+    return settle(counted.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), label)
+
+
+def _present(value: str) -> Column:
+    """Values that take part: NaN counts as missing, in counts and ranks alike."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group, plus the count ``n``.
+    """Linearly interpolated quantiles per group, plus the count ``n`` of values that are neither null nor NaN.
 
-    A mergeable sketch first brackets every quantile. Values below a bracket are only counted, those
-    above are dropped, and what lies inside is counted by value and ranked. The bracket is wider than
-    the sketch's error, so the result is exact. Groups too small for a bracket are ranked whole. The
-    brackets are settled, so Spark sees their size and can broadcast them instead of moving the rows
-    of a large group together.
+    A mergeable sketch first brackets every quantile. Values below and above a bracket become one row
+    each, with their count and the value next to the bracket; what lies inside is counted by value and ranked. The
+    bracket is wider than the sketch's error; should a wanted rank still lie beyond it and its neighbours, the query fails
+    instead of giving another value. The brackets are settled, so Spark sees their size and can broadcast them instead of
+    moving the rows of a large group together. Groups of all sizes take the same way.
     """
     names, qs = list(quantiles), list(quantiles.values())
-    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    present = df.filter(_present(value)).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 3.0 / ACCURACY
 
     def sketch(points: list[float]) -> Column:
@@ -36,52 +48,42 @@ def exact_quantiles(
         sketch([max(0.0, q - margin) for q in qs]).alias("_lo"),
         sketch([min(1.0, q + margin) for q in qs]).alias("_hi"),
     )
-    wide = F.col("n") > 10 * ACCURACY
-    brackets = brackets.withColumns(
-        {
-            "_lo": F.when(wide, F.col("_lo")).otherwise(F.array(*[F.lit(float("-inf"))] * len(qs))),
-            "_hi": F.when(wide, F.col("_hi")).otherwise(F.array(*[F.lit(float("inf"))] * len(qs))),
-        }
-    )
     brackets = settle(brackets, "brackets")
     if keys:
         tied = present.join(brackets, list(keys))
     else:
         one = brackets.select(F.struct("n", "_lo", "_hi")).scalar()
         tied = present.withColumn("_one", one).select("_v", "_one.*")
+    v = F.col("_v")
     cells = F.array(
         *[
-            F.when(
-                F.col("_v") <= F.col("_hi")[i],
-                F.struct(
-                    F.lit(i).alias("_q"),
-                    F.when(F.col("_v") >= F.col("_lo")[i], F.col("_v")).alias("_cell"),
-                ),
+            F.struct(
+                F.lit(i).alias("_q"),
+                F.when(v < F.col("_lo")[i], -1).when(v > F.col("_hi")[i], 1).otherwise(0).alias("_side"),
+                F.when((v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]), v).alias("_cell"),
             )
             for i in range(len(qs))
         ]
     )
     counted = (
-        tied.select(*keys, "n", "_lo", "_hi", F.inline(F.array_compact(cells)))
-        .groupBy(*keys, "n", "_q", "_cell", F.col("_lo")[F.col("_q")].alias("_lo"), F.col("_hi")[F.col("_q")].alias("_hi"))
-        .agg(F.count(F.lit(1)).alias("_k"))
-    )
-    counted = settle(counted, "counts")
-    width = F.col("_hi") - F.col("_lo")
-    slice_no = (
-        F.when(F.col("_cell").isNull(), F.lit(-1))
-        .when(F.isnan(width) | (width <= 0) | (width == float("inf")), F.lit(0))
-        .otherwise(F.floor((F.col("_cell") - F.col("_lo")) / width * SLICES))
-        .cast("long")
+        tied.select(*keys, "n", "_v", F.inline(cells))
+        .groupBy(*keys, "n", "_q", "_side", "_cell")
+        .agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    order = [F.col("_cell").asc_nulls_first()]
-    ranked = running_totals(counted, [*keys, "_q"], order, ["_k"], slice_no)
+    counted = _ranges(counted, [*keys, "_q", "_side", "_cell"], "counts")
+    ranked = running_totals(counted, [*keys, "_q"], ["_side", "_cell"], ["_k"], F.col("_range"))
     q = F.element_at(F.array(*[F.lit(x) for x in qs]), F.col("_q") + 1)
     place = q * (F.col("n") - 1)
 
     def at(index: Column) -> Column:
-        inside = (index >= F.col("cum__k") - F.col("_k")) & (index < F.col("cum__k"))
-        return F.max(F.when(inside, F.col("_cell")))
+        first, after = F.col("cum__k") - F.col("_k"), F.col("cum__k")
+        known = (
+            F.when(F.col("_side") == 0, F.col("_cell"))
+            .when((F.col("_side") < 0) & (index == after - 1), F.col("_most"))
+            .when((F.col("_side") > 0) & (index == first), F.col("_least"))
+            .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+        )
+        return F.max(F.when((index >= first) & (index < after), known))
 
     ends = ranked.withColumn("_h", place).groupBy(*keys, "n", "_q", "_h").agg(
         at(F.floor("_h")).alias("_below"), at(F.ceil("_h")).alias("_above")
@@ -95,29 +97,16 @@ def exact_quantiles(
 def two_sample_ks(df: DataFrame, value: str, is_first: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value.
 
-    Counts per distinct value are added before the shuffle; cumulative shares run in slices whose
-    borders come from a sketch, so no task sorts all values.
+    Counts per distinct value are added before the shuffle; cumulative shares run in ranges that Spark
+    balances by sampling, so no task sorts all values. NaN counts as missing.
     """
     keys = list(keys)
-    flagged = df.filter(F.col(value).isNotNull()).select(
+    flagged = df.filter(_present(value)).select(
         *keys, F.col(value).alias("_v"), is_first.cast("long").alias("_a"), (~is_first).cast("long").alias("_b")
     )
-    borders = flagged.agg(
-        F.percentile_approx("_v", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 4096)
-    ).scalar()
     by_value = flagged.groupBy(*keys, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    # Every 16th border first, then the borders in between: 30 comparisons and not 255.
-    coarse = F.filter(F.transform(F.sequence(F.lit(15), F.lit(SLICES - 2), F.lit(16)), lambda i: F.get("_borders", i)),
-                      lambda s: s < F.col("_v"))
-    fine = F.filter(F.slice("_borders", F.col("_coarse") * 16 + 1, F.lit(15)), lambda s: s < F.col("_v"))
-    cut = (
-        by_value.withColumn("_borders", borders)
-        .withColumn("_coarse", F.size(coarse))
-        .withColumn("_slice", F.col("_coarse") * 16 + F.size(fine))
-        .drop("_borders", "_coarse")
-    )
-    by_value = settle(cut, "counts")
-    summed = running_totals(by_value, keys, ["_v"], ["_a", "_b"], F.col("_slice")).drop("_slice")
+    by_value = _ranges(by_value, [*keys, "_v"], "counts")
+    summed = running_totals(by_value, keys, ["_v"], ["_a", "_b"], F.col("_range"))
     totals = by_value.groupBy(*keys).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
     if keys:
         joined = summed.join(totals, keys)

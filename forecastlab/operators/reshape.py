@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from forecastlab.sources.schemas import MEMBERS, WEATHER_VARIABLES
 
+GRID_LOTS = 16
+
 
 def series_long(wide: DataFrame, time: str, value: str, name: str = "bidding_area") -> DataFrame:
     """One column per series to one row per time and series."""
@@ -30,15 +32,22 @@ def ensemble_long(
     return wide.select(*ids, F.inline(rows))
 
 
-def dense_grid(units: DataFrame, times: DataFrame, columns: Sequence[str] = ("time_ref", "time")) -> DataFrame:
-    """Every unit at every distinct issue and valid time.
+def dense_grid(
+    units: DataFrame, times: DataFrame, columns: Sequence[str] = ("time_ref", "time"), keep: Column | None = None
+) -> DataFrame:
+    """Every unit at every distinct issue and valid time for which ``keep`` holds.
 
-    The result is the size of the grid whatever the method. The calendar is the bounded side (a few
-    entries per hour of history, never more when units or members grow); it is gathered once and
-    unfolded next to each unit, so units stay spread as they are and are not shuffled.
+    The calendar stays distributed and is spread by its keys; units are dealt to a fixed number of lots, and a calendar row
+    meets one lot at a time. Few units are broadcast by Spark's own size check, many are shuffled by lot. ``keep`` is part
+    of the join, so cells it rejects are never made.
     """
-    calendar = times.select(*columns).distinct().agg(F.collect_list(F.struct(*columns))).scalar()
-    return units.withColumn("_slot", F.explode(calendar)).select("*", "_slot.*").drop("_slot")
+    spread = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    calendar = times.select(*columns).distinct().repartition(spread, *columns)
+    calendar = calendar.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(GRID_LOTS - 1))))
+    placed = units.withColumn("_unit_lot", F.pmod(F.xxhash64(*units.columns), F.lit(GRID_LOTS)).cast("int"))
+    meet = F.col("_lot") == F.col("_unit_lot")
+    grid = calendar.join(placed, meet if keep is None else meet & keep)
+    return grid.select(*units.columns, *columns)
 
 
 def array_rows(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from forecastlab.functions import ensemble
@@ -12,7 +10,6 @@ from forecastlab.operators.capacity import active_capacity
 from forecastlab.operators.intervals import visible_totals
 from forecastlab.operators.series import rolling, series_columns
 from forecastlab.session import settle
-from forecastlab.sources.schemas import MEMBERS
 
 # The feature lists of the area models.
 AREA_FEATURES = [
@@ -70,14 +67,15 @@ def member_sums(predictions: DataFrame, value: str = "local_power_pred") -> Data
     return predictions.groupBy(*ISSUE, "em").agg(F.sum(value).alias("sum_local_pred"))
 
 
-def ensemble_sums(
-    predictions: DataFrame, value: str = "local_power_pred", members: Sequence[int] = MEMBERS
-) -> DataFrame:
-    """Area sums of all members as one array per issue and valid time, in a single shuffle."""
-    sums = predictions.groupBy(*ISSUE).agg(
-        *[F.sum(F.when(F.col("em") == em, F.col(value))).alias(f"_m{em}") for em in members]
+def ensemble_sums(predictions: DataFrame, value: str = "local_power_pred") -> DataFrame:
+    """Area sums of all members that occur, as one array per issue and valid time in the order of the members.
+
+    Units are added up per member first, with partial sums before the shuffle; the array is as long as the ensemble.
+    """
+    sums = member_sums(predictions, value).groupBy(*ISSUE).agg(
+        F.array_sort(F.collect_list(F.when(F.col("sum_local_pred").isNotNull(), F.struct("em", "sum_local_pred")))).alias("_m")
     )
-    return sums.select(*ISSUE, ensemble.members([f"_m{em}" for em in members]).alias("member_sums"))
+    return sums.select(*ISSUE, F.transform("_m", lambda m: m["sum_local_pred"]).alias("member_sums"))
 
 
 def neighbours(df: DataFrame, value: str = "mean_sum_pred") -> DataFrame:

@@ -91,8 +91,8 @@ def with_outages(
 
 
 def unit_grid(units: DataFrame, times: DataFrame) -> DataFrame:
-    """Units at every issue and valid time after they started; the start is checked before joins."""
-    return dense_grid(units, times).filter(F.col("time_ref") > F.col("production_start_date"))
+    """Units at every issue and valid time after they started; the start is part of the join."""
+    return dense_grid(units, times, keep=F.col("time_ref") > F.col("production_start_date"))
 
 
 def station_alignment(forecast: DataFrame) -> DataFrame:
