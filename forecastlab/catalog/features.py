@@ -14,71 +14,101 @@ from forecastlab.operators.reshape import bilinear
 from forecastlab.plans import area, design, local, units
 from forecastlab.session import settle
 from forecastlab.sources.files import register_columns
+from forecastlab.sources.schemas import MEMBERS, WEATHER_VARIABLES
 
 SITE = ["windpark_nve_id", "time_ref", "lt"]
 
 
-def site_first(lab):
-    """Member 0 of the forecast at each unit, under the plain variable names."""
-    plain = {f"{v}_00": v for v in ("ws10m", "wd10m", "t2m", "rh2m", "mslp", "g10m")}
-    first = lab.forecast_wide.select(
-        F.col("sid").alias("windpark_statnet"), "time_ref", "time", "lt", *[F.col(c).alias(v) for c, v in plain.items()]
-    )
-    return first.join(
+def each_member(sql: str) -> str:
+    """The SQL text once per member; ``{em}`` stands for its two digits."""
+    return ", ".join(sql.replace("{em}", f"{em:02d}") for em in MEMBERS)
+
+
+def site_wide(lab):
+    """The forecast of all members at each unit."""
+    return lab.forecast_wide.withColumnRenamed("sid", "windpark_statnet").join(
         lab.units.select("windpark_nve_id", "windpark_statnet", "mean_hub_height", "elevation"), "windpark_statnet"
     )
 
 
-@check("feat_hub_speed", """
-SELECT windpark_nve_id, time_ref, lt, round(ws10m * pow(mean_hub_height / 10, 0.143), 6) AS wshh FROM v_site_first""")
+SITE_SQL = "v_forecast_wide JOIN v_units ON sid = windpark_statnet"
+STATION = ["sid", "time_ref", "lt"]
+
+
+@check("feat_hub_speed", f"""
+SELECT windpark_nve_id, time_ref, lt, {each_member("round(ws10m_{em} * pow(mean_hub_height / 10, 0.143), 6) AS wshh_{em}")} FROM {SITE_SQL}""")
 def _(lab):
-    return site_first(lab).select(*SITE, r6(physics.hub_speed()).alias("wshh"))
+    return site_wide(lab).select(*SITE, *[r6(physics.hub_speed(f"ws10m_{em:02d}")).alias(f"wshh_{em:02d}") for em in MEMBERS])
+
+
+AIR_STEPS = """
+t2m_{em} + 273.15 - 0.0065 * mean_hub_height AS layer_{em}, rh2m_{em} / 100 * (6.112 * exp((17.67 * t2m_{em}) / (t2m_{em} + 243.5))) * 100 AS e_{em},
+mslp_{em} * 100 * exp(-9.80665 * elevation / (287.05 * layer_{em})) AS p0_{em},
+layer_{em} * (1 + 0.61 * (0.622 * e_{em} / (p0_{em} - 0.378 * e_{em}))) AS tv_{em},
+mslp_{em} * 100 * exp(-9.80665 * (elevation + mean_hub_height) / (287.05 * tv_{em})) AS phh_{em},
+phh_{em} / (287.05 * tv_{em}) AS adhh_{em}, ws10m_{em} * pow(mean_hub_height / 10, 0.143) AS wshh_{em},
+0.5 * adhh_{em} * pow(least(greatest(wshh_{em}, 0), 25), 3) AS wind_power_density_{em}"""
 
 
 @check("feat_hub_air", f"""
-SELECT windpark_nve_id, time_ref, lt, round(wshh, 6) AS wshh, round(adhh, 6) AS adhh, round(phh, 3) AS phh,
-       round(wind_power_density, 4) AS wind_power_density
-FROM ({HUB_AIR.format(source='v_site_first')})""")
+SELECT windpark_nve_id, time_ref, lt, {each_member("round(wshh_{em}, 6) AS wshh_{em}, round(adhh_{em}, 6) AS adhh_{em}, "
+       "round(phh_{em}, 3) AS phh_{em}, round(wind_power_density_{em}, 4) AS wind_power_density_{em}")}
+FROM (SELECT windpark_nve_id, time_ref, lt, {each_member(AIR_STEPS)} FROM {SITE_SQL})""")
 def _(lab):
     digits = {"wshh": 6, "adhh": 6, "phh": 3, "wind_power_density": 4}
-    return site_first(lab).select(*SITE, *[F.round(c, digits[n]).alias(n) for n, c in physics.hub_air().items()])
+    air = {em: physics.hub_air(*[f"{v}_{em:02d}" for v in ("ws10m", "t2m", "rh2m", "mslp")]) for em in MEMBERS}
+    return site_wide(lab).select(*SITE, *[F.round(c, digits[n]).alias(f"{n}_{em:02d}") for em in MEMBERS for n, c in air[em].items()])
 
 
-@check("feat_air_density", "SELECT sid, time_ref, lt, round(mslp_00 / (273.15 + t2m_00), 6) AS air_density FROM v_forecast_wide")
+@check("feat_air_density", f"""
+SELECT sid, time_ref, lt, {each_member("round(mslp_{em} / (273.15 + t2m_{em}), 6) AS air_density_{em}")} FROM v_forecast_wide""")
 def _(lab):
-    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(physics.air_density("mslp_00", "t2m_00")).alias("air_density"))
+    return lab.forecast_wide.select(
+        *STATION, *[r6(physics.air_density(f"mslp_{em:02d}", f"t2m_{em:02d}")).alias(f"air_density_{em:02d}") for em in MEMBERS]
+    )
 
 
-@check("feat_power_density", """
-SELECT sid, time_ref, lt, round(mslp_14 / (273.15 + t2m_14) * pow(least(greatest(ws10m_14, 0), 20), 3), 6) AS wind_power_density FROM v_forecast_wide""")
+@check("feat_power_density", f"""
+SELECT sid, time_ref, lt, {each_member("round(mslp_{em} / (273.15 + t2m_{em}) * pow(least(greatest(ws10m_{em}, 0), 20), 3), 6) AS density_{em}")}
+FROM v_forecast_wide""")
 def _(lab):
-    density = physics.power_density(physics.air_density("mslp_14", "t2m_14"), "ws10m_14")
-    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(density).alias("wind_power_density"))
+    density = {em: physics.power_density(physics.air_density(f"mslp_{em:02d}", f"t2m_{em:02d}"), f"ws10m_{em:02d}") for em in MEMBERS}
+    return lab.forecast_wide.select(*STATION, *[r6(density[em]).alias(f"density_{em:02d}") for em in MEMBERS])
 
 
-@check("feat_vector_xy", """
-SELECT sid, time_ref, lt, round(ws10m_14 * cos(2 * pi() * wd10m_14 / 360), 6) AS wind_x, round(ws10m_14 * sin(2 * pi() * wd10m_14 / 360), 6) AS wind_y
-FROM v_forecast_wide""")
+@check("feat_vector_xy", f"""
+SELECT sid, time_ref, lt, {each_member("round(ws10m_{em} * cos(2 * pi() * wd10m_{em} / 360), 6) AS wind_x_{em}, "
+       "round(ws10m_{em} * sin(2 * pi() * wd10m_{em} / 360), 6) AS wind_y_{em}")} FROM v_forecast_wide""")
 def _(lab):
+    wind = lambda em: (f"ws10m_{em:02d}", f"wd10m_{em:02d}")
     return lab.forecast_wide.select(
-        "sid", "time_ref", "lt", r6(physics.wind_x("ws10m_14", "wd10m_14")).alias("wind_x"),
-        r6(physics.wind_y("ws10m_14", "wd10m_14")).alias("wind_y"),
+        *STATION, *[r6(physics.wind_x(*wind(em))).alias(f"wind_x_{em:02d}") for em in MEMBERS],
+        *[r6(physics.wind_y(*wind(em))).alias(f"wind_y_{em:02d}") for em in MEMBERS],
     )
 
 
-@check("feat_gust_factor", "SELECT sid, time_ref, lt, round(g10m_14 / nullif(ws10m_14, 0), 6) AS gust_factor FROM v_forecast_wide")
+@check("feat_gust_factor", f"""
+SELECT sid, time_ref, lt, {each_member("round(g10m_{em} / nullif(ws10m_{em}, 0), 6) AS gust_factor_{em}")} FROM v_forecast_wide""")
 def _(lab):
-    return lab.forecast_wide.select("sid", "time_ref", "lt", r6(physics.gust_factor("g10m_14", "ws10m_14")).alias("gust_factor"))
+    return lab.forecast_wide.select(
+        *STATION, *[r6(physics.gust_factor(f"g10m_{em:02d}", f"ws10m_{em:02d}")).alias(f"gust_factor_{em:02d}") for em in MEMBERS]
+    )
+
 
+SHEARED = "ws10m_{em} * pow(mean_hub_height / 10, 0.143)"
 
-@check("feat_alignment", """
-SELECT windpark_nve_id, time_ref, lt, round(sqrt(pow(avg(s * cos(2 * pi() * wd10m / 360)) OVER w, 2) + pow(avg(s * sin(2 * pi() * wd10m / 360)) OVER w, 2)), 6) AS wind_alignment
-FROM (SELECT *, ws10m * pow(mean_hub_height / 10, 0.143) AS s FROM v_site_first)
-WINDOW w AS (PARTITION BY time_ref, windpark_nve_id ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+
+@check("feat_alignment", f"""
+SELECT windpark_nve_id, time_ref, lt, {each_member(
+    f"round(sqrt(pow(avg({SHEARED} * cos(2 * pi() * wd10m_{{em}} / 360)) OVER w, 2) + pow(avg({SHEARED} * sin(2 * pi() * wd10m_{{em}} / 360)) OVER w, 2)), 6) AS wind_alignment_{{em}}")}
+FROM {SITE_SQL} WINDOW w AS (PARTITION BY time_ref, windpark_nve_id ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def _(lab):
-    rows = site_first(lab).withColumn("wshh", physics.hub_speed())
+    rows = site_wide(lab).withColumns({f"wshh_{em:02d}": physics.hub_speed(f"ws10m_{em:02d}") for em in MEMBERS})
     window = Window.partitionBy("time_ref", "windpark_nve_id").orderBy("lt")
-    return rows.select(*SITE, r6(physics.wind_alignment("wshh", window)).alias("wind_alignment"))
+    return rows.select(
+        *SITE,
+        *[r6(physics.wind_alignment(f"wshh_{em:02d}", window, f"wd10m_{em:02d}")).alias(f"wind_alignment_{em:02d}") for em in MEMBERS],
+    )
 
 
 @check("feat_season", f"SELECT time, bidding_area, {SEASON_SQL} FROM v_hourly")
@@ -250,12 +280,13 @@ def _(lab):
     return enriched(lab).withColumns({c: r6(c) for c in ("mean_hub_height", "elevation", "ruggedness")})
 
 
-@check("feat_standardize", """
-SELECT sid, time_ref, lt, round((ws10m_00 - m.a) / m.b, 6) AS ws10m_00, round((mslp_00 - m.c) / m.d, 6) AS mslp_00
-FROM v_forecast_wide, (SELECT avg(ws10m_00) AS a, stddev_samp(ws10m_00) AS b, avg(mslp_00) AS c, stddev_samp(mslp_00) AS d
-                       FROM v_forecast_wide WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00') m""")
+ENSEMBLE = [f"{v}_{em:02d}" for v in WEATHER_VARIABLES for em in MEMBERS]
+
+
+@check("feat_standardize", "SELECT sid, time_ref, lt, " + ", ".join(f"round(({c} - m.a_{c}) / nullif(m.b_{c}, 0), 5) AS {c}" for c in ENSEMBLE)
+       + " FROM v_forecast_wide, (SELECT " + ", ".join(f"avg({c}) AS a_{c}, stddev_samp({c}) AS b_{c}" for c in ENSEMBLE)
+       + " FROM v_forecast_wide WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00') m")
 def _(lab):
-    columns = ["ws10m_00", "mslp_00"]
-    rows = lab.forecast_wide.select("sid", "time_ref", "lt", *columns)
+    rows = lab.forecast_wide.select("sid", "time_ref", "lt", *ENSEMBLE)
     train = rows.filter(F.col("time_ref") < F.lit("1999-01-01").cast("timestamp"))
-    return design.standardize(rows, train, columns).withColumns({c: r6(c) for c in columns})
+    return design.standardize(rows, train, ENSEMBLE).withColumns({c: F.round(c, 5) for c in ENSEMBLE})

@@ -157,8 +157,13 @@ def _(lab):
     return rows.withColumn("y_true", r6("y_true"))
 
 
-@check("rs_struct_list_build", """
-SELECT sid, time_ref, lt, len([ws10m_00, ws10m_01, ws10m_02]) AS n, ws10m_02 AS third FROM v_forecast_wide""")
+@check("rs_struct_list_build", f"""
+SELECT sid, time_ref, lt, len(v) AS n, v[1] AS first, v[15] AS last, round(list_sum(v), 6) AS total
+FROM (SELECT sid, time_ref, lt, [{", ".join(f"ws10m_{em:02d}" for em in MEMBERS)}] AS v FROM v_forecast_wide)""")
 def _(lab):
-    values = F.array("ws10m_00", "ws10m_01", "ws10m_02")
-    return lab.forecast_wide.select("sid", "time_ref", "lt", F.size(values).cast("long").alias("n"), values[2].alias("third"))
+    values = F.array(*[f"ws10m_{em:02d}" for em in MEMBERS])
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return lab.forecast_wide.select(
+        "sid", "time_ref", "lt", F.size(values).cast("long").alias("n"), values[0].alias("first"), values[14].alias("last"),
+        F.round(total, 6).alias("total"),
+    )

@@ -242,11 +242,16 @@ def _(lab):
     return missing_profile(lab.hourly_wide, [f"ELSPOT NO{k}" for k in range(1, 6)])
 
 
+NOWCAST = [
+    "air_temperature_2m", "air_pressure_at_sea_level", "relative_humidity_2m", "precipitation_amount", "wind_speed_10m", "wind_direction_10m",
+]
+
+
 @check("tbl_describe", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS low, max({c}) AS high FROM v_nowcast"
-    for c in ("air_temperature_2m", "air_pressure_at_sea_level", "wind_speed_10m")))
+    for c in NOWCAST))
 def _(lab):
-    summary = describe(lab.nowcast, ["air_temperature_2m", "air_pressure_at_sea_level", "wind_speed_10m"])
+    summary = describe(lab.nowcast, NOWCAST)
     return summary.withColumns({c: r6(F.col(c)) for c in ("mean", "std")})
 
 

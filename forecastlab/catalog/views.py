@@ -214,12 +214,6 @@ VIEWS["v_site_weather"] = """
 SELECT windpark_nve_id, time_ref, time, lt, em, ws10m, wd10m, t2m, rh2m, mslp, g10m, mean_hub_height, elevation
 FROM v_forecast JOIN v_units USING (windpark_statnet)"""
 
-# Member 0 of the wide table under the plain variable names, at each unit.
-VIEWS["v_site_first"] = """
-SELECT windpark_nve_id, time_ref, time, lt, ws10m_00 AS ws10m, wd10m_00 AS wd10m, t2m_00 AS t2m, rh2m_00 AS rh2m,
-       mslp_00 AS mslp, g10m_00 AS g10m, mean_hub_height, elevation
-FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet"""
-
 HUB_AIR = """
 SELECT *, phh / (287.05 * tv) AS adhh, 0.5 * (phh / (287.05 * tv)) * pow(least(greatest(wshh, 0), 25), 3) AS wind_power_density
 FROM (SELECT *, ws10m * pow(mean_hub_height / 10, 0.143) AS wshh,

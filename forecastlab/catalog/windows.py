@@ -13,6 +13,7 @@ from forecastlab.operators.ranks import exact_quantiles, first_per_key
 from forecastlab.plans import area, backtest, local, summaries, truth
 from forecastlab.plans.units import unit_sites
 from forecastlab.session import settle
+from forecastlab.sources.schemas import MEMBERS
 
 
 def _recent(lab, columns, compat=False):
@@ -20,16 +21,19 @@ def _recent(lab, columns, compat=False):
     return block.select("bidding_area", "time", *[r6(c).alias(c) for c in columns])
 
 
-@check("win_centered_mean3", """
-SELECT sid, time_ref, lt, round(avg(ws10m_14 * cos(2 * pi() * wd10m_14 / 360)) OVER w, 6) AS x,
-       round(avg(ws10m_14 * sin(2 * pi() * wd10m_14 / 360)) OVER w, 6) AS y
+CENTRED = ", ".join(
+    f"round(avg(ws10m_{em:02d} * {f}(2 * pi() * wd10m_{em:02d} / 360)) OVER w, 6) AS {n}_{em:02d}" for em in MEMBERS for n, f in (("x", "cos"), ("y", "sin"))
+)
+
+
+@check("win_centered_mean3", f"""
+SELECT sid, time_ref, lt, {CENTRED}
 FROM v_forecast_wide WINDOW w AS (PARTITION BY sid, time_ref ORDER BY lt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def _(lab):
     near = Window.partitionBy("sid", "time_ref").orderBy("lt").rowsBetween(-1, 1)
-    speed, direction = "ws10m_14", "wd10m_14"
+    parts = [(n, f, em) for em in MEMBERS for n, f in (("x", physics.wind_x), ("y", physics.wind_y))]
     return lab.forecast_wide.select(
-        "sid", "time_ref", "lt", r6(F.avg(physics.wind_x(speed, direction)).over(near)).alias("x"),
-        r6(F.avg(physics.wind_y(speed, direction)).over(near)).alias("y"),
+        "sid", "time_ref", "lt", *[r6(F.avg(f(f"ws10m_{em:02d}", f"wd10m_{em:02d}")).over(near)).alias(f"{n}_{em:02d}") for n, f, em in parts]
     )
 
 

@@ -23,21 +23,33 @@ def hub_speed(ws: str = "ws10m", hub: str = "mean_hub_height") -> Column:
     return F.col(ws) * F.pow(F.col(hub) / 10, F.lit(SHEAR_EXPONENT))
 
 
+def vapour_pressure(temperature: Column, relative_humidity: Column) -> Column:
+    """Partial pressure of water vapour in Pa, from Celsius and per cent (Magnus form for the saturation, in hPa)."""
+    return relative_humidity * (6.112 * F.exp(17.67 * temperature / (temperature + 243.5)))
+
+
+def barometric_pressure(sea_level: Column, height: Column, temperature: Column) -> Column:
+    """Pressure at a height above the sea under one (virtual) temperature in Kelvin; in the unit of ``sea_level``."""
+    return sea_level * F.exp(-GRAVITY * height / (GAS_CONSTANT_DRY_AIR * temperature))
+
+
+def virtual_temperature(temperature: Column, vapour: Column, pressure: Column) -> Column:
+    """Temperature at which dry air would be as dense as the moist air."""
+    return temperature * (1 + 0.61 * (VAPOUR_RATIO * vapour / (pressure - (1 - VAPOUR_RATIO) * vapour)))
+
+
 def hub_air(
     ws: str = "ws10m", t2m: str = "t2m", rh2m: str = "rh2m", mslp: str = "mslp",
     hub: str = "mean_hub_height", elevation: str = "elevation", max_speed: float = 25.0,
 ) -> dict[str, Column]:
     """Speed, air density, pressure and power density at hub height."""
-    height, ground = F.col(hub), F.col(elevation)
-    sea_pressure = F.col(mslp) * 100.0
-    layer = F.col(t2m) + KELVIN - LAPSE_RATE * height
-    saturation = 6.112 * F.exp((17.67 * F.col(t2m)) / (F.col(t2m) + 243.5))
-    vapour = (F.col(rh2m) / 100.0) * saturation * 100.0
-    ground_pressure = sea_pressure * F.exp(-GRAVITY * ground / (GAS_CONSTANT_DRY_AIR * layer))
-    humidity = VAPOUR_RATIO * vapour / (ground_pressure - (1 - VAPOUR_RATIO) * vapour)
-    virtual = layer * (1 + 0.61 * humidity)
-    pressure = sea_pressure * F.exp(-GRAVITY * (ground + height) / (GAS_CONSTANT_DRY_AIR * virtual))
-    density = pressure / (GAS_CONSTANT_DRY_AIR * virtual)
+    sea_level = F.col(mslp) * 100.0
+    at_hub = F.col(t2m) + KELVIN - LAPSE_RATE * F.col(hub)
+    moist = virtual_temperature(
+        at_hub, vapour_pressure(F.col(t2m), F.col(rh2m)), barometric_pressure(sea_level, F.col(elevation), at_hub)
+    )
+    pressure = barometric_pressure(sea_level, F.col(elevation) + F.col(hub), moist)
+    density = pressure / (GAS_CONSTANT_DRY_AIR * moist)
     speed = hub_speed(ws, hub)
     return {
         "wshh": speed,
