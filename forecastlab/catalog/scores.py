@@ -161,30 +161,31 @@ def _(lab):
 
 
 def left_out(lab):
-    """Errors of every unit when its own area or another one is left out of the training.
-
-    The left-out part is the area and not the unit: a row per unit and unit would be all pairs.
-    """
-    known = lab.local_rows.filter(F.col(TARGET).isNotNull()).withColumn("part", F.col("bidding_area"))
+    """Errors of every unit when it is left out of the training, and when others are."""
+    known = lab.local_rows.filter(F.col(TARGET).isNotNull())
     cut = F.lit(SPLIT).cast("timestamp")
     train = known.filter((F.col("time_ref") < cut) & (F.col("em") == 0))
     validation = known.filter((F.col("time_ref") >= cut) & is_day_ahead("time", "time_ref"))
-    return moments.leave_one_out(train, validation, "part", "windpark", line(), TARGET, WEIGHT)
+    return moments.leave_one_out(train, validation, "windpark", line(), TARGET, WEIGHT)
 
 
 @check("eval_loo_station", """
 WITH known AS (SELECT * FROM v_local_row WHERE local_relative_power IS NOT NULL),
-train AS (SELECT bidding_area, operating_power_max AS w, ws10m AS x, local_relative_power AS y FROM known
-          WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' AND em = 0),
-validation AS (SELECT * FROM known WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'
-               AND CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)),
-fit AS (SELECT excluded, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw AS a
-        FROM (SELECT p.bidding_area AS excluded, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
-              FROM (SELECT DISTINCT bidding_area FROM validation) p JOIN train t ON t.bidding_area <> p.bidding_area GROUP BY 1))
-SELECT windpark, operating_power_max AS weight, excluded, bidding_area = excluded AS is_excluded,
-       round(sqrt(avg(pow(local_relative_power - a - b * ws10m, 2))), 5) AS rmse,
-       round(sqrt(avg(pow((local_relative_power - a - b * ws10m) * operating_power_max, 2))), 4) AS rmse_scaled
-FROM validation, fit GROUP BY 1, 2, 3, 4""")
+own AS (SELECT windpark, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+        FROM (SELECT windpark, operating_power_max AS w, ws10m AS x, local_relative_power AS y FROM known
+              WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' AND em = 0) GROUP BY 1),
+total AS (SELECT sum(sw) AS sw, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM own),
+validation AS (SELECT windpark, operating_power_max AS weight, ws10m AS x, local_relative_power AS y FROM known
+               WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00' AND CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)),
+rest AS (SELECT u.windpark AS excluded, t.sw - coalesce(o.sw, 0) AS sw, t.sx - coalesce(o.sx, 0) AS sx, t.sy - coalesce(o.sy, 0) AS sy,
+                t.sxx - coalesce(o.sxx, 0) AS sxx, t.sxy - coalesce(o.sxy, 0) AS sxy
+         FROM (SELECT DISTINCT windpark FROM validation) u CROSS JOIN total t LEFT JOIN own o USING (windpark)),
+fit AS (SELECT excluded, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw AS a FROM rest),
+error AS (SELECT windpark, weight, excluded, avg(pow(y - a - b * x, 2)) AS mse FROM validation, fit GROUP BY 1, 2, 3)
+SELECT windpark, weight, true AS is_excluded, round(sqrt(mse), 5) AS rmse, round(sqrt(mse) * weight, 4) AS rmse_scaled
+FROM error WHERE windpark = excluded
+UNION ALL SELECT windpark, weight, false, round(sqrt(avg(mse)), 5), round(sqrt(avg(mse)) * weight, 4)
+FROM error WHERE windpark <> excluded GROUP BY 1, 2""")
 def _(lab):
     return left_out(lab).withColumns({"rmse": F.round("rmse", 5), "rmse_scaled": F.round("rmse_scaled", 4)})
 
