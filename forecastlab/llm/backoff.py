@@ -23,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import id_text, table
+from forecastlab.llm.common import id_text, pack, table, unpack
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import gram_hash, slices, words_of
 from forecastlab.session import scratch_path, settle
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_WORDS = 3_000_000
-GRAMS_PER_PART = 3_000_000
+BLOCK_WORDS = 1_500_000
+GRAMS_PER_PART = 2_000_000
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     The block's name is the row's place in the table that is written, so it is fixed with it.
     """
 
-    def pack(ids, sizes, parts) -> pa.RecordBatch:
+    def block(ids, sizes, parts) -> pa.RecordBatch:
         vocabulary, numbers, many = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
         order = np.argsort(-many, kind="stable")  # frequent words get small numbers, which pack better
         place = np.empty(len(order), np.uint32)
@@ -50,7 +50,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([vocabulary[order].tobytes()], pa.binary()),
-                pa.array([place[numbers].astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([pack(place[numbers].astype(np.uint32))], pa.binary()),
             ],
             names=["ids", "sizes", "vocabulary", "numbers"],
         )
@@ -66,10 +66,10 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 parts.append(words)
                 total += len(words)
                 if total >= BLOCK_WORDS:
-                    yield pack(ids, sizes, parts)
+                    yield block(ids, sizes, parts)
                     ids, sizes, parts, total = [], [], [], 0
         if ids:
-            yield pack(ids, sizes, parts)
+            yield block(ids, sizes, parts)
 
     packed = id_text(docs).mapInArrow(work, "ids array<bigint>, sizes array<bigint>, vocabulary binary, numbers binary")
     path = scratch_path(docs.sparkSession, "word_blocks")
@@ -88,7 +88,7 @@ def ngrams(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray
 
 def _block(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[list, np.ndarray, np.ndarray]:
     vocabulary = np.frombuffer(batch.column("vocabulary")[row].as_py(), np.uint64)
-    numbers = np.frombuffer(batch.column("numbers")[row].as_py(), np.uint32)
+    numbers = unpack(batch.column("numbers")[row].as_py(), np.uint32)
     return batch.column("ids")[row].as_py(), np.array(batch.column("sizes")[row].as_py(), np.int64), vocabulary[numbers]
 
 
@@ -114,8 +114,9 @@ def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                             pa.array(kept, pa.int32()),
                             pa.array([batch.column("block")[row].as_py()] * len(kept), pa.int64()),
                             pa.array([size] * len(kept), pa.int32()),
-                            pa.array([grams[bounds[k] : bounds[k + 1]].tobytes() for k in kept], pa.binary()),
-                            pa.array([counts[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes() for k in kept], pa.binary()),
+                            # Steps between sorted hashes are smaller numbers than the hashes.
+                            pa.array([pack(np.diff(grams[bounds[k] : bounds[k + 1]], prepend=np.uint64(0))) for k in kept], pa.binary()),
+                            pa.array([pack(counts[bounds[k] : bounds[k + 1]].astype(np.uint32)) for k in kept], pa.binary()),
                         ],
                         names=["part", "block", "size", "grams", "counts"],
                     )
@@ -125,8 +126,8 @@ def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
 
 def _total(group: pa.Table) -> pa.Table:
     """One partition's count table of one order, given back to the blocks in the order in which they asked."""
-    asked = [np.frombuffer(g.as_py(), np.uint64) for g in group.column("grams")]
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in group.column("counts")])
+    asked = [np.cumsum(unpack(g.as_py(), np.uint64), dtype=np.uint64) for g in group.column("grams")]
+    counts = np.concatenate([unpack(c.as_py(), np.uint32) for c in group.column("counts")])
     _, place = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(place, weights=counts).astype(np.int64)[place]
     wide = np.uint32 if totals.max(initial=0) < 2**32 else np.uint64
@@ -136,7 +137,7 @@ def _total(group: pa.Table) -> pa.Table:
             "block": group.column("block"),
             "part": group.column("part"),
             "size": group.column("size"),
-            "totals": pa.array([totals[a:b].astype(wide).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+            "totals": pa.array([pack(totals[a:b].astype(wide)) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
             "wide": pa.array([wide == np.uint64] * len(asked), pa.bool_()),
         }
     )
@@ -158,8 +159,11 @@ def score_block(ids: list, sizes: np.ndarray, words: np.ndarray, totals: dict[in
         kinds, place = np.unique(grams, return_inverse=True)
         # A document's own count: n-grams are numbered by (document, kind).
         own = doc[ends] * len(kinds) + place
+        rest = totals[size][place].astype(np.int64) if len(place) else np.zeros(0, np.int64)
+        del grams, kinds, place
         _, where, many = np.unique(own, return_inverse=True, return_counts=True)
-        rest = totals[size][place].astype(np.int64) - many[where] if len(place) else np.zeros(0, np.int64)
+        rest -= many[where]
+        del own, where, many
         left = np.zeros(len(words), np.int64)
         left[ends] = rest
         if size == 1:
@@ -195,7 +199,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         totals = {}
         for size in range(1, order + 1):
             own = [
-                np.frombuffer(reply.column("totals")[r].as_py(), np.uint64 if reply.column("wide")[r].as_py() else np.uint32)
+                unpack(reply.column("totals")[r].as_py(), np.uint64 if reply.column("wide")[r].as_py() else np.uint32)
                 for s, _, r in rows if s == size
             ]
             totals[size] = np.concatenate(own) if own else np.zeros(0, np.int64)

@@ -62,5 +62,15 @@ def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < share)
 
 
-def binary_column(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, their first bytes together, then their second ones and so on; small numbers cost little."""
+    width = numbers.dtype.itemsize
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, width).T).tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    """What :func:`pack` was given."""
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(raw[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
