@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from forecastlab.functions import ensemble, errors, physics, scalars, seasons
-from forecastlab.plans import autoregression, backtest, bands, logitnormal, moments, scores, trees
+from forecastlab.operators import ranks, reshape
+from forecastlab.plans import area, autoregression, backtest, bands, logitnormal, moments, scores, trees
 
 
 def panel(n=600, seed=1):
@@ -62,20 +63,88 @@ def test_blocks_cover_prediction_rows_once(spark):
 def test_leave_one_out_equals_refits(spark):
     frame = panel().dropna(subset=["y"])
     train, val = frame[frame.time_ref < "2023-07-01"], frame[frame.time_ref >= "2023-07-01"]
-    got = moments.leave_one_out(
-        spark.createDataFrame(train.assign(part=train.windpark)), spark.createDataFrame(val.assign(part=val.windpark)),
-        "part", "windpark", design(), "y", "w",
-    )
-    rows = got.toPandas()
-    assert len(rows) == 36 and rows["is_excluded"].sum() == 6
+    rows = moments.leave_one_out(spark.createDataFrame(train), spark.createDataFrame(val), "windpark", design(), "y", "w").toPandas()
+    units = sorted(val.windpark.unique())
+    assert len(rows) == 2 * len(units) and rows["is_excluded"].sum() == len(units)
+    errors = {}
+    for unit in units:
+        part = val[val.windpark == unit]
+        x = np.column_stack([np.ones(len(part)), part["x1"], part["x2"]])
+        errors[unit] = {out: ((part["y"] - x @ solve(train[train.windpark != out])) ** 2).mean() for out in units}
     for _, row in rows.iterrows():
-        beta = solve(train[train.windpark != row["excluded"]])
-        part = val[val.windpark == row["windpark"]]
-        error = part["y"] - np.column_stack([np.ones(len(part)), part["x1"], part["x2"]]) @ beta
-        assert row["rmse"] == pytest.approx(math.sqrt((error**2).mean()), abs=1e-9)
+        mine = errors[row["windpark"]]
+        want = mine[row["windpark"]] if row["is_excluded"] else np.mean([e for out, e in mine.items() if out != row["windpark"]])
+        assert row["rmse"] == pytest.approx(math.sqrt(want), abs=1e-9)
         assert row["rmse_scaled"] == pytest.approx(row["rmse"] * row["weight"])
 
 
+def test_features_of_different_size_are_not_dependent(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(1000 + 1e-3 * v), float(1e-6 * rng.normal()), float(v)) for v in rng.normal(size=400)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    sums = df.agg(*moments.moment_sums([F.lit(1.0), F.col("a") - 1000, F.col("b")], F.col("y"), F.lit(1.0))).withColumn("k", F.lit(1))
+    assert moments.solve(sums, ["k"], 3).first()["beta"] is not None
+
+
+def test_every_member_counts(spark):
+    stamp = "timestamp'2024-01-01 00:00:00'"
+    rows = spark.range(17 * 3).selectExpr(
+        f"{stamp} as time_ref", f"{stamp} + interval 40 hours as time", "40L as lt", "'ELSPOT NO1' as bidding_area",
+        "cast(id % 17 as int) as em", "cast(id as double) as local_power_pred",
+    )
+    row = area.ensemble_sums(rows).first()
+    assert row["member_sums"] == [float(3 * em + 51) for em in range(17)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 5000])
+def test_exact_quantiles_of_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.normal(size=n), 2)
+    rows = [("a", float(v)) for v in values] + [("a", float("nan")), ("a", None), ("b", float("nan"))]
+    qs = {"low": 0.0, "q1": 0.05, "mid": 0.5, "q9": 0.97, "top": 1.0}
+    got = {r["g"]: r for r in ranks.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", qs).collect()}
+    assert set(got) == {"a"} and got["a"]["n"] == n
+    for name, q in qs.items():
+        assert got["a"][name] == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def test_exact_quantiles_beyond_the_sketch(spark):
+    df = spark.range(150_000).select(F.pmod(F.xxhash64("id"), F.lit(90_000)).cast("double").alias("v"))
+    values = np.sort(df.toPandas()["v"])
+    got = ranks.exact_quantiles(df, [], "v", {"a": 0.001, "b": 0.5, "c": 0.9999}).first()
+    assert [got[c] for c in "abc"] == pytest.approx([np.quantile(values, q) for q in (0.001, 0.5, 0.9999)])
+
+
+def test_two_sample_statistic_leaves_nan_out(spark):
+    rows = [(float(v), v % 3 == 0) for v in range(90)] + [(float("nan"), True), (None, False)]
+    got = ranks.two_sample_ks(spark.createDataFrame(rows, "v double, a boolean"), "v", F.col("a")).first()
+    assert (got["n1"], got["n2"]) == (30, 60) and 0 < got["ks"] < 0.1 and got["p_value"] > 0.9
+
+
+def test_grid_is_spread_and_starts_inside_the_join(spark):
+    times = spark.range(4000).selectExpr("timestamp_seconds(id * 3600) as time_ref", "timestamp_seconds(id * 3600 + 7200) as time")
+    units = spark.range(30).selectExpr("id as unit", "timestamp_seconds(id * 360000) as begun")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a table this small would be put together again after the count
+    grid = reshape.dense_grid(units, times.unionAll(times), keep=F.col("time_ref") > F.col("begun"))
+    sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == sum(max(0, 4000 - 100 * k - 1) for k in range(30)) and len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "begun" in plan.split("Join")[1].splitlines()[0]
+
+
+def test_parameters_are_broadcast_and_rows_keep_their_place(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"a{k % 3}", [1.0, float(x)], [1.0], float(1 / (1 + np.exp(-x - 0.1 * rng.normal())))) for k, x in enumerate(rng.normal(size=600))]
+    rows += [("a0", [1.0, None], [1.0], 0.5), ("new", [1.0, 0.0], [1.0], 0.5)]
+    table = spark.createDataFrame(rows, "bidding_area string, x_mu array<double>, x_sigma array<double>, relative_power double")
+    params = logitnormal.fit(table.where("bidding_area <> 'new'"), 2, 1)
+    plan = table.join(params.select("bidding_area", "beta"), "bidding_area")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+    drawn = logitnormal.predict(table, params, scale=None, draws=5).collect()
+    assert len(drawn) == len(rows) and sum(r["draws"] is None for r in drawn) == 2
+
+
 def test_guard_raises_on_leak(spark):
     df = to_spark(spark, panel())
     early = F.col("time_ref") < F.lit("2023-06-01").cast("timestamp")
