@@ -13,8 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forecastlab.functions.scalars import add_hours
 from forecastlab.operators.reshape import ensemble_long
+from forecastlab.session import settle
 from forecastlab.sources.schemas import MEMBERS
 
+LOCAL_IDS = [
+    "time_ref", "time", "lt", "windpark", "bidding_area", "operating_power_max", "mean_hub_height", "local_relative_power",
+]
+LOCAL_VARIABLES = ["ws10m", "t2m", "mslp", "g10m"]
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -213,8 +219,8 @@ class Lab:
         )
 
     @cached_property
-    def local_rows(self) -> DataFrame:
-        """Training rows: member forecasts of started units with their production where known."""
+    def local_cells(self) -> DataFrame:
+        """Forecasts of all members at started units with their production where known, settled because fits and predictions read them."""
         unit = self.units.select(
             "windpark_statnet", "windpark_nve_id", F.col("windpark_nve").alias("windpark"), "bidding_area",
             "operating_power_max", "mean_hub_height", "production_start_date",
@@ -225,11 +231,19 @@ class Lab:
             .filter(F.col("time_ref") > F.col("production_start_date"))
             .join(self.unit_power, ["windpark_nve_id", "time"], "left")
         )
-        ids = [
-            "time_ref", "time", "lt", "windpark", "bidding_area", "operating_power_max", "mean_hub_height",
-            (F.col("local_power") / F.col("operating_power_max")).alias("local_relative_power"),
-        ]
-        return ensemble_long(cells, ids, ["ws10m", "t2m", "mslp", "g10m"])
+        cells = cells.withColumn("local_relative_power", F.col("local_power") / F.col("operating_power_max"))
+        kept = [f"{v}_{em:02d}" for v in LOCAL_VARIABLES for em in MEMBERS]
+        return settle(cells.select(*LOCAL_IDS, *kept), "local_cells")
+
+    @cached_property
+    def local_rows(self) -> DataFrame:
+        """One row per member, unit and time."""
+        return ensemble_long(self.local_cells, LOCAL_IDS, LOCAL_VARIABLES)
+
+    @cached_property
+    def first_rows(self) -> DataFrame:
+        """Member 0 alone, chosen before the members become rows: what models are trained on."""
+        return ensemble_long(self.local_cells, LOCAL_IDS, LOCAL_VARIABLES, members=[0])
 
     @cached_property
     def messages(self) -> DataFrame:

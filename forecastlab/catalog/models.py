@@ -27,7 +27,7 @@ def line():
 def rolling_line(lab):
     """Monthly expanding fits on member 0, weighted by capacity, applied to all members."""
     return moments.rolling_prediction(
-        lab.local_rows, line(), TARGET, WEIGHT, FIRST, train=F.col("em") == 0, scale=WEIGHT
+        lab.local_rows, line(), TARGET, WEIGHT, FIRST, scale=WEIGHT, fit_on=lab.first_rows
     )
 
 
@@ -92,7 +92,7 @@ def _(lab):
 @check("mdl_linear_moments", """
 SELECT start AS block, n, round(intercept, 5) AS intercept, round(slope, 6) AS slope FROM v_block_fit""")
 def _(lab):
-    fits = moments.expanding_coefficients(lab.local_rows, line(), TARGET, WEIGHT, FIRST, train=F.col("em") == 0)
+    fits = moments.expanding_coefficients(lab.first_rows, line(), TARGET, WEIGHT, FIRST)
     return fits.select(
         "block", "n", F.round(F.col("beta")[0], 5).alias("intercept"), r6(F.col("beta")[1]).alias("slope")
     )

@@ -292,6 +292,11 @@ VIEWS["v_ar2"] = AR2_SOLUTION.format(source="""
  FROM v_hour_lags WINDOW w AS (PARTITION BY bidding_area ORDER BY time ROWS BETWEEN 197 PRECEDING AND CURRENT ROW))""") + """
 WHERE pos >= 199 AND hour(time_ref) = 9"""
 
+# The same over area production, and the evaluation set that all models of the report are scored on.
+VIEWS["v_asked"] = "SELECT * FROM v_truth WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00'"
+VIEWS["v_area_lags"] = VIEWS["v_hour_lags"].replace("v_hourly", "v_area_power")
+VIEWS["v_ar2_area"] = VIEWS["v_ar2"].replace("v_hour_lags", "v_area_lags")
+
 
 def compose(body: str) -> str:
     """Statement with the views it reads, directly or through other views, as leading CTEs."""
