@@ -10,7 +10,7 @@ from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.functions.errors import rmse
 from forecastlab.functions.scalars import is_day_ahead, logit
-from forecastlab.plans import area, backtest, bands, design, logitnormal, moments, trees, truth
+from forecastlab.plans import area, backtest, bands, design, local, logitnormal, moments, trees, truth
 from forecastlab.session import cut_lineage, settle
 
 FIRST = "1998-01-01"
@@ -112,10 +112,53 @@ def tree_score(predicted, pred: str = "local_power_pred", scale: bool = True):
     )
 
 
+TREE_HOLDOUT = "1998-07-01"
+
+
+def full_split(lab):
+    """The local table with all features, known targets only: training, holdout for the number of trees, later rows."""
+    table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
+    table = settle(table.filter(F.col(TARGET).isNotNull()), "local_table")
+    hold, cut = (F.lit(day).cast("timestamp") for day in (TREE_HOLDOUT, SPLIT))
+    at = F.col("time_ref")
+    return table.filter(at < hold), table.filter((at >= hold) & (at < cut)), table.filter(at >= cut)
+
+
+def full_model(lab):
+    train, held, later = full_split(lab)
+    return trees.first_member_model(train, later, local.LOCAL_FEATURES, TARGET, WEIGHT, held), train
+
+
 @check("mdl_boosted_em0")
 def _(lab):
-    train, pred = tree_split(lab)
-    return tree_score(trees.first_member_model(train, pred, FEATURES, TARGET, WEIGHT, **SMALL))
+    return tree_score(full_model(lab)[0])
+
+
+@check("mdl_boosted_facts", """
+SELECT bidding_area, em, count(*) AS n, count(DISTINCT (time_ref, time, windpark)) AS n_keys, 0::BIGINT AS n_missing
+FROM v_local_row WHERE local_relative_power IS NOT NULL AND time_ref >= TIMESTAMP '1999-01-01 00:00:00' GROUP BY 1, 2""")
+def _(lab):
+    # What SQL can say of the full model: every later row with a forecast has one prediction.
+    predicted, _ = full_model(lab)
+    return predicted.filter(F.col("em").isNotNull()).groupBy("bidding_area", "em").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("time_ref", "time", "windpark").alias("n_keys"),
+        F.count_if(F.col("local_power_pred").isNull()).alias("n_missing"),
+    )
+
+
+@check("mdl_one_split", """
+WITH known AS (SELECT lt, local_relative_power AS y FROM v_local_row WHERE em = 0 AND local_relative_power IS NOT NULL),
+cuts AS (SELECT DISTINCT lt AS cut FROM known),
+sides AS (SELECT cut, avg(y) FILTER (WHERE lt <= cut) AS low, avg(y) FILTER (WHERE lt > cut) AS high,
+                 var_pop(y) FILTER (WHERE lt <= cut) * count(*) FILTER (WHERE lt <= cut) + var_pop(y) FILTER (WHERE lt > cut) * count(*) FILTER (WHERE lt > cut) AS sse
+          FROM known, cuts GROUP BY 1),
+best AS (SELECT * FROM sides WHERE sse IS NOT NULL ORDER BY sse, cut LIMIT 1)
+SELECT DISTINCT lt, round(CASE WHEN lt <= cut THEN low ELSE high END, 6) AS pred FROM known, best""")
+def _(lab):
+    # One tree of depth one: the split and both leaf means can be worked out by hand.
+    rows = lab.first_rows.filter(F.col(TARGET).isNotNull())
+    model = trees.fit_trees(rows, ["lt"], TARGET, maxIter=1, maxDepth=1, maxBins=256)
+    return trees.predict_trees(model, rows, ["lt"], name="pred").select("lt", r6("pred").alias("pred")).distinct()
 
 
 @check("mdl_boosted_pooled")
@@ -148,9 +191,10 @@ def _(lab):
 
 @check("mdl_importance")
 def _(lab):
-    train, _ = tree_split(lab)
-    model = trees.fit_trees(train.filter(F.col("em") == 0), FEATURES, TARGET, WEIGHT, **SMALL)
-    return lab.spark.createDataFrame(trees.importance(model, FEATURES), "feature string, importance double")
+    train, held, _ = full_split(lab)
+    first = F.col("em") == 0
+    model = trees.fit_trees(train.filter(first), local.LOCAL_FEATURES, TARGET, WEIGHT, held.filter(first))
+    return lab.spark.createDataFrame(trees.importance(model, local.LOCAL_FEATURES), "feature string, importance double")
 
 
 @check("mdl_tune")
