@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from forecastlab.functions.scalars import add_days, is_day_ahead
@@ -40,6 +44,25 @@ def with_blocks(
     return data.withColumn("_starts", listed).withColumn("block", block).drop("_starts")
 
 
+def rolling_models(
+    data: DataFrame, target: str, first: str, fit: Callable[[DataFrame], Any], predict: Callable[[Any, DataFrame], DataFrame],
+    fit_on: DataFrame | None = None,
+) -> DataFrame:
+    """Every block predicted by a model of any kind that was trained on all rows before it.
+
+    ``fit`` takes the training rows of a block and returns a model, ``predict`` takes the model and the block's rows. There is one
+    distributed fit per month of history (the list of months is what reaches the driver); linear models get all their fits from one pass in
+    :func:`forecastlab.plans.moments.rolling_prediction`. ``data`` is read once per block, so hand in a settled table.
+    """
+    known = (data if fit_on is None else fit_on).filter(F.col(target).isNotNull())
+    starts = sorted(row["start"] for row in month_starts(known, target, first).collect())
+    at, parts = F.col("time_ref"), []
+    for start, stop in zip(starts, [*starts[1:], None]):
+        rows = data.filter(at >= F.lit(start)) if stop is None else data.filter((at >= F.lit(start)) & (at < F.lit(stop)))
+        parts.append(predict(fit(known.filter(at < F.lit(start))), rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def block_summary(data: DataFrame, target: str, first: str | None = None) -> DataFrame:
     """Training and prediction rows of each block and the times that separate them."""
     per_block = with_blocks(data, target, first).groupBy("block").agg(

@@ -60,6 +60,36 @@ def test_blocks_cover_prediction_rows_once(spark):
     assert (summary["last_train"] < summary["first_pred"]).all()
 
 
+def test_any_model_in_the_block_loop(spark):
+    df = to_spark(spark, panel()).withColumn("em", F.lit(0))
+    x = design()
+
+    def fit(train):
+        sums = train.agg(*moments.moment_sums(x, F.col("y"), F.col("w"))).withColumn("k", F.lit(1))
+        return moments.solve(sums, ["k"], 3).first()["beta"]
+
+    def predict(beta, rows):
+        return rows.withColumn("pred", sum((b * c for b, c in zip(beta[1:], x[1:])), F.lit(beta[0])))
+
+    keys = ["time_ref", "time", "windpark", "x1"]
+    looped = backtest.rolling_models(df, "y", "2023-08-01", fit, predict).select(*keys, "pred").toPandas().sort_values(keys)
+    summed = moments.rolling_prediction(df, x, "y", "w", "2023-08-01", name="pred").select(*keys, "pred").toPandas().sort_values(keys)
+    np.testing.assert_allclose(looped["pred"], summed["pred"], atol=1e-9)
+    seen = []
+    grown = backtest.rolling_models(
+        df, "y", "2023-09-01", lambda train: seen.append(train.count()) or trees.fit_trees(train, ["x1", "x2"], "y", maxIter=2, maxDepth=2),
+        lambda model, rows: trees.predict_trees(model, rows, ["x1", "x2"], name="pred"),
+    )
+    assert grown.filter(F.col("pred").isNull()).isEmpty() and seen == sorted(seen) and len(seen) >= 2
+
+
+def test_trees_stop_early(spark):
+    df = to_spark(spark, panel())
+    early = F.col("time_ref") < F.lit("2023-07-01").cast("timestamp")
+    model = trees.fit_trees(df.filter(early), ["x1", "x2"], "y", None, df.filter(~early), maxIter=60, maxDepth=3, stepSize=0.3)
+    assert 1 < model.stages[-1].getNumTrees < 60
+
+
 def test_leave_one_out_equals_refits(spark):
     frame = panel().dropna(subset=["y"])
     train, val = frame[frame.time_ref < "2023-07-01"], frame[frame.time_ref >= "2023-07-01"]
