@@ -11,9 +11,9 @@ sets and with no caps:
 2. *Groups.* Remaining sets are partitioned by min-hash into bounded groups; large ones are dealt by hash, with
    another min-hash in each round. Members of a group are compared all with all as a small matrix
    product, and join into components early.
-3. *Token-group matrix.* Only sets whose tokens suffice in *other* components go on. Bounded groups inside a
-   component store their token union; a set's rarest tokens find groups, the overlap with the whole union
-   bounds what any member can have, and only groups that reach the least overlap are opened.
+3. *Token-group matrix.* Only sets whose tokens suffice in *other* components go on. They are partitioned into bounded
+   groups of one min-hash, which store their token union; a set's rarest tokens find groups, the overlap with the whole union
+   bounds what any member can have, and only groups that reach the least overlap are opened. Of two components the smaller one asks.
 
 A document with fewer than five words has the whole sequence as its only shingle; without words, or with a null text, it
 has none, links with nothing and is its own class. Every row gives one row; rows with equal ids count as
@@ -41,6 +41,7 @@ TOKENS_PER_PART = 4_000_000
 GROUP = 192  # members compared all with all
 ROUNDS = 3
 MATRIX_GROUP = 64  # members under one token union
+ASKING = 512  # sets that ask a group at one time
 TILE = 4096
 
 
@@ -149,14 +150,14 @@ def _count_shared(group: pa.Table) -> pa.Table:
     read = lambda name, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in group.column(name)])
     tokens, counts = read("tokens", np.uint64), read("counts", np.uint32)
     sigs, owners = np.repeat(read("sigs", np.int64), counts), np.repeat(read("owners", np.int64), counts)
-    order = np.lexsort((owners, tokens))
+    order = np.lexsort((sigs, tokens))
     tokens, sigs, owners = tokens[order], sigs[order], owners[order]
-    new_token = np.r_[True, tokens[1:] != tokens[:-1]]
-    new_owner = new_token | np.r_[True, owners[1:] != owners[:-1]]
-    run = np.cumsum(new_token) - 1
-    shared = np.bincount(run, weights=new_owner)[run] > 1
-    pairs = np.unique(np.column_stack([sigs[shared], tokens[shared].view(np.int64)]), axis=0) if shared.any() else np.zeros((0, 2), np.int64)
-    found, n = np.unique(pairs[:, 0], return_counts=True)
+    del order
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])]  # a set may come from several batches
+    tokens, sigs, owners = tokens[once], sigs[once], owners[once]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+    found, n = np.unique(sigs[np.repeat(several, np.diff(np.r_[starts, len(tokens)]))], return_counts=True)
     return pa.table({"sig": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64())})
 
 
@@ -257,73 +258,94 @@ def group_links(sets: DataFrame) -> DataFrame:
         sizes = keyed.groupBy(F.col(f"k{r}").alias("key")).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
         rows = keyed.select("sig", "tokens", F.col(f"k{r}").alias("key")).join(sizes, "key")
         rows = rows.withColumn("lot", F.expr(f"pmod(xxhash64(sig, {r}), cast(ceil(many / {GROUP}) as bigint))"))
-        found = rows.select("key", "lot", "sig", "tokens").groupBy("key", "lot").applyInArrow(_link_group, "a long, b long")
+        rows = rows.select("key", "lot", "sig", "tokens").repartition("key", "lot")  # else a frequent key stays in one task
+        found = rows.groupBy("key", "lot").applyInArrow(_link_group, "a long, b long")
         links = found if links is None else links.unionByName(found)
     return settle(links, "near_links")
 
 
-def _verify(rows: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` among pairs of sets ``(a, b, a_tokens, b_tokens)``."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.select("a", "b", "a_tokens", "b_tokens").mapInArrow(work, "a long, b long")
-
-
-def _reach(rows: DataFrame) -> DataFrame:
-    """``(sig, grp)`` where the set's overlap with the group's token union allows a link."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, parts in zip(batch.column("tokens").to_pylist(), batch.column("member_tokens").to_pylist()):
-                x = np.frombuffer(x, np.uint64)
-                union = np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in parts]))
-                keep.append(np.isin(x, union, assume_unique=True).sum() >= least_overlap(len(x)))
-            yield batch.select(["sig", "grp"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.select("sig", "grp", "tokens", "member_tokens").mapInArrow(work, "sig long, grp string")
+def _ask_group(asked: pa.Table, members: pa.Table) -> pa.Table:
+    """Links of the sets that ask a group: those whose overlap with its token union allows one are compared with its members.
+
+    A set gets one link to each other component among the members.
+    """
+    inside, sets = ([np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in (members.column("in_tokens"), asked.column("tokens")))
+    union = np.unique(np.concatenate(inside)) if inside else np.zeros(0, np.uint64)
+    at = np.concatenate([np.searchsorted(union, t) for t in inside]) if inside else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(inside)), [len(t) for t in inside])
+    n = np.array([len(t) for t in inside])
+    theirs, components = members.column("in_sig").to_numpy(), members.column("in_owner").to_numpy()
+    a, b = [], []
+    for sig, owner, tokens in zip(asked.column("sig").to_pylist(), asked.column("owner").to_pylist(), sets):
+        if not len(union):
+            break
+        place = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+        place = place[union[place] == tokens]
+        if len(place) < least_overlap(len(tokens)):
+            continue  # the group stays shut
+        shared = np.zeros(len(union), bool)
+        shared[place] = True
+        both = np.bincount(row, weights=shared[at], minlength=len(inside))
+        near = np.flatnonzero((100 * both >= PERCENT * (len(tokens) + n - both)) & (components != owner))
+        near = near[np.unique(components[near], return_index=True)[1]]
+        a += [sig] * len(near)
+        b += theirs[near].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def matrix_links(sets: DataFrame) -> DataFrame:
-    """Step 3: links between sets ``(sig, n, tokens, owner)`` of different owners."""
+    """Step 3: links between sets ``(sig, n, tokens, owner)`` of different owners, one for a set, a group and an owner."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
-            yield pa.record_batch([batch.column("sig"), pa.array(lists, pa.list_(pa.int64()))], names=["sig", "list"])
+            yield pa.record_batch(
+                [batch.column("sig"), batch.column("owner"), pa.array(lists, pa.list_(pa.int64()))], names=["sig", "owner", "list"]
+            )
 
+    token = sets.select("sig", "owner", "tokens").mapInArrow(numbers, "sig long, owner long, list array<bigint>")
+    token = settle(token.select("sig", "owner", F.explode("list").alias("token")), "matrix_tokens")
+    # A token is the rarer the fewer components hold it; what only one holds can't link, and counts as the rarest.
+    rarity = token.groupBy("token", "owner").agg(F.lit(1).alias("one")).groupBy("token").agg(F.sum("one").alias("df")).where("df > 1")
+    shared = token.select("sig", "token").join(rarity, "token").groupBy("sig").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"),  # one set's tokens
+        F.min(F.xxhash64("token")).alias("key"),
+    )
+    shared = settle(shared, "matrix_shared")
+    # Similar sets have an equal min-hash of what they share; each group has a bounded number of them, whatever their components.
+    alike = shared.groupBy("key").agg(F.count(F.lit(1)).alias("alike"))
+    lot = F.expr(f"pmod(xxhash64(sig), cast(ceil(alike / {MATRIX_GROUP}) as bigint))")
+    group = shared.join(alike, "key").select("sig", "ordered", F.concat_ws(":", "key", lot).alias("grp"))
     many = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("many"))
-    lot = F.expr(f"pmod(xxhash64(sig), cast(ceil(many / {MATRIX_GROUP}) as bigint))")
-    sets = settle(sets.join(many, "owner").withColumn("grp", F.concat_ws(":", "owner", lot)).drop("many"), "matrix_sets")
-    token = sets.select("sig", "tokens").mapInArrow(numbers, "sig long, list array<bigint>").select("sig", F.explode("list").alias("token"))
-    token = settle(token, "matrix_tokens")
-    rarity = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = token.join(rarity, "token", "left").groupBy("sig").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ordered")  # one set's tokens
+    sets = settle(sets.join(many, "owner").join(group, "sig").withColumn("place", F.struct("many", "owner")), "matrix_sets")
+    # What is left of a set from a token on, in the common order. The first token that two sets share bounds their overlap by
+    # the lesser of what is left of both; rows that fall short are not that first token of any linked pair.
+    first = sets.select(
+        "sig", "n", "place", "grp", F.size("ordered").alias("many"),
+        F.posexplode(F.expr(f"slice(ordered, 1, greatest(0, cast(size(ordered) - {_sql_least('n')} + 1 as int)))")).alias("at", "t"),
+    )
+    first = first.select("sig", "n", "place", "grp", (F.col("many") - F.col("at")).alias("left"), F.col("t.token").alias("token"))
+    first = settle(first, "matrix_first")
+    matrix = first.groupBy("token", "grp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"), F.max("place").alias("top")
     )
-    first = ordered.join(sets.select("sig", "n", "owner", "grp"), "sig").select(
-        "sig", "n", "owner", "grp", F.explode(F.expr(f"slice(ordered, 1, cast(n - {_sql_least('n')} + 1 as int))")).alias("t")
-    ).where("t.df > 1")
-    first = settle(first.select("sig", "n", "owner", "grp", F.col("t.token").alias("token")), "matrix_first")
-    matrix = first.groupBy("token", F.col("grp"), F.col("owner").alias("g_owner")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    wide = first.select("token", "sig", "n", "owner")
-    pairs = wide.join(matrix, "token").where(
-        f"owner <> g_owner and 100 * high >= {PERCENT} * n and {PERCENT} * low <= 100 * n"
+    # Of two components the smaller one asks; its sets are fewer, and those of the larger one stand under fewer unions.
+    pairs = first.select("token", "sig", "n", "place", "left").join(matrix, "token").where(
+        f"place < top and 100 * high >= {PERCENT} * n and {PERCENT} * low <= 100 * n"
+        f" and {100 + PERCENT} * least(left, most) >= {PERCENT} * (n + greatest(low, {_sql_least('n')}))"
     ).select("sig", "grp").distinct()
-    unions = sets.groupBy("grp").agg(F.collect_list("tokens").alias("member_tokens"))  # at most about MATRIX_GROUP sets
-    reached = _reach(pairs.join(sets.select("sig", "tokens"), "sig").join(unions, "grp"))
-    opened = settle(reached, "matrix_reached").join(sets.select(F.col("sig").alias("b"), F.col("n").alias("b_n"), "grp", F.col("tokens").alias("b_tokens")), "grp")
-    asked = sets.select(F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    pairs = opened.withColumnRenamed("sig", "a").join(asked, "a").where(f"100 * a_n >= {PERCENT} * b_n and {PERCENT} * a_n <= 100 * b_n")
-    return _verify(pairs)
+    pairs = settle(pairs, "matrix_pairs")
+    lots = pairs.groupBy("grp").agg(F.expr(f"cast(ceil(count(1) / {ASKING}) as bigint)").alias("lots"))
+    asked = pairs.join(lots, "grp").join(sets.select("sig", "owner", "tokens"), "sig").select(
+        "grp", F.expr("pmod(xxhash64(sig), lots)").alias("lot"), "sig", "owner", "tokens"
+    )
+    inside = sets.select(F.col("grp").alias("in_grp"), F.col("sig").alias("in_sig"), F.col("owner").alias("in_owner"), F.col("tokens").alias("in_tokens"))
+    size = lots.select(F.col("grp").alias("in_grp"), F.col("lots").alias("in_lots"))
+    members = inside.join(size, "in_grp").select(
+        "in_grp", F.explode(F.expr("sequence(0L, in_lots - 1)")).alias("in_lot"), "in_sig", "in_owner", "in_tokens"
+    )
+    asked, members = asked.repartition("grp", "lot"), members.repartition("in_grp", "in_lot")
+    return asked.groupBy("grp", "lot").cogroup(members.groupBy("in_grp", "in_lot")).applyInArrow(_ask_group, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
