@@ -197,7 +197,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", min_s
     """``(key, item_id, score, first_word, end_word)`` of every item that a document holds, word positions in the document."""
     items = settle(item_words(benchmark), "leak_items")
     grams = settle(item_grams(items), "leak_grams")
-    longest = items.agg(F.max("n")).first()[0] or 0
     blocks = max(1, -(-grams.count() * 2 // BLOCK_SEEDS))  # half filled, as the hash spreads unevenly
     found = None
     for block in range(blocks):
@@ -208,6 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", min_s
         known = np.sort(np.array([r[0] for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))
         if not len(known):
             continue
+        longest = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).agg(F.max("n")).first()[0]
         near = passages(docs, key, known, int(longest)).withColumn("place", F.xxhash64("key", "start", "words"))
         near = settle(near, "leak_passages")
         hits = near.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").select("place", "item").distinct()
