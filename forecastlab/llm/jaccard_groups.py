@@ -38,6 +38,7 @@ WORDS = 5
 PERCENT = 80
 MARGIN_PERCENT = 15
 TOKENS_PER_PART = 4_000_000
+LANES = 8  # of a part's tokens, one sorted at a time; a power of two
 GROUP = 192  # members compared all with all
 ROUNDS = 3
 MATRIX_GROUP = 64  # members under one token union
@@ -146,19 +147,36 @@ def _deal(sets: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.Re
 
 
 def _count_shared(group: pa.Table) -> pa.Table:
-    """``(sig, shared)``: how many tokens of this hash range each set has that a set of another owner has too."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in group.column(name)])
-    tokens, counts = read("tokens", np.uint64), read("counts", np.uint32)
-    sigs, owners = np.repeat(read("sigs", np.int64), counts), np.repeat(read("owners", np.int64), counts)
-    order = np.lexsort((sigs, tokens))
-    tokens, sigs, owners = tokens[order], sigs[order], owners[order]
-    del order
-    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])]  # a set may come from several batches
-    tokens, sigs, owners = tokens[once], sigs[once], owners[once]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
-    found, n = np.unique(sigs[np.repeat(several, np.diff(np.r_[starts, len(tokens)]))], return_counts=True)
-    return pa.table({"sig": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64())})
+    """``(sig, shared)``: how many tokens of this hash range each set has that a set of another owner has too.
+
+    The range is gone through in lanes of tokens, so that only a part of it is sorted at a time.
+    """
+    columns = [
+        [np.frombuffer(v.as_buffer(), kind) for v in group.column(name)]
+        for name, kind in (("tokens", np.uint64), ("sigs", np.int64), ("owners", np.int64), ("counts", np.uint32))
+    ]
+    found = []
+    for lane in range(LANES):
+        parts = []
+        for tokens, sigs, owners, counts in zip(*columns):
+            at = np.flatnonzero((tokens & np.uint64(LANES - 1)) == np.uint64(lane))
+            row = np.searchsorted(np.cumsum(counts), at, side="right")
+            parts.append((tokens[at], sigs[row], owners[row]))
+        tokens, sigs, owners = (np.concatenate(p) for p in zip(*parts))
+        del parts
+        if not len(tokens):
+            continue
+        order = np.lexsort((sigs, tokens))
+        tokens, sigs, owners = tokens[order], sigs[order], owners[order]
+        once = np.r_[True, (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])]  # a set may come from several batches
+        tokens, sigs, owners = tokens[once], sigs[once], owners[once]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+        found.append(np.unique(sigs[np.repeat(several, np.diff(np.r_[starts, len(tokens)]))], return_counts=True))
+    sigs = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+    names, place = np.unique(sigs, return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([f[1] for f in found])) if len(sigs) else np.zeros(0)
+    return pa.table({"sig": pa.array(names, pa.int64()), "shared": pa.array(total.astype(np.int64), pa.int64())})
 
 
 def _with_enough(dealt: DataFrame, sizes: DataFrame, least: str) -> DataFrame:
@@ -354,6 +372,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entity = settle(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "near_entities")
     sharing = settle(sharing_documents(docs, entity.select("sig", "n")), "near_sharing")
     many = sharing.count()
+    if not many:
+        return rows, docs.sparkSession.createDataFrame([], "node long, root long")
     chosen = entity.join(sharing.select("sig"), "sig", "left_semi").select("doc_id")
     texts = id_text(docs)
     texts = texts.join(small_side(chosen.where("doc_id is not null"), many, 24), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
@@ -366,6 +386,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     owned = sets.join(early, sets["sig"] == early["node"], "left").select("sig", "n", "tokens", F.coalesce("root", "sig").alias("owner"))
     owned = settle(owned, "near_owned")
     open_ = settle(sharing_sets(owned), "near_open").select("sig")
+    if open_.isEmpty():  # no set has enough in common with another component
+        return rows, early
     across = settle(matrix_links(settle(owned.join(open_, "sig", "left_semi"), "near_open_sets")), "near_across")
     return rows, connected(links.unionByName(across))
 
