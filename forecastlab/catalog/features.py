@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from forecastlab.catalog.aggregates import OFF_EDGE
 from forecastlab.catalog.joins import area_cells, unit_cells
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import SEASON_RAW, SEASON_SQL, r6, rounded
@@ -193,16 +194,17 @@ LOCAL_NUMBERS = [c for c in local.LOCAL_FEATURES if not c.startswith("ELSPOT")]
 
 
 @check("feat_local_dataset", LOCAL_SQL + """
-SELECT date_trunc('month', time_ref)::TIMESTAMP AS month, windpark_nve AS windpark, em, count(*) AS n, """
-       + ", ".join(f"round(avg({c}), 4) AS {c}, count({c}) AS n_{c}" for c in LOCAL_NUMBERS)
+SELECT date_trunc('month', time_ref)::TIMESTAMP AS month, windpark_nve AS windpark, count(*) AS n, count(DISTINCT em) AS n_members, """
+       + ", ".join(f"round(1e-8 + avg({c}), 4) AS {c}, count({c}) AS n_{c}" for c in LOCAL_NUMBERS)
        + ", " + ", ".join(f"bool_or(bidding_area = 'ELSPOT NO{k}') AS is_no{k}" for k in range(1, 5))
-       + " FROM v_dataset GROUP BY 1, 2, 3")
+       + " FROM v_dataset GROUP BY 1, 2")
 def _(lab):
-    # One row per unit, valid time and member; compared by unit, month and member: mean and count of every column.
+    # One row per unit, valid time and member; compared by unit and month: mean (shifted off the edge of
+    # rounding) and count of every column.
     table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
-    return table.groupBy(F.date_trunc("MONTH", "time_ref").alias("month"), "windpark", "em").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(c), 4).alias(c) for c in LOCAL_NUMBERS],
+    return table.groupBy(F.date_trunc("MONTH", "time_ref").alias("month"), "windpark").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("em").alias("n_members"),
+        *[F.round(OFF_EDGE + F.avg(c), 4).alias(c) for c in LOCAL_NUMBERS],
         *[F.count(c).alias(f"n_{c}") for c in LOCAL_NUMBERS],
         *[F.bool_or(f"`ELSPOT NO{k}`").alias(f"is_no{k}") for k in range(1, 5)],
     )
