@@ -23,13 +23,19 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over single batches."""
+def map_arrow(
+    df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None
+) -> DataFrame:
+    """``mapInArrow`` over single batches; ``done`` ends a task, since Python workers live on and would keep what they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from work(batch)
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, schema)
 

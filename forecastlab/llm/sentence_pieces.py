@@ -4,7 +4,7 @@ The search goes through the characters once. It keeps scores for a window of the
 and backpointers up to the last committed boundary: whenever the paths of all positions in the window
 lead back to one boundary, the ids before it are final and leave. No piece holds a line break or a space
 after another character, so every word start is such a boundary; words are therefore searched apart and
-the ids of recent distinct words are kept (a bounded cache per Python worker).
+the ids of recent distinct words are kept (a bounded cache per task).
 
 A text is its characters with one word mark in front and every space as a word mark; characters outside the vocabulary become byte ids. Decoding gives back the exact text. Null and empty texts have no
 ids (both decode to the empty text); every row of the table gives one row.
@@ -197,6 +197,13 @@ def _coders(path: str, model) -> tuple[Encoder, Decoder]:
     return _encoders[path]
 
 
+def _coders_done() -> None:
+    """Forget the words seen; the tables of the model stay."""
+    for encoder, _ in _encoders.values():
+        encoder.older = {}
+        encoder.clear()
+
+
 def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """``(doc_id, n_ids, ids, round_trip)`` of every whole text; ``round_trip`` tells that decoding gives it back."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))  # bounded: one vocabulary file
@@ -219,7 +226,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 names=["doc_id", "n_ids", "ids", "round_trip"],
             )
 
-    return map_arrow(id_text(docs), work, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    return map_arrow(id_text(docs), work, "doc_id long, n_ids long, ids array<int>, round_trip boolean", _coders_done)
 
 
 def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
