@@ -38,6 +38,7 @@ WORDS = 5
 PERCENT = 80
 MARGIN_PERCENT = 15
 TOKENS_PER_PART = 4_000_000
+TOKENS_PER_ROW = 20_000
 LANES = 8  # of a part's tokens, one sorted at a time; a power of two
 GROUP = 192  # members compared all with all
 ROUNDS = 3
@@ -120,9 +121,20 @@ _DEALT = "part int, tokens binary, sigs binary, owners binary, counts binary"
 
 
 def _deal(sets: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
-    """Tokens of ``(sig, owner, sorted tokens)`` by hash range: in a part, a set's id stands once before its tokens."""
-    if not sets:
-        return
+    """Tokens of ``(sig, owner, sorted tokens)`` by hash range: in a part, a set's id stands once before its tokens.
+
+    A row has about ``TOKENS_PER_ROW`` tokens, as the JVM takes much more memory for rows of megabytes.
+    """
+    filled = np.cumsum([0] + [len(t) for _, _, t in sets])
+    bound = parts * TOKENS_PER_ROW
+    start = 0
+    while start < len(sets):
+        stop = max(start + 1, int(np.searchsorted(filled, filled[start] + bound, side="right")) - 1)
+        yield from _deal_some(sets[start:stop], parts)
+        start = stop
+
+
+def _deal_some(sets: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     tokens = np.concatenate([t for _, _, t in sets])
     which = np.repeat(np.arange(len(sets)), [len(t) for _, _, t in sets])
     part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
