@@ -3,8 +3,9 @@
 A directory is indexed by the leading bits of the hash of the key. A bucket over the limit splits on one
 more bit, others stay. The splits are found from one histogram: bytes are summed per fine cell (a few
 cells per expected shard), rolled up to every shorter prefix, and the shard of a cell is its shortest prefix within the
-limit. Rows that no bit can part (one huge document, one key repeated) go to overflow pages of their
-bucket: a document over half the limit has a page of its own, others fill pages in running order.
+limit. Cells that are over the limit themselves get a second histogram of their rows alone, by all bits of the hash; so where
+a row goes does not depend on how fine the cells are. Rows that no bit can part (one huge document, one key repeated) go to
+overflow pages of their bucket: a document over half the limit has a page of its own, others fill pages in running order.
 
 Null keys hash as the empty text, a null or empty text has 0 bytes, repeated rows count each, an empty
 table gives no rows. Only a single document larger than the limit makes a shard larger than it.
@@ -31,9 +32,9 @@ def hash_code(key) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """``(cell, depth, cell_bytes)``: the number of bits that the cell's shard uses, null where even all ``bits`` don't suffice."""
-    levels = cells.select("cell", F.col("cell_bytes"), F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+def directory(cells: DataFrame, bits: int, limit: int, above: int = 0) -> DataFrame:
+    """``(cell, depth, cell_bytes)``: the number of bits (``above`` or more) that the cell's shard uses, null where even all ``bits`` don't suffice."""
+    levels = cells.select("cell", F.col("cell_bytes"), F.explode(F.sequence(F.lit(above), F.lit(bits))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
     full = levels.groupBy("depth", "prefix").agg(F.sum("cell_bytes").alias("bytes"))
     fits = levels.join(full.where(F.col("bytes") <= limit), ["depth", "prefix"], "left")
@@ -73,16 +74,28 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id"
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, CELLS_PER_SHARD_BITS + math.ceil(math.log2(max(1, total / limit))))
     rows = rows.withColumn("cell", F.shiftright("code", HASH_BITS - bits))
-    cells = settle(rows.groupBy("cell").agg(F.sum("n_bytes").alias("cell_bytes")), "shard_cells")
-    rows = rows.join(settle(directory(cells, bits, limit), "shard_directory"), "cell")
-    plain = rows.where(F.col("depth").isNotNull()).withColumn("page", F.lit(None).cast("string"))
-    pages = overflow_pages(rows.where(F.col("depth").isNull()), limit).withColumn("depth", F.lit(bits))
-    prefix = F.expr(f"lpad(bin(shiftright(cell, {bits} - depth)), depth, '0')")
-    return plain.unionByName(pages).select(
+    plain, over = by_directory(rows, bits, limit)
+    if over is not None and bits < HASH_BITS:
+        parted, over = by_directory(over.withColumn("cell", F.col("code")), HASH_BITS, limit, bits + 1)
+        plain = plain.unionByName(parted)
+    placed = plain.withColumn("page", F.lit(None).cast("string"))
+    if over is not None:
+        placed = placed.unionByName(overflow_pages(over, limit).withColumn("depth", F.lit(HASH_BITS)))
+    prefix = F.expr(f"lpad(bin(shiftright(code, {HASH_BITS} - depth)), depth, '0')")
+    return placed.select(
         "doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), F.concat_ws("/", prefix, F.col("page")).alias("shard")
     )
 
 
+def by_directory(rows: DataFrame, bits: int, limit: int, above: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with the depth of their cell's shard, and the rows of cells that ``bits`` don't suffice for, None where there are none."""
+    cells = settle(rows.groupBy("cell").agg(F.sum("n_bytes").alias("cell_bytes")), "shard_cells")
+    shards = settle(directory(cells, bits, limit, above), "shard_directory")
+    rows = rows.drop("depth", "cell_bytes").join(shards, "cell")
+    over = shards.where(F.col("depth").isNull())
+    return rows.where(F.col("depth").isNotNull()), None if over.isEmpty() else rows.where(F.col("depth").isNull())
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
     """Write the documents as one folder per shard. Documents must have distinct, non-null ids here."""
     shards = assign_shards(docs, limit).select("doc_id", "shard")

@@ -1,5 +1,6 @@
 """SentencePiece encoding, token counts and sharding."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -128,6 +129,34 @@ def test_overflow_keeps_the_limit(spark, odd):
     assert all(r["b"] <= 4_000 or r["n"] == 1 for r in sizes)
 
 
+def shortest_prefix(pairs, limit):
+    """The shard of every document by all prefixes of the hash; None where no prefix is within the limit."""
+    codes = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), "032b") for i, _ in pairs}
+    size = Counter()
+    for i, t in pairs:
+        size.update({codes[i][:n]: len(t) for n in range(33)})
+    return {i: next((codes[i][:n] for n in range(33) if size[codes[i][:n]] <= limit), None) for i, _ in pairs}
+
+
+def test_neighbours_of_a_huge_document_keep_their_shard(spark):
+    # Few bytes in all, so cells are coarse: the huge document shares its cell with small ones.
+    pairs = [(0, "y" * 9_000), *((i, "x" * 10) for i in range(1, 1_000))]
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(as_docs(spark, pairs), 4_000).collect()}
+    want = shortest_prefix(pairs, 4_000)
+    assert want.pop(0) is None and got.pop(0).endswith("/L-0-1")
+    assert got == want
+
+
+def test_two_documents_part_whatever_else_there_is(spark):
+    # The two of 3,000 whose hashes agree in most leading bits, more than the cells of so few bytes have.
+    code = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
+    near = sorted(range(3_000), key=code)
+    pair = min(zip(near, near[1:]), key=lambda p: code(p[0]) ^ code(p[1]))
+    pairs = [(i, "x" * 2_500) for i in pair]
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(as_docs(spark, pairs), 4_000).collect()}
+    assert got == shortest_prefix(pairs, 4_000) and "/" not in "".join(got.values())
+
+
 def test_written_shards(spark, tmp_path):
     docs = as_docs(spark, [(i, prose(i, 30)) for i in range(50)])
     sharding.write_shards(docs, str(tmp_path / "shards"), 5_000)
