@@ -16,8 +16,6 @@ from forecastlab.session import cut_lineage, settle
 FIRST = "1998-01-01"
 SPLIT = "1999-01-01"
 TARGET, WEIGHT = "local_relative_power", "operating_power_max"
-FEATURES = ["lt", "mean_hub_height", "ws10m", "t2m", "mslp", "g10m"]
-SMALL = {"maxIter": 5, "maxDepth": 4}
 
 
 def line():
@@ -98,13 +96,6 @@ def _(lab):
     )
 
 
-def tree_split(lab):
-    rows = lab.local_rows.filter(F.col(TARGET).isNotNull())
-    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
-    rows = cut_lineage(rows)
-    return rows.filter(early), rows.filter(~early)
-
-
 def tree_score(predicted, pred: str = "local_power_pred", scale: bool = True):
     y = F.col(TARGET) * F.col(WEIGHT) if scale else F.col(TARGET)
     return predicted.groupBy("bidding_area").agg(
@@ -117,8 +108,15 @@ TREE_HOLDOUT = "1998-07-01"
 
 def full_split(lab):
     """The local table with all features, known targets only: training, holdout for the number of trees, later rows."""
+    return early_held_late(known_table(lab))
+
+
+def known_table(lab):
     table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
-    table = settle(table.filter(F.col(TARGET).isNotNull()), "local_table")
+    return settle(table.filter(F.col(TARGET).isNotNull()), "local_table")
+
+
+def early_held_late(table):
     hold, cut = (F.lit(day).cast("timestamp") for day in (TREE_HOLDOUT, SPLIT))
     at = F.col("time_ref")
     return table.filter(at < hold), table.filter((at >= hold) & (at < cut)), table.filter(at >= cut)
@@ -163,15 +161,14 @@ def _(lab):
 
 @check("mdl_boosted_pooled")
 def _(lab):
-    train, pred = tree_split(lab)
-    return tree_score(trees.pooled_model(train, pred, FEATURES, TARGET, **SMALL), scale=False)
+    train, held, later = full_split(lab)
+    return tree_score(trees.pooled_model(train, later, local.LOCAL_FEATURES, TARGET, held), scale=False)
 
 
 @check("mdl_boosted_per_member")
 def _(lab):
-    train, pred = tree_split(lab)
-    members = list(range(15))
-    return tree_score(trees.member_models(train, pred, FEATURES, TARGET, members, maxIter=2, maxDepth=3), scale=False)
+    train, held, later = full_split(lab)
+    return tree_score(trees.member_models(train, later, local.LOCAL_FEATURES, TARGET, validation=held), scale=False)
 
 
 AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred"]
@@ -179,10 +176,9 @@ AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred
 
 @check("mdl_boosted_area")
 def _(lab):
-    table = cut_lineage(area_table(lab).filter(F.col("relative_power").isNotNull()))
-    early = F.col("time_ref") < F.lit(SPLIT).cast("timestamp")
-    model = trees.fit_trees(table.filter(early), AREA_TREE, "relative_power", "operating_power_max", **SMALL)
-    predicted = trees.predict_trees(model, table.filter(~early), AREA_TREE, "operating_power_max", "area_pred")
+    train, held, later = early_held_late(cut_lineage(area_table(lab).filter(F.col("relative_power").isNotNull())))
+    model = trees.fit_trees(train, AREA_TREE, "relative_power", "operating_power_max", held)
+    predicted = trees.predict_trees(model, later, AREA_TREE, "operating_power_max", "area_pred")
     return predicted.groupBy("bidding_area").agg(
         rmse(F.col("mean_sum_pred") * F.col("operating_power_max"), "power").alias("rmse_sum_local"),
         rmse("area_pred", "power").alias("rmse_area"),
@@ -199,11 +195,13 @@ def _(lab):
 
 @check("mdl_tune")
 def _(lab):
-    train, validation = backtest.holdout(lab.local_rows, SPLIT, TARGET, WEIGHT)
-    grid = {"maxDepth": [2, 4], "maxIter": [3], "subsamplingRate": [0.7, 1.0]}
-    trials = trees.tune(cut_lineage(train), cut_lineage(validation), FEATURES, TARGET, WEIGHT, grid, "unit_trees")
-    return trials.select("study", F.col("params")["maxDepth"].alias("max_depth"),
-                         F.col("params")["subsamplingRate"].alias("subsampling"), "rmse")
+    train, validation = backtest.holdout(known_table(lab), SPLIT, TARGET, WEIGHT)
+    train, validation = settle(train, "tune_train"), settle(validation, "tune_held")
+    trials = trees.tune(train, validation, local.LOCAL_FEATURES, TARGET, WEIGHT, trees.random_trials(), "unit_trees")
+    return trials.select(
+        "study", F.col("params")["maxDepth"].alias("max_depth"), F.col("params")["subsamplingRate"].alias("subsampling"),
+        F.col("params")["featureSubsetStrategy"].alias("columns"), F.col("params")["minInfoGain"].alias("min_gain"), "n_trees", "rmse",
+    )
 
 
 @check("mdl_quantile_band", """

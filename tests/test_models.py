@@ -374,3 +374,39 @@ def test_trees_keep_keys_and_beat_the_mean(spark):
     assert trees.importance(model, ["x1", "x2"])[0][0] == "x1"
     trials = trees.tune(train, pred.filter("y IS NOT NULL"), ["x1", "x2"], "y", "w", {"maxDepth": [1, 3], "maxIter": [2]}, "s")
     assert trials.count() == 2
+
+
+def test_members_that_occur_have_models(spark):
+    frame = panel(600, seed=7)
+    frame["em"] = np.where(frame["em"] == 0, 3, 20)
+    df = to_spark(spark, frame).filter("y IS NOT NULL")
+    at = F.col("time_ref")
+    train, held, pred = df.filter(at < "2023-05-01"), df.filter((at >= "2023-05-01") & (at < "2023-07-01")), df.filter(at >= "2023-07-01")
+    unknown = pred.limit(3).withColumn("em", F.lit(31))
+    out = trees.member_models(train, pred.unionByName(unknown), ["x1", "x2"], "y", validation=held.filter("em = 3"), maxIter=3, maxDepth=2)
+    rows = {r["em"]: r for r in out.groupBy("em").agg(F.count("*").alias("n"), F.count("local_power_pred").alias("known")).collect()}
+    assert {em for em, r in rows.items() if r["n"] == r["known"]} == {3, 20}
+    assert (rows[31]["n"], rows[31]["known"]) == (3, 0)
+    assert rows[3]["n"] + rows[20]["n"] == pred.count()
+
+
+def test_catalog_models_are_not_shrunken(spark, monkeypatch):
+    """Every registered tree fit sees all features and stops on a time holdout; the study has 30 trials."""
+    import __spark_entry__ as entry
+    from forecastlab.catalog import models
+    from forecastlab.plans import local
+
+    fits, whole = [], trees.fit_trees
+
+    def fit(train, features, target, weight=None, validation=None, **params):
+        fits.append((list(features), validation is not None, params.get("maxIter")))
+        return whole(train, features, target, weight, validation, **{**params, "maxIter": 1, "maxDepth": 1})
+
+    monkeypatch.setattr(trees, "fit_trees", fit)
+    for name, features, n in (
+        ("mdl_boosted_pooled", local.LOCAL_FEATURES, 1), ("mdl_boosted_per_member", local.LOCAL_FEATURES, 15),
+        ("mdl_boosted_area", models.AREA_TREE, 1), ("mdl_tune", local.LOCAL_FEATURES, 30),
+    ):
+        fits.clear()
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert fits == [(list(features), True, None)] * n, name
