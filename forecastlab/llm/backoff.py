@@ -243,3 +243,46 @@ FROM d LEFT JOIN s USING (r) GROUP BY d.r, d.doc_id, d.w
 def op8_backoff(spark, sf_dir):
     scored = backoff_scores(table(spark, sf_dir, "documents"))
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+TRIGRAM_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+q AS (
+  SELECT r, i, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS prev, lag(word, 2) OVER (PARTITION BY r ORDER BY i) AS first FROM p
+),
+u AS (SELECT word, count(*) AS n FROM p GROUP BY 1),
+ud AS (SELECT r, word, count(*) AS n FROM p GROUP BY 1, 2),
+b AS (SELECT prev, word, count(*) AS n FROM q WHERE prev IS NOT NULL GROUP BY 1, 2),
+bd AS (SELECT r, prev, word, count(*) AS n FROM q WHERE prev IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT first, prev, word, count(*) AS n FROM q WHERE first IS NOT NULL GROUP BY 1, 2, 3),
+td AS (SELECT r, first, prev, word, count(*) AS n FROM q WHERE first IS NOT NULL GROUP BY 1, 2, 3, 4),
+a AS (SELECT count(*) AS n FROM p),
+s AS (
+  SELECT q.r,
+         CASE WHEN t.n - td.n > 0 THEN ln((t.n - td.n)::DOUBLE / (bc.n - bdc.n))
+              ELSE CASE WHEN q.first IS NULL THEN 0 ELSE ln({BACKOFF}::DOUBLE) END
+                 + CASE WHEN b.n - bd.n > 0 THEN ln((b.n - bd.n)::DOUBLE / (uc.n - udc.n))
+                        ELSE ln(greatest(u.n - ud.n, 0.5)::DOUBLE / greatest(1, a.n - len(d.w))) + CASE WHEN q.prev IS NULL THEN 0 ELSE ln({BACKOFF}::DOUBLE) END END END AS v
+  FROM q JOIN d USING (r) CROSS JOIN a
+  JOIN u ON u.word = q.word JOIN ud ON ud.r = q.r AND ud.word = q.word
+  LEFT JOIN b ON b.prev = q.prev AND b.word = q.word LEFT JOIN bd ON bd.r = q.r AND bd.prev = q.prev AND bd.word = q.word
+  LEFT JOIN u uc ON uc.word = q.prev LEFT JOIN ud udc ON udc.r = q.r AND udc.word = q.prev
+  LEFT JOIN t ON t.first = q.first AND t.prev = q.prev AND t.word = q.word
+  LEFT JOIN td ON td.r = q.r AND td.first = q.first AND td.prev = q.prev AND td.word = q.word
+  LEFT JOIN b bc ON bc.prev = q.first AND bc.word = q.prev LEFT JOIN bd bdc ON bdc.r = q.r AND bdc.prev = q.first AND bdc.word = q.prev
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(sum(s.v), 0), 4) AS log_score,
+       round(sum(s.v) / nullif(len(d.w), 0), 6) AS mean_log_score
+FROM d LEFT JOIN s USING (r) GROUP BY d.r, d.doc_id, d.w
+"""
+
+
+@query("op8_backoff_trigrams", TRIGRAM_SQL)
+def op8_backoff_trigrams(spark, sf_dir):
+    scored = backoff_scores(table(spark, sf_dir, "documents"), 3)
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})

@@ -362,6 +362,17 @@ def test_backoff_equals_plain_counts(spark, monkeypatch, order):
         assert (rows[k]["mean_log_score"] is None) == (n == 0)
 
 
+def test_a_registered_query_counts_trigrams(spark, tmp_path):
+    from forecastlab.llm import queries
+
+    texts = ["a b c", "a b c", "x b c", "a b d"]
+    as_docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["log_score"] for r in queries.QUERIES["op8_backoff_trigrams"](spark, str(tmp_path)).collect()}
+    for k, (_, value) in enumerate(plain_backoff(texts, 3)):
+        assert rows[k] == pytest.approx(value, abs=1e-4)
+    assert rows[0] != pytest.approx(plain_backoff(texts, 2)[0][1], abs=1e-3)
+
+
 def test_backoff_odd_rows(odd, none):
     assert backoff.backoff_scores(odd).count() == len(odd_pairs())
     assert backoff.backoff_scores(none).count() == 0
