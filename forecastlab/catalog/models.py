@@ -111,9 +111,12 @@ def full_split(lab):
     return early_held_late(known_table(lab))
 
 
+def local_table(lab):
+    return local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
+
+
 def known_table(lab):
-    table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
-    return settle(table.filter(F.col(TARGET).isNotNull()), "local_table")
+    return settle(local_table(lab).filter(F.col(TARGET).isNotNull()), "local_table")
 
 
 def early_held_late(table):
@@ -127,6 +130,70 @@ def full_model(lab):
     return trees.first_member_model(train, later, local.LOCAL_FEATURES, TARGET, WEIGHT, held), train
 
 
+ROLLING_HOLDOUT = "1997-07-01"
+
+
+def rolling_table(lab):
+    """Rows of all members with all features, targets known or not. Cells without a forecast are no member's and can't be summed by member."""
+    return settle(local_table(lab).filter(F.col("em").isNotNull()), "rolling_table")
+
+
+def rolling_trees(table, pooled: bool = False):
+    """Full-width trees through the monthly blocks, in the unit of the capacity: weighted on member 0, or unweighted on all members.
+
+    The number of trees is settled once, by early stopping on the last half year before the first block; each block's model is then
+    fitted to all rows before it.
+    """
+    known = (table if pooled else table.filter(F.col("em") == 0)).filter(F.col(TARGET).isNotNull())
+    weight, at = None if pooled else WEIGHT, F.col("time_ref")
+    hold, first = (F.lit(day).cast("timestamp") for day in (ROLLING_HOLDOUT, FIRST))
+    train, held, sizes = known.filter(at < hold), known.filter((at >= hold) & (at < first)), {}
+    if not train.isEmpty() and not held.isEmpty():
+        sizes = {"maxIter": trees.fit_trees(train, local.LOCAL_FEATURES, TARGET, weight, held).stages[-1].getNumTrees}
+    return backtest.rolling_models(
+        table, TARGET, FIRST, lambda rows: trees.fit_trees(rows, local.LOCAL_FEATURES, TARGET, weight, **sizes),
+        lambda model, rows: trees.predict_trees(model, rows, local.LOCAL_FEATURES, WEIGHT), known,
+    )
+
+
+RIDGE = 1.0
+NOW_FEATURES = [c for c in local.LOCAL_FEATURES if c.startswith("now_") or c == "location_mean_ws"]
+AIR_FEATURES = local.LOCAL_FEATURES[local.LOCAL_FEATURES.index("ws10m"):]
+
+
+def ridge_table(table):
+    """The table with a column per term of the line and the names of these: an intercept, all features, and what is missing.
+
+    Where an entry of the nowcast, the weather or the others is missing, that group counts as 0 and a term of its own says so.
+    """
+    others = [c for c in local.LOCAL_FEATURES if c not in NOW_FEATURES + AIR_FEATURES]
+    terms = [F.lit(1.0)]
+    for group in (others, NOW_FEATURES, AIR_FEATURES):
+        numbers = [F.col(f"`{c}`").cast("double") for c in group]
+        gap = F.array_contains(F.transform(F.array(*numbers), lambda v: v.isNull() | F.isnan(v)), True)
+        terms += [F.when(gap, 0.0).otherwise(v) for v in numbers] + [gap.cast("double")]
+    names = [f"x_{i}" for i in range(len(terms))]
+    return settle(table.withColumns(dict(zip(names, terms))), "ridge_table"), names
+
+
+def rolling_ridge(table):
+    """Monthly expanding ridge fits of all features on member 0, weighted by capacity, applied to all members."""
+    rows, names = ridge_table(table)
+    return moments.rolling_prediction(
+        rows, [F.col(c) for c in names], TARGET, WEIGHT, FIRST, ridge=RIDGE, scale=WEIGHT, fit_on=rows.filter(F.col("em") == 0)
+    )
+
+
+@check("bt_rolling_trees")
+def _(lab):
+    return truth.ensemble_mean_prediction(rolling_trees(rolling_table(lab))).withColumn("y_pred", F.round("y_pred", 5))
+
+
+@check("bt_rolling_ridge")
+def _(lab):
+    return truth.ensemble_mean_prediction(rolling_ridge(rolling_table(lab))).withColumn("y_pred", F.round("y_pred", 5))
+
+
 @check("mdl_boosted_em0")
 def _(lab):
     return tree_score(full_model(lab)[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forecastlab.catalog.aggregates import scored_pairs
-from forecastlab.catalog.models import FILLED, SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line
+from forecastlab.catalog.models import FILLED, SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line, rolling_ridge, rolling_table, rolling_trees
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.catalog.views import AR2_SOLUTION
@@ -118,13 +118,13 @@ REPORT_PATH = AR2_PATH.replace("v_ar2", "v_ar2_area").replace("v_hour_truth", "v
 REPORT_MOVING = MOVING_SQL.replace("v_hour_truth", "v_asked").replace("v_hourly", "v_area_power")
 
 
-def simple_models(lab, asked):
-    """Scores of the four models without calibration, all on the rows of ``asked``."""
+def simple_models(lab, asked, single, em0):
+    """Scores of the four models without calibration, all on the rows of ``asked``; the last two are of unit predictions."""
     return [
         scores.point_score(baselines.moving_average(asked, lab.area_power), "MA Baseline"),
         scores.point_score(baselines.autoregressive(asked, lab.area_power), "AR(2)"),
-        scores.point_score(baselines.model_mean(asked, lab.local_pred), "Single Model Mean"),
-        scores.point_score(baselines.model_mean(asked, rolling_line(lab)), "EM0 Model Mean"),
+        scores.point_score(baselines.model_mean(asked, single), "Single Model Mean"),
+        scores.point_score(baselines.model_mean(asked, em0), "EM0 Model Mean"),
     ]
 
 
@@ -134,16 +134,20 @@ UNION ALL SELECT 'AR(2)', {SCORE} FROM ar_pair
 UNION ALL SELECT 'Single Model Mean', {SCORE} FROM (SELECT t.*, coalesce(p.y_pred, 0) AS y_pred FROM v_asked t LEFT JOIN v_ensemble_mean p USING (bidding_area, time_ref, time))
 UNION ALL SELECT 'EM0 Model Mean', {SCORE} FROM {ROLLED.replace("v_truth", "v_asked")}""")
 def _(lab):
-    return rounded_score(scores.report(simple_models(lab, truth.evaluation_set(lab.area_power, start=SPLIT))))
+    # As the SQL says: the fixed curve and the line. eval_report_calibrated scores the trees.
+    asked = truth.evaluation_set(lab.area_power, start=SPLIT)
+    return rounded_score(scores.report(simple_models(lab, asked, lab.local_pred, rolling_line(lab))))
 
 
 @check("eval_report_calibrated")
 def _(lab):
-    # All five models on one truth set; the fifth is fitted by iteration and has no SQL beside it.
-    asked = truth.evaluation_set(lab.area_power, start=SPLIT)
+    # All models on one truth set, units by full-width trees and the ridge line; these and the calibrator have no SQL beside them.
+    asked, table = truth.evaluation_set(lab.area_power, start=SPLIT), rolling_table(lab)
+    models = simple_models(lab, asked, rolling_trees(table, pooled=True), rolling_trees(table))
+    models.append(scores.point_score(baselines.model_mean(asked, rolling_ridge(table)), "EM0 Ridge Mean"))
     _, drawn = calibrated(lab)
     drawn = drawn.withColumn("pred_mean", array_mean(F.col("draws")))
-    return rounded_score(scores.report([*simple_models(lab, asked), scores.draws_score(drawn, "Bayesian Calibrator")]))
+    return rounded_score(scores.report([*models, scores.draws_score(drawn, "Bayesian Calibrator")]))
 
 
 @check("eval_calibrator")

@@ -410,3 +410,51 @@ def test_catalog_models_are_not_shrunken(spark, monkeypatch):
         fits.clear()
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
         assert fits == [(list(features), True, None)] * n, name
+
+
+@pytest.fixture(scope="module")
+def rolled(spark):
+    from forecastlab.catalog import models
+    from forecastlab.catalog.lab import Lab
+
+    return models.rolling_table(Lab(spark, "/root/testdata/sf0.001"))
+
+
+def test_rolling_ridge_uses_all_features(spark, rolled):
+    from forecastlab.catalog import models
+
+    out = models.rolling_ridge(rolled)
+    rows, names = models.ridge_table(rolled)
+    assert len(names) == 1 + 36 + 3
+    frame = rows.filter("em = 0 AND local_relative_power IS NOT NULL").toPandas()
+    last = out.agg(F.max("block")).first()[0]
+    train = frame[frame.time_ref < last]
+    x, w = train[names].to_numpy(float), train[models.WEIGHT].to_numpy(float)[:, None]
+    shrink = models.RIDGE * np.diag([0.0] + [1.0] * (len(names) - 1))
+    beta = np.linalg.solve(x.T @ (x * w) + shrink, (x * w).T @ train[models.TARGET].to_numpy(float))
+    got = out.filter(F.col("block") == F.lit(last)).toPandas()
+    assert len(got) and got["em"].nunique() == 15
+    np.testing.assert_allclose(got["local_power_pred"], got[names].to_numpy(float) @ beta * got[models.WEIGHT], rtol=1e-4, atol=1e-3)
+
+
+def test_rolling_trees_see_all_features_and_all_rows_before_a_block(spark, rolled, monkeypatch):
+    import __spark_entry__ as entry
+    from forecastlab.catalog import models
+    from forecastlab.plans import local
+
+    fits, whole = [], trees.fit_trees
+
+    def fit(train, features, target, weight=None, validation=None, **params):
+        fits.append((list(features) == local.LOCAL_FEATURES, weight, validation is not None))
+        return whole(train, features, target, weight, validation, **{**params, "maxIter": 1, "maxDepth": 1})
+
+    monkeypatch.setattr(trees, "fit_trees", fit)
+    assert {"bt_rolling_trees", "bt_rolling_ridge"} <= set(entry.queries())
+    # The last months only: a fit each.
+    monkeypatch.setattr(models, "FIRST", "2001-05-01")
+    monkeypatch.setattr(models, "ROLLING_HOLDOUT", "2001-01-01")
+    out = models.rolling_trees(rolled)
+    assert fits[0] == (True, models.WEIGHT, True) and len(fits) > 1 and set(fits[1:]) == {(True, models.WEIGHT, False)}
+    late = rolled.filter(F.col("time_ref") >= "2001-06-01").count()
+    assert out.filter(F.col("time_ref") >= "2001-06-01").count() == late > 0
+    assert out.filter(F.col("local_power_pred").isNull() & F.col(models.WEIGHT).isNotNull()).count() == 0
