@@ -149,7 +149,8 @@ def rolling_trees(table, pooled: bool = False):
     hold, first = (F.lit(day).cast("timestamp") for day in (ROLLING_HOLDOUT, FIRST))
     train, held, sizes = known.filter(at < hold), known.filter((at >= hold) & (at < first)), {}
     if not train.isEmpty() and not held.isEmpty():
-        sizes = {"maxIter": trees.fit_trees(train, local.LOCAL_FEATURES, TARGET, weight, held).stages[-1].getNumTrees}
+        model = trees.fit_trees(train, local.LOCAL_FEATURES, TARGET, weight, held, **trees.TO_THE_LAST_GAIN)
+        sizes = {"maxIter": model.stages[-1].getNumTrees}
     return backtest.rolling_models(
         table, TARGET, FIRST, lambda rows: trees.fit_trees(rows, local.LOCAL_FEATURES, TARGET, weight, **sizes),
         lambda model, rows: trees.predict_trees(model, rows, local.LOCAL_FEATURES, WEIGHT), known,
@@ -229,13 +230,14 @@ def _(lab):
 @check("mdl_boosted_pooled")
 def _(lab):
     train, held, later = full_split(lab)
-    return tree_score(trees.pooled_model(train, later, local.LOCAL_FEATURES, TARGET, held), scale=False)
+    return tree_score(trees.pooled_model(train, later, local.LOCAL_FEATURES, TARGET, held, **trees.TO_THE_LAST_GAIN), scale=False)
 
 
 @check("mdl_boosted_per_member")
 def _(lab):
     train, held, later = full_split(lab)
-    return tree_score(trees.member_models(train, later, local.LOCAL_FEATURES, TARGET, validation=held), scale=False)
+    predicted = trees.member_models(train, later, local.LOCAL_FEATURES, TARGET, validation=held, **trees.TO_THE_LAST_GAIN)
+    return tree_score(predicted, scale=False)
 
 
 AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred"]
@@ -244,7 +246,7 @@ AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred
 @check("mdl_boosted_area")
 def _(lab):
     train, held, later = early_held_late(cut_lineage(area_table(lab).filter(F.col("relative_power").isNotNull())))
-    model = trees.fit_trees(train, AREA_TREE, "relative_power", "operating_power_max", held)
+    model = trees.fit_trees(train, AREA_TREE, "relative_power", "operating_power_max", held, **trees.TO_THE_LAST_GAIN)
     predicted = trees.predict_trees(model, later, AREA_TREE, "operating_power_max", "area_pred")
     return predicted.groupBy("bidding_area").agg(
         rmse(F.col("mean_sum_pred") * F.col("operating_power_max"), "power").alias("rmse_sum_local"),

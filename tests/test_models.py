@@ -399,7 +399,7 @@ def test_catalog_models_are_not_shrunken(spark, monkeypatch):
     fits, whole = [], trees.fit_trees
 
     def fit(train, features, target, weight=None, validation=None, **params):
-        fits.append((list(features), validation is not None, params.get("maxIter")))
+        fits.append((list(features), validation is not None and params["validationTol"] == 0, params.get("maxIter")))
         return whole(train, features, target, weight, validation, **{**params, "maxIter": 1, "maxDepth": 1})
 
     monkeypatch.setattr(trees, "fit_trees", fit)
