@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from forecastlab.catalog.aggregates import scored_pairs
@@ -127,10 +129,11 @@ def early_held_late(table):
 
 def full_model(lab):
     train, held, later = full_split(lab)
-    return trees.first_member_model(train, later, local.LOCAL_FEATURES, TARGET, WEIGHT, held), train
+    return trees.first_member_model(train, later, local.LOCAL_FEATURES, TARGET, WEIGHT, held)
 
 
 ROLLING_HOLDOUT = "1997-07-01"
+ROLLING = replace(trees.UNIT, eta=0.3, depth=5)
 
 
 def rolling_table(lab):
@@ -141,20 +144,15 @@ def rolling_table(lab):
 def rolling_trees(table, pooled: bool = False):
     """Full-width trees through the monthly blocks, in the unit of the capacity: weighted on member 0, or unweighted on all members.
 
-    The number of trees is settled once, by early stopping on the last half year before the first block; each block's model is then
-    fitted to all rows before it.
+    The number of trees is settled once, by early stopping on the last half year before the first block; the models of all blocks are then
+    grown together, each on all rows before its block.
     """
     known = (table if pooled else table.filter(F.col("em") == 0)).filter(F.col(TARGET).isNotNull())
     weight, at = None if pooled else WEIGHT, F.col("time_ref")
     hold, first = (F.lit(day).cast("timestamp") for day in (ROLLING_HOLDOUT, FIRST))
-    train, held, sizes = known.filter(at < hold), known.filter((at >= hold) & (at < first)), {}
-    if not train.isEmpty() and not held.isEmpty():
-        model = trees.fit_trees(train, local.LOCAL_FEATURES, TARGET, weight, held, **trees.TO_THE_LAST_GAIN)
-        sizes = {"maxIter": model.stages[-1].getNumTrees}
-    return backtest.rolling_models(
-        table, TARGET, FIRST, lambda rows: trees.fit_trees(rows, local.LOCAL_FEATURES, TARGET, weight, **sizes),
-        lambda model, rows: trees.predict_trees(model, rows, local.LOCAL_FEATURES, WEIGHT), known,
-    )
+    early = trees.grow(known.filter(at < hold), local.LOCAL_FEATURES, TARGET, [trees.Job("early", ROLLING)], weight, known.filter((at >= hold) & (at < first)))
+    params = replace(ROLLING, rounds=max(1, early[0].n_trees)) if early[0].history else replace(ROLLING, rounds=ROLLING.patience)
+    return trees.monthly_models(table, known, local.LOCAL_FEATURES, TARGET, FIRST, weight, params, WEIGHT)[0]
 
 
 RIDGE = 1.0
@@ -197,7 +195,8 @@ def _(lab):
 
 @check("mdl_boosted_em0")
 def _(lab):
-    return tree_score(full_model(lab)[0])
+    predicted, model = full_model(lab)
+    return tree_score(predicted).withColumn("n_trees", F.lit(model.n_trees))
 
 
 @check("mdl_boosted_facts", """
@@ -230,14 +229,15 @@ def _(lab):
 @check("mdl_boosted_pooled")
 def _(lab):
     train, held, later = full_split(lab)
-    return tree_score(trees.pooled_model(train, later, local.LOCAL_FEATURES, TARGET, held, **trees.TO_THE_LAST_GAIN), scale=False)
+    predicted, model = trees.pooled_model(train, later, local.LOCAL_FEATURES, TARGET, held)
+    return tree_score(predicted, scale=False).withColumn("n_trees", F.lit(model.n_trees))
 
 
 @check("mdl_boosted_per_member")
 def _(lab):
     train, held, later = full_split(lab)
-    predicted = trees.member_models(train, later, local.LOCAL_FEATURES, TARGET, validation=held, **trees.TO_THE_LAST_GAIN)
-    return tree_score(predicted, scale=False)
+    predicted, models = trees.member_models(train, later, local.LOCAL_FEATURES, TARGET, validation=held)
+    return tree_score(predicted, scale=False).withColumn("n_trees", F.lit(sum(m.n_trees for m in models)))
 
 
 AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred"]
@@ -246,11 +246,12 @@ AREA_TREE = [*area.AREA_FEATURES, "mean_sum_pred", "min_sum_pred", "max_sum_pred
 @check("mdl_boosted_area")
 def _(lab):
     train, held, later = early_held_late(cut_lineage(area_table(lab).filter(F.col("relative_power").isNotNull())))
-    model = trees.fit_trees(train, AREA_TREE, "relative_power", "operating_power_max", held, **trees.TO_THE_LAST_GAIN)
-    predicted = trees.predict_trees(model, later, AREA_TREE, "operating_power_max", "area_pred")
+    model = trees.grow(train, AREA_TREE, "relative_power", [trees.Job("area", trees.UNIT)], "operating_power_max", held)[0]
+    predicted = trees.predict([model], later, "area_pred", scale="operating_power_max")
     return predicted.groupBy("bidding_area").agg(
         rmse(F.col("mean_sum_pred") * F.col("operating_power_max"), "power").alias("rmse_sum_local"),
         rmse("area_pred", "power").alias("rmse_area"),
+        F.lit(model.n_trees).alias("n_trees"),
     )
 
 
@@ -258,19 +259,19 @@ def _(lab):
 def _(lab):
     train, held, _ = full_split(lab)
     first = F.col("em") == 0
-    model = trees.fit_trees(train.filter(first), local.LOCAL_FEATURES, TARGET, WEIGHT, held.filter(first))
-    return lab.spark.createDataFrame(trees.importance(model, local.LOCAL_FEATURES), "feature string, importance double")
+    model = trees.grow(train.filter(first), local.LOCAL_FEATURES, TARGET, [trees.Job("em0", trees.UNIT)], WEIGHT, held.filter(first))[0]
+    return lab.spark.createDataFrame(model.importance(), "feature string, importance double")
+
+
+TRIALS = trees.random_trials(base=replace(trees.UNIT, eta=0.3))
 
 
 @check("mdl_tune")
 def _(lab):
     train, validation = backtest.holdout(known_table(lab), SPLIT, TARGET, WEIGHT)
     train, validation = settle(train, "tune_train"), settle(validation, "tune_held")
-    trials = trees.tune(train, validation, local.LOCAL_FEATURES, TARGET, WEIGHT, trees.random_trials(), "unit_trees")
-    return trials.select(
-        "study", F.col("params")["maxDepth"].alias("max_depth"), F.col("params")["subsamplingRate"].alias("subsampling"),
-        F.col("params")["featureSubsetStrategy"].alias("columns"), F.col("params")["minInfoGain"].alias("min_gain"), "n_trees", "rmse",
-    )
+    trials, _ = trees.tune(train, validation, local.LOCAL_FEATURES, TARGET, WEIGHT, TRIALS, "unit_trees")
+    return trials.select("study", "trial", *[F.col("params")[name].alias(name) for name in trees.TUNED], "n_trees", "rmse")
 
 
 @check("mdl_quantile_band", """

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from forecastlab.operators.ranks import exact_quantiles
 from forecastlab.session import scratch_path, settle
@@ -442,21 +443,19 @@ def _best_per_feature(jobs: Sequence[Job]):
     return work
 
 
+PICKED = (
+    "max_by(struct(feature, gain, cut, missing_left, grad_left, hess_left, grad, hess), struct(gain, -feature AS first)) AS best"
+)
+
+
 def _run_level(blocks: DataFrame, level: _Level) -> tuple[dict[tuple[int, int], dict], dict[int, float]]:
     """The best split of every open node, and the holdout error of the models that are scored."""
     shared = blocks.sparkSession.sparkContext.broadcast(level)
-    told = blocks.select("slot", "held", "n", "bins", "y", "w", "block", "margins").mapInArrow(
-        lambda batches: _histograms(shared.value)(batches), HISTOGRAM
-    )
-    keys = ["model", "node", "feature"]
     jobs = level.jobs
-    cuts = told.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _best_per_feature(jobs)(batches), BEST)
-    order = F.struct("gain", (-F.col("feature")).alias("first"))
-    best = cuts.groupBy("model", "node").agg(
-        F.max_by(F.struct("feature", "gain", "cut", "missing_left", "grad_left", "hess_left", "grad", "hess"), order).alias("best"),
-        F.sum("grad").alias("error"), F.sum("hess").alias("weight"),
-    )
-    rows = best.collect()
+    told = blocks.mapInArrow(lambda batches: _histograms(shared.value)(batches), StructType.fromDDL(HISTOGRAM))
+    sums = told.repartition("model", "node", "feature").sortWithinPartitions("model", "node", "feature")
+    cuts = sums.mapInArrow(lambda batches: _best_per_feature(jobs)(batches), StructType.fromDDL(BEST))
+    rows = cuts.groupBy("model", "node").agg(F.expr(PICKED), F.expr("sum(grad) AS error"), F.expr("sum(hess) AS weight")).collect()
     shared.destroy()
     splits = {(r["model"], r["node"]): r["best"].asDict() for r in rows if r["node"] >= 0}
     return splits, {r["model"]: r["error"] / r["weight"] for r in rows if r["node"] < 0}

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from forecastlab.functions import ensemble, errors, physics, scalars, seasons
 from forecastlab.operators import ranks, reshape
-from forecastlab.plans import area, autoregression, backtest, bands, logitnormal, moments, scores, trees
+from forecastlab.plans import area, autoregression, backtest, bands, boosting, logitnormal, moments, scores, trees
 
 
 def panel(n=600, seed=1):
@@ -364,16 +365,16 @@ def test_trees_keep_keys_and_beat_the_mean(spark):
     df = to_spark(spark, frame)
     early = F.col("time_ref") < F.lit("2023-07-01").cast("timestamp")
     train, pred = df.filter(early), df.filter(~early)
-    out = trees.first_member_model(train, pred, ["x1", "x2"], "y", "w", maxIter=10, maxDepth=3)
+    out, model = trees.first_member_model(train, pred, ["x1", "x2"], "y", "w", params=boosting.Params(rounds=10, depth=3))
     assert out.count() == pred.count() and {"time_ref", "windpark", "local_power_pred"} <= set(out.columns)
     scored = out.filter("y IS NOT NULL").agg(
         errors.rmse(F.col("y") * F.col("w"), "local_power_pred").alias("m"), F.stddev(F.col("y") * F.col("w")).alias("s")
     ).first()
     assert scored["m"] < 0.7 * scored["s"]
-    model = trees.fit_trees(train, ["x1", "x2"], "y", maxIter=3, maxDepth=3)
-    assert trees.importance(model, ["x1", "x2"])[0][0] == "x1"
-    trials = trees.tune(train, pred.filter("y IS NOT NULL"), ["x1", "x2"], "y", "w", {"maxDepth": [1, 3], "maxIter": [2]}, "s")
-    assert trials.count() == 2
+    assert model.importance()[0][0] == "x1" and model.n_trees == 10
+    trials, _ = trees.tune(train, pred, ["x1", "x2"], "y", "w", {"depth": [1, 3], "rounds": [2]}, "s")
+    rows = trials.orderBy("trial").collect()
+    assert [r["params"]["depth"] for r in rows] == ["1", "3"] and all(r["n_trees"] <= 2 for r in rows)
 
 
 def test_members_that_occur_have_models(spark):
@@ -383,7 +384,9 @@ def test_members_that_occur_have_models(spark):
     at = F.col("time_ref")
     train, held, pred = df.filter(at < "2023-05-01"), df.filter((at >= "2023-05-01") & (at < "2023-07-01")), df.filter(at >= "2023-07-01")
     unknown = pred.limit(3).withColumn("em", F.lit(31))
-    out = trees.member_models(train, pred.unionByName(unknown), ["x1", "x2"], "y", validation=held.filter("em = 3"), maxIter=3, maxDepth=2)
+    out, _ = trees.member_models(
+        train, pred.unionByName(unknown), ["x1", "x2"], "y", validation=held.filter("em = 3"), params=boosting.Params(rounds=3, depth=2)
+    )
     rows = {r["em"]: r for r in out.groupBy("em").agg(F.count("*").alias("n"), F.count("local_power_pred").alias("known")).collect()}
     assert {em for em, r in rows.items() if r["n"] == r["known"]} == {3, 20}
     assert (rows[31]["n"], rows[31]["known"]) == (3, 0)
@@ -391,25 +394,27 @@ def test_members_that_occur_have_models(spark):
 
 
 def test_catalog_models_are_not_shrunken(spark, monkeypatch):
-    """Every registered tree fit sees all features and stops on a time holdout; the study has 30 trials."""
+    """Every registered tree fit sees all features and stops on a time holdout with patience; the study has 30 trials of seven settings."""
     import __spark_entry__ as entry
     from forecastlab.catalog import models
     from forecastlab.plans import local
 
-    fits, whole = [], trees.fit_trees
+    fits, whole = [], trees.fit
 
-    def fit(train, features, target, weight=None, validation=None, **params):
-        fits.append((list(features), validation is not None and params["validationTol"] == 0, params.get("maxIter")))
-        return whole(train, features, target, weight, validation, **{**params, "maxIter": 1, "maxDepth": 1})
+    def short(rows, features, target, jobs, *others, **settings):
+        fits.append((list(features), len(jobs), {(j.params.rounds, j.params.patience) for j in jobs}, rows.filter("_held").count() > 0))
+        cut = [replace(j, params=replace(j.params, rounds=1, depth=1)) for j in jobs]
+        return whole(rows, features, target, cut, *others, **settings)
 
-    monkeypatch.setattr(trees, "fit_trees", fit)
+    monkeypatch.setattr(trees, "fit", short)
     for name, features, n in (
-        ("mdl_boosted_pooled", local.LOCAL_FEATURES, 1), ("mdl_boosted_per_member", local.LOCAL_FEATURES, 15),
-        ("mdl_boosted_area", models.AREA_TREE, 1), ("mdl_tune", local.LOCAL_FEATURES, 30),
+        ("mdl_boosted_em0", local.LOCAL_FEATURES, 1), ("mdl_boosted_pooled", local.LOCAL_FEATURES, 1), ("mdl_boosted_per_member", local.LOCAL_FEATURES, 15),
+        ("mdl_boosted_area", models.AREA_TREE, 1), ("mdl_importance", local.LOCAL_FEATURES, 1), ("mdl_tune", local.LOCAL_FEATURES, 30),
     ):
         fits.clear()
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
-        assert fits == [(list(features), True, None)] * n, name
+        assert fits == [(list(features), n, {(1000, 20)}, True)], name
+    assert all(len({getattr(p, name) for p in models.TRIALS}) > 1 for name in trees.TUNED)
 
 
 @pytest.fixture(scope="module")
@@ -442,19 +447,42 @@ def test_rolling_trees_see_all_features_and_all_rows_before_a_block(spark, rolle
     from forecastlab.catalog import models
     from forecastlab.plans import local
 
-    fits, whole = [], trees.fit_trees
+    fits, whole = [], trees.fit
 
-    def fit(train, features, target, weight=None, validation=None, **params):
-        fits.append((list(features) == local.LOCAL_FEATURES, weight, validation is not None))
-        return whole(train, features, target, weight, validation, **{**params, "maxIter": 1, "maxDepth": 1})
+    def short(rows, features, target, jobs, weight, *others, **settings):
+        fits.append((list(features) == local.LOCAL_FEATURES, weight, [j.high for j in jobs], rows.filter("_held").count() > 0))
+        return whole(rows, features, target, [replace(j, params=replace(j.params, rounds=1, depth=1)) for j in jobs], weight, *others, **settings)
 
-    monkeypatch.setattr(trees, "fit_trees", fit)
+    monkeypatch.setattr(trees, "fit", short)
     assert {"bt_rolling_trees", "bt_rolling_ridge"} <= set(entry.queries())
-    # The last months only: a fit each.
+    # The last months only; all of them in one go.
     monkeypatch.setattr(models, "FIRST", "2001-05-01")
     monkeypatch.setattr(models, "ROLLING_HOLDOUT", "2001-01-01")
     out = models.rolling_trees(rolled)
-    assert fits[0] == (True, models.WEIGHT, True) and len(fits) > 1 and set(fits[1:]) == {(True, models.WEIGHT, False)}
+    (early, months) = fits
+    assert early[0] and months[0] and early[1] == months[1] == models.WEIGHT and early[3] and not months[3]
+    assert months[2] == list(range(1, len(months[2]) + 1)) and len(months[2]) > 1
     late = rolled.filter(F.col("time_ref") >= "2001-06-01").count()
     assert out.filter(F.col("time_ref") >= "2001-06-01").count() == late > 0
     assert out.filter(F.col("local_power_pred").isNull() & F.col(models.WEIGHT).isNotNull()).count() == 0
+
+
+def test_months_grown_together_equal_refits(spark):
+    frame = panel(700, seed=3)
+    df = to_spark(spark, frame).withColumn("em", F.lit(0))
+    known, params = df.filter("y IS NOT NULL"), boosting.Params(rounds=3, depth=3, eta=0.5)
+    edges = boosting.bin_edges(known, ["x1", "x2"])
+    whole = trees.fit
+    try:
+        trees.fit = lambda *a, **k: whole(*a, **{**k, "edges": edges})
+        out, models = trees.monthly_models(df, known, ["x1", "x2"], "y", "2023-08-01", "w", params)
+        looped = backtest.rolling_models(
+            df, "y", "2023-08-01", lambda rows: trees.grow(rows, ["x1", "x2"], "y", [boosting.Job("m", params)], "w")[0],
+            lambda model, rows: boosting.predict([model], rows),
+        )
+    finally:
+        trees.fit = whole
+    keys = ["time_ref", "time", "windpark", "x1"]
+    one, other = (x.select(*keys, "local_power_pred").toPandas().sort_values(keys) for x in (out, looped))
+    assert len(models) >= 3 and len(one) == len(other) > 0
+    np.testing.assert_allclose(one["local_power_pred"], other["local_power_pred"], atol=1e-9)
