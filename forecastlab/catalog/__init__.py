@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("scans", "rows", "joins", "aggregates", "windows", "reshapes", "features", "models", "scores")
+GROUPS = ("scans", "rows", "joins", "aggregates", "windows", "reshapes", "features", "models", "boosted", "scores")
 
 
 def load():

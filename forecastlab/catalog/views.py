@@ -178,12 +178,18 @@ WHERE time_ref > production_start_date"""
 VIEWS["v_area_cell"] = """
 SELECT DISTINCT time_ref, time, bidding_area FROM v_forecast_wide JOIN v_units ON sid = windpark_statnet"""
 
+VIEWS["v_outage_hour"] = """
+SELECT windpark_nve_id, publicationDate, unavailableCapacity, installedCapacity, unnest(generate_series(
+         CASE WHEN date_trunc('hour', eventStart) < eventStart THEN date_trunc('hour', eventStart) + INTERVAL 1 HOUR ELSE eventStart END,
+         eventStop, INTERVAL 1 HOUR)) AS time
+FROM v_outage"""
+
 VIEWS["v_unit_share"] = """
-SELECT c.windpark_nve_id, c.time_ref, c.time, sum(o.unavailableCapacity) AS unavailableCapacity,
+SELECT windpark_nve_id, c.time_ref, time, sum(o.unavailableCapacity) AS unavailableCapacity,
        sum(o.installedCapacity) AS installedCapacity,
        sum(o.unavailableCapacity) / sum(o.installedCapacity) AS unavailable_capacity
-FROM v_unit_cell c JOIN v_outage o USING (windpark_nve_id)
-WHERE c.time_ref > o.publicationDate AND c.time >= o.eventStart AND c.time <= o.eventStop GROUP BY 1, 2, 3"""
+FROM v_unit_cell c JOIN v_outage_hour o USING (windpark_nve_id, time)
+WHERE c.time_ref > o.publicationDate GROUP BY 1, 2, 3"""
 
 VIEWS["v_area_share"] = """
 SELECT c.bidding_area, c.time_ref, c.time, bool_or(t.unplannedEvent) AS unplannedEvent,

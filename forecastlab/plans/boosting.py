@@ -130,6 +130,10 @@ class Boosted:
             total += tree.output(bins)
         return total
 
+    def threshold(self, feature: int, cut: int) -> float:
+        """The largest number that goes left; infinite where only missing values go right."""
+        return float(self.edges[feature][cut]) if cut < len(self.edges[feature]) else math.inf
+
     def splits(self) -> list[tuple]:
         """``(model, tree, node, feature, threshold, missing_left, gain, cover, left, right, value)``; null threshold in leaves."""
         rows = []
@@ -144,7 +148,7 @@ class Boosted:
                 f = tree.feature[node]
                 inner = f >= 0
                 rows.append((
-                    self.name, t, node, self.features[f] if inner else None, float(self.edges[f][tree.cut[node]]) if inner else None,
+                    self.name, t, node, self.features[f] if inner else None, self.threshold(f, tree.cut[node]) if inner else None,
                     bool(tree.missing_left[node]) if inner else None, float(tree.gain[node]), float(tree.hess[node]),
                     tree.left[node] if inner else None, tree.right[node] if inner else None, None if inner else float(tree.value[node]),
                 ))
@@ -387,16 +391,13 @@ def best_cuts(grad: np.ndarray, hess: np.ndarray, params: Sequence[Params]) -> t
     """For each histogram (a row) the best cut: gain, last bin on the left, side of missing values, and the sums on the left."""
     lam, alpha, least = (np.array([getattr(p, name) for p in params])[:, None, None] for name in ("reg_lambda", "reg_alpha", "min_child"))
     gone_g, gone_h = grad[:, -1:], hess[:, -1:]
-    run_g, run_h = np.cumsum(grad[:, :-1], axis=1)[:, :-1], np.cumsum(hess[:, :-1], axis=1)[:, :-1]
+    run_g, run_h = np.cumsum(grad[:, :-1], axis=1), np.cumsum(hess[:, :-1], axis=1)  # the last cut parts all numbers from missing values
     total_g, total_h = grad.sum(axis=1)[:, None, None], hess.sum(axis=1)[:, None, None]
     left_g, left_h = np.stack([run_g + gone_g, run_g], axis=2), np.stack([run_h + gone_h, run_h], axis=2)  # missing left, missing right
     right_g, right_h = total_g - left_g, total_h - left_h
     gain = _score(left_g, left_h, lam, alpha) + _score(right_g, right_h, lam, alpha) - _score(total_g, total_h, lam, alpha)
     gain = np.where((left_h >= least) & (right_h >= least) & (left_h > 0) & (right_h > 0), gain, NO_GAIN)
     flat = gain.reshape(len(gain), -1)
-    if not flat.shape[1]:
-        nothing = np.zeros(len(grad))
-        return np.full(len(grad), NO_GAIN), nothing.astype(np.int32), nothing < 1, nothing, nothing
     pick = flat.argmax(axis=1)
     rows = np.arange(len(flat))
     cut, side = pick // 2, pick % 2

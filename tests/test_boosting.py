@@ -66,7 +66,7 @@ class Plain:
         if depth < self.p.depth:
             for f, cuts in enumerate(self.edges):
                 v = self.x[rows, f]
-                for cut in cuts:
+                for cut in [*cuts, math.inf]:
                     for missing_left in (True, False):
                         left = (v <= cut) | (np.isnan(v) if missing_left else False)
                         gl, hl = grad[rows[left]].sum(), self.w[rows[left]].sum()
