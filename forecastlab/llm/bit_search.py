@@ -11,7 +11,8 @@ merged by rank. All rows are indexed and every vector's code meets every query;
 cap on candidates. ``ERROR_WIDTH`` standard errors make a miss rare; the tests measure recall.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part. A query never finds rows with its own id. A repeated row counts as often as it occurs. With fewer candidates than
+part. A query never finds rows with its own id. An id asks once, with the least of its vectors where rows repeat it; a repeated
+row is found as often as it occurs. With fewer candidates than
 ``k``, all are returned; an empty table gives no rows.
 """
 
@@ -163,7 +164,7 @@ def search_block(index: DataFrame, centre: np.ndarray, ids: np.ndarray, queries:
 def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of every row for which ``is_query`` holds, against all rows."""
     index, centre = build_index(vectors)
-    asked = index.where(is_query).select("vec_id", "embedding")
+    asked = index.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))  # half filled, as the hash spreads unevenly
     empty = asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     parts = []

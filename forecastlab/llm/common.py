@@ -54,6 +54,19 @@ def fold_of(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % FOLDS
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_label(labels: DataFrame, name: str) -> DataFrame:
+    """``(doc_id, label)`` with one label per document: the more frequent one where rows contradict each other, 1 where both are as frequent."""
+    return labels.groupBy("doc_id").agg((F.avg(F.col(name).cast("double")) >= 0.5).cast("int").alias(name))
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast only if its counted size is below ``BROADCAST_BYTES``; else Spark shuffles both sides."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from forecastlab.llm.common import map_arrow, small_side, table
+from forecastlab.llm.common import free_name, map_arrow, small_side, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import SIGNS, gram_hash, slices, words_of
 from forecastlab.session import settle
@@ -225,9 +225,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", min_s
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents that hold no item; rows are told apart by id and text."""
-    content = F.xxhash64(F.col("doc_id"), F.col("text"))
-    bad = settle(find_leaks(docs.select(content.alias("_content"), "text"), benchmark, "_content", min_score).select("_content").distinct(), "leaking")
-    kept = docs.withColumn("_content", content).join(small_side(bad, bad.count(), 24), "_content", "left_anti")
+    content, name = F.xxhash64(F.col("doc_id"), F.col("text")), free_name(docs, "_content")
+    bad = settle(find_leaks(docs.select(content.alias(name), "text"), benchmark, name, min_score).select(name).distinct(), "leaking")
+    kept = docs.withColumn(name, content).join(small_side(bad, bad.count(), 24), name, "left_anti")
     return kept.select(docs.columns)
 
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import id_text, small_side, table
+from forecastlab.llm.common import free_name, id_text, small_side, table
 from forecastlab.llm.components import connected
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import mix, shingle_sets
@@ -37,7 +37,7 @@ from forecastlab.session import settle
 WORDS = 5
 PERCENT = 80
 MARGIN_PERCENT = 15
-TOKENS_PER_PART = 4_000_000
+TOKENS_PER_PART = 1_000_000  # counted as dealt, copies of a set in other batches included
 TOKENS_PER_ROW = 20_000
 LANES = 8  # of a part's tokens, one sorted at a time; a power of two
 GROUP = 192  # members compared all with all
@@ -188,6 +188,7 @@ def _count_shared(group: pa.Table) -> pa.Table:
     sigs = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     names, place = np.unique(sigs, return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([f[1] for f in found])) if len(sigs) else np.zeros(0)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other parts
     return pa.table({"sig": pa.array(names, pa.int64()), "shared": pa.array(total.astype(np.int64), pa.int64())})
 
 
@@ -201,9 +202,9 @@ def _parts(tokens: int) -> int:
     return max(1, -(-int(tokens or 0) // TOKENS_PER_PART))
 
 
-def sharing_documents(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Step 1 over the documents: ``(sig, n)`` of sets whose first tokens are shared often enough."""
-    parts = _parts(sizes.agg(F.sum(F.expr(f"least(n, n - {_sql_least('n')} + {_sql_margin('n')})"))).first()[0])
+def sharing_documents(docs: DataFrame, sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Step 1 over the documents: ``(sig, n)`` of sets whose first tokens are shared often enough; ``rows`` has every document's ``n``."""
+    parts = _parts(rows.agg(F.sum(F.expr(f"least(n, n - {_sql_least('n')} + {_sql_margin('n')})"))).first()[0])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +383,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows ``(key, doc_id, n, sig)``, and ``(node, root)`` of all sets that link with another one."""
     rows = settle(set_rows(docs), "near_rows")
     entity = settle(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "near_entities")
-    sharing = settle(sharing_documents(docs, entity.select("sig", "n")), "near_sharing")
+    sharing = settle(sharing_documents(docs, entity.select("sig", "n"), rows.select("n")), "near_sharing")
     many = sharing.count()
     if not many:
         return rows, docs.sparkSession.createDataFrame([], "node long, root long")
@@ -425,12 +426,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = first.where("many > 1").select("root", F.col("first.key").alias("first"))
     lost = settle(rows.join(first, "root").where("key <> first").select("key").distinct(), "near_lost")
     twice = settle(rows.groupBy("key").count().where("count > 1").select("key"), "near_twice")
-    kept = docs.withColumn("_key", content_key())
-    kept = kept.join(small_side(lost.withColumnRenamed("key", "_key"), lost.count(), 24), "_key", "left_anti")
+    name = free_name(docs, "_key")
+    kept = docs.withColumn(name, content_key())
+    kept = kept.join(small_side(lost.withColumnRenamed("key", name), lost.count(), 24), name, "left_anti")
     many = twice.count()
     if many:  # rows that are the same in id and text
-        same = small_side(twice.withColumnRenamed("key", "_key"), many, 24)
-        kept = kept.join(same, "_key", "left_anti").unionByName(kept.join(same, "_key", "left_semi").dropDuplicates(["_key"]))
+        same = small_side(twice.withColumnRenamed("key", name), many, 24)
+        kept = kept.join(same, name, "left_anti").unionByName(kept.join(same, name, "left_semi").dropDuplicates([name]))
     return kept.select(docs.columns)
 
 

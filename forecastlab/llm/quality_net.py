@@ -7,7 +7,8 @@ chunk, and the largest, mean and smallest value of a text are combined into one
 The network is fitted here, on the driver, from training rows only: a bounded sample of labelled rows
 (``MAX_LABELLED``, chosen by a hash of the id) and at most ``CHUNKS_PER_TEXT`` chunks of each, spread
 evenly over the text; the combination is fitted on a training fold of its own, over whole texts. Scoring
-reads whole texts in slices. Null and empty texts are one chunk of padding. Without two classes of labels
+reads whole texts in slices. Null and empty texts are one chunk of padding. Of contradicting labels of one
+document the more frequent one counts, 1 where both are as frequent. Without two classes of labels
 the score is the share of good labels (0.5 without any).
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import bounded_sample, fold, held_out, id_text, map_arrow, table
+from forecastlab.llm.common import bounded_sample, fold, held_out, id_text, map_arrow, one_label, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.toxicity import fit_curve
 from forecastlab.llm.wordhash import slices
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    chosen = F.broadcast(bounded_sample(known.dropDuplicates(["doc_id"]), max_labelled))
+    chosen = F.broadcast(bounded_sample(one_label(known, "quality"), max_labelled))
     sample = settle(id_text(docs).join(chosen, "doc_id"), "quality_sample")
     part = fold(F.col("doc_id"))
     rows = _sample_chunks(sample.where(part != COMBINE_FOLD)).collect()

@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from forecastlab.llm.common import table
+from forecastlab.llm.common import free_name, table
 from forecastlab.llm.registry import query
 from forecastlab.session import settle
 
@@ -97,9 +97,13 @@ def by_directory(rows: DataFrame, bits: int, limit: int, above: int = 0) -> tupl
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write the documents as one folder per shard. Documents must have distinct, non-null ids here."""
-    shards = assign_shards(docs, limit).select("doc_id", "shard")
-    docs.drop("shard").join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder per shard, named by the column ``shard`` or, where the documents have that, ``shard_``.
+
+    Documents must have distinct, non-null ids here. The one shard of a table within the limit, which has no bits, is named ``all``.
+    """
+    name = free_name(docs, "shard")
+    shards = assign_shards(docs, limit).select("doc_id", F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias(name))
+    docs.join(shards, "doc_id").repartition(name).write.partitionBy(name).parquet(path)
 
 
 # The histogram's depth follows the total, as in assign_shards; a shorter prefix of a cell is a division.

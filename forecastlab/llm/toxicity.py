@@ -8,7 +8,8 @@ sum per hundred words, and a logistic curve makes these a probability.
 
 Labels are read from training rows only: three folds give the lexicon, another one the curve. The rows
 are a bounded sample, chosen by a hash of the id (``MAX_LABELLED``), and the lexicon has at most
-``MAX_ENTRIES`` entries, the heaviest first. Null and empty texts get the score of a text without hits.
+``MAX_ENTRIES`` entries, the heaviest first. Null and empty texts get the score of a text without hits. Of contradicting labels of one
+document the more frequent one counts, 1 where both are as frequent.
 Without usable labels every score is 0.
 """
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import bounded_sample, fold, held_out, id_text, map_arrow, table
+from forecastlab.llm.common import bounded_sample, fold, held_out, id_text, map_arrow, one_label, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import slices
 from forecastlab.session import settle
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Learn lexicon and curve from the training rows of ``labels``."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # Bounded by max_labelled, hence the broadcast: the texts stay where they are.
-    chosen = F.broadcast(bounded_sample(known.dropDuplicates(["doc_id"]), max_labelled))
+    chosen = F.broadcast(bounded_sample(one_label(known, "toxic"), max_labelled))
     sample = settle(id_text(docs).join(chosen, "doc_id"), "toxic_sample")
     part = fold(F.col("doc_id"))
     entries = fit_lexicon(sample.where(part != CALIBRATION_FOLD))
