@@ -12,7 +12,7 @@ from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.functions.errors import rmse
 from forecastlab.functions.scalars import is_day_ahead, logit
-from forecastlab.plans import area, backtest, bands, design, local, logitnormal, moments, trees, truth
+from forecastlab.plans import area, backtest, bands, design, grams, local, logitnormal, moments, trees, truth
 from forecastlab.session import cut_lineage, settle
 
 FIRST = "1998-01-01"
@@ -98,6 +98,34 @@ def _(lab):
     )
 
 
+#: SQL: the fit of a target on two features from sums named by their factors.
+def plane(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, b, c, (sy - b * sx - c * sz) / sw AS a FROM (
+  SELECT *, (cxy * czz - czy * cxz) / (cxx * czz - cxz * cxz) AS b, (czy * cxx - cxy * cxz) / (cxx * czz - cxz * cxz) AS c FROM (
+    SELECT *, sxx - sx * sx / sw AS cxx, szz - sz * sz / sw AS czz, sxz - sx * sz / sw AS cxz, sxy - sx * sy / sw AS cxy, szy - sz * sy / sw AS czy
+    FROM {source}))"""
+
+
+PLANE_SUMS = ("sum(w) AS sw, sum(w * x) AS sx, sum(w * z) AS sz, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * z) AS sxz, "
+              "sum(w * z * z) AS szz, sum(w * x * y) AS sxy, sum(w * z * y) AS szy")
+
+
+def plane_terms():
+    return [F.lit(1.0), F.col("ws10m"), F.col("t2m")]
+
+
+@check("mdl_linear_plane", f"""
+WITH d AS (SELECT time_ref, operating_power_max AS w, ws10m AS x, t2m AS z, local_relative_power AS y FROM v_local_row
+           WHERE em = 0 AND local_relative_power IS NOT NULL AND ws10m IS NOT NULL AND t2m IS NOT NULL),
+s AS (SELECT start, count(*) AS n, {PLANE_SUMS} FROM v_block JOIN d ON time_ref < start GROUP BY 1)
+SELECT start AS block, n, round(a, 5) AS intercept, round(b, 6) AS speed, round(c, 6) AS warmth FROM ({plane("s", "start, n")})""")
+def _(lab):
+    fits = grams.expanding_coefficients(lab.first_rows, plane_terms(), TARGET, WEIGHT, FIRST).filter(F.col("beta").isNotNull())
+    return fits.select(
+        "block", "n", F.round(F.col("beta")[0], 5).alias("intercept"), r6(F.col("beta")[1]).alias("speed"), r6(F.col("beta")[2]).alias("warmth")
+    )
+
+
 def tree_score(predicted, pred: str = "local_power_pred", scale: bool = True):
     y = F.col(TARGET) * F.col(WEIGHT) if scale else F.col(TARGET)
     return predicted.groupBy("bidding_area").agg(
@@ -178,7 +206,7 @@ def ridge_table(table):
 def rolling_ridge(table):
     """Monthly expanding ridge fits of all features on member 0, weighted by capacity, applied to all members."""
     rows, names = ridge_table(table)
-    return moments.rolling_prediction(
+    return grams.rolling_prediction(
         rows, [F.col(c) for c in names], TARGET, WEIGHT, FIRST, ridge=RIDGE, scale=WEIGHT, fit_on=rows.filter(F.col("em") == 0)
     )
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forecastlab.catalog.aggregates import scored_pairs
-from forecastlab.catalog.models import FILLED, SPLIT, TARGET, WEIGHT, calibrated, line, rolling_line, rolling_ridge, rolling_table, rolling_trees
+from forecastlab.catalog.models import (
+    FILLED, PLANE_SUMS, RIDGE, SPLIT, TARGET, WEIGHT, calibrated, line, plane, plane_terms, ridge_table, rolling_line, rolling_ridge, rolling_table,
+    rolling_trees,
+)
 from forecastlab.catalog.registry import check
 from forecastlab.catalog.rows import r6
 from forecastlab.catalog.views import AR2_SOLUTION
@@ -13,7 +16,7 @@ from forecastlab.functions.ensemble import array_mean, array_quantile
 from forecastlab.functions.errors import coverage
 from forecastlab.functions.scalars import is_day_ahead
 from forecastlab.operators.ranks import two_sample_ks
-from forecastlab.plans import area, autoregression, baselines, moments, scores, truth
+from forecastlab.plans import area, autoregression, baselines, grams, moments, scores, truth
 
 AREA = ["bidding_area"]
 SCORE = "round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 5) AS rmse, round(avg(abs(y_true - y_pred)), 5) AS crps"
@@ -211,6 +214,40 @@ def _(lab):
     return left_out(lab).withColumns({"rmse": F.round("rmse", 5), "rmse_scaled": F.round("rmse_scaled", 4)})
 
 
+def day_ahead_split(table):
+    """Known rows of member 0 before the split to train on, day-ahead rows of all members from it on to score."""
+    known, cut = table.filter(F.col(TARGET).isNotNull()), F.lit(SPLIT).cast("timestamp")
+    train = known.filter((F.col("time_ref") < cut) & (F.col("em") == 0))
+    return train, known.filter((F.col("time_ref") >= cut) & is_day_ahead("time", "time_ref"))
+
+
+@check("eval_loo_station_plane", f"""
+WITH known AS (SELECT *, operating_power_max AS w, ws10m AS x, t2m AS z, local_relative_power AS y FROM v_local_row
+               WHERE local_relative_power IS NOT NULL AND ws10m IS NOT NULL AND t2m IS NOT NULL),
+train AS (SELECT * FROM known WHERE time_ref < TIMESTAMP '1999-01-01 00:00:00' AND em = 0),
+validation AS (SELECT * FROM known WHERE time_ref >= TIMESTAMP '1999-01-01 00:00:00' AND CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE)),
+s AS (SELECT u.windpark AS excluded, {PLANE_SUMS} FROM (SELECT DISTINCT windpark FROM validation) u JOIN train t ON t.windpark <> u.windpark GROUP BY 1),
+fit AS ({plane("s", "excluded")}),
+error AS (SELECT windpark, w AS weight, excluded, avg(pow(y - a - b * x - c * z, 2)) AS mse FROM validation, fit GROUP BY 1, 2, 3)
+SELECT windpark, weight, true AS is_excluded, round(sqrt(mse), 5) AS rmse, round(sqrt(mse) * weight, 4) AS rmse_scaled
+FROM error WHERE windpark = excluded
+UNION ALL SELECT windpark, weight, false, round(sqrt(avg(mse)), 5), round(sqrt(avg(mse)) * weight, 4)
+FROM error WHERE windpark <> excluded GROUP BY 1, 2""")
+def _(lab):
+    train, validation = day_ahead_split(lab.local_rows)
+    rows = grams.leave_one_out(train, validation, "windpark", plane_terms(), TARGET, WEIGHT)
+    return rows.withColumns({"rmse": F.round("rmse", 5), "rmse_scaled": F.round("rmse_scaled", 4)})
+
+
+@check("eval_loo_station_full")
+def _(lab):
+    """All 36 features and the terms for missing ones; refits of this are in the tests."""
+    rows, names = ridge_table(rolling_table(lab))
+    train, validation = day_ahead_split(rows)
+    out = grams.leave_one_out(train, validation, "windpark", [F.col(c) for c in names], TARGET, WEIGHT, RIDGE)
+    return out.withColumns({"rmse": F.round("rmse", 5), "rmse_scaled": F.round("rmse_scaled", 4)})
+
+
 @check("eval_ks_two_sample", """
 SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(ks, 6) AS ks,
        round(CASE WHEN ks * sqrt(n1 * n2 / (n1 + n2)) < 0.2 THEN 1 ELSE greatest(least(list_sum(list_transform(range(1, 101),
