@@ -210,6 +210,20 @@ def _(lab):
     )
 
 
+@check("feat_local_issue", LOCAL_SQL + """
+SELECT time_ref, windpark_nve AS windpark, count(*) AS n, """
+       + ", ".join(f"round(1e-8 + avg({c}), 3) AS {c}, count({c}) AS n_{c}" for c in LOCAL_NUMBERS)
+       + " FROM v_dataset GROUP BY 1, 2")
+def _(lab):
+    # The same table by issue and unit: the few valid times and members of one forecast.
+    table = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
+    return table.groupBy("time_ref", "windpark").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(OFF_EDGE + F.avg(c), 3).alias(c) for c in LOCAL_NUMBERS],
+        *[F.count(c).alias(f"n_{c}") for c in LOCAL_NUMBERS],
+    )
+
+
 AREA_NUMBERS = [
     c for c in [*area.KEYS, *area.AREA_FEATURES, *area.EMOS_FEATURES]
     if c not in ("time_ref", "time", "bidding_area", "lt", "num_turbines", "unplannedEvent")

@@ -327,17 +327,21 @@ def _(lab):
 FILLED = [*design.MEAN_COLUMNS, *design.SPREAD_COLUMNS, "operating_power_max"]
 
 
+def area_fit(lab):
+    """Design of the training year, the parameters fitted to it, the asked rows and the day-ahead table."""
+    asked = truth.evaluation_set(lab.area_power, start=SPLIT)
+    table = settle(area_table(lab).filter(is_day_ahead("time", "time_ref")), "day_ahead")
+    train = design.filled(backtest.train_year(table, asked, "relative_power"), FILLED)
+    train = settle(design.with_design(train, ["bidding_area", "relative_power"]), "area_design")
+    return train, logitnormal.fit(train, len(design.mean_design()), len(design.spread_design())), asked, table
+
+
 def calibrated(lab, draws: int = 200):
     """Area model fitted on the year before the evaluation set, with draws for every row of that set.
 
     Missing entries take the last ones of their area, in training and evaluation alike. What is missing even then has no draws.
     """
-    asked = truth.evaluation_set(lab.area_power, start=SPLIT)
-    table = settle(area_table(lab).filter(is_day_ahead("time", "time_ref")), "day_ahead")
-    train = design.filled(backtest.train_year(table, asked, "relative_power"), FILLED)
-    params = logitnormal.fit(
-        design.with_design(train, ["bidding_area", "relative_power"]), len(design.mean_design()), len(design.spread_design())
-    )
+    _, params, asked, table = area_fit(lab)
     known = table.select("bidding_area", "time_ref", "time", *FILLED)
     rows = design.filled(asked.join(known, ["bidding_area", "time_ref", "time"], "left"), FILLED)
     rows = design.with_design(rows, ["bidding_area", "time_ref", "time", "y_true", "operating_power_max"])
@@ -352,6 +356,23 @@ def _(lab):
     )
 
 
+GRADIENT_ROWS = " AND ".join(f"count({c}) OVER w > 0" for c in FILLED[:-1])
+
+
+@check("mdl_logit_normal_slope", f"""
+WITH cut AS (SELECT min(time_ref) AS c FROM v_truth WHERE time_ref >= TIMESTAMP '{SPLIT} 00:00:00'),
+train AS (SELECT bidding_area, {GRADIENT_ROWS} AS whole FROM v_area_dataset, cut
+  WHERE CAST(time AS DATE) = CAST(time_ref + INTERVAL '2' DAY AS DATE) AND time_ref < c AND time_ref >= c - INTERVAL '365' DAY AND relative_power IS NOT NULL
+  WINDOW w AS (PARTITION BY bidding_area ORDER BY time_ref, time ROWS UNBOUNDED PRECEDING)),
+fitted AS (SELECT bidding_area, count(*) AS n FROM train WHERE whole GROUP BY 1)
+SELECT bidding_area, n, k AS "column", 0::DOUBLE AS slope FROM fitted, (SELECT unnest(range(0, {len(design.MEAN_COLUMNS) + 9}))::INTEGER AS k)""")
+def _(lab):
+    # At the mode the gradient of the penalised likelihood is 0 in every column of both designs, on all rows that were trained on.
+    train, params = area_fit(lab)[:2]
+    slope = logitnormal.gradient(train, params)
+    return slope.select("bidding_area", "n", "column", (F.round("slope", 3) + 0.0).alias("slope"))
+
+
 DRAWS = 99
 DRAW_LIST = "[" + ", ".join(f"{z!r}" + ("" if "e" in repr(z) else "e0") for z in logitnormal.normal_scores(DRAWS)) + "]"
 

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from forecastlab.session import settle
 from forecastlab.sources.schemas import MEMBERS, WEATHER_VARIABLES
 
-GRID_LOTS = 16
+UNITS_PER_TILE = 512
+TIMES_PER_TILE = 8192
 
 
 def series_long(wide: DataFrame, time: str, value: str, name: str = "bidding_area") -> DataFrame:
@@ -33,21 +35,34 @@ def ensemble_long(
 
 
 def dense_grid(
-    units: DataFrame, times: DataFrame, columns: Sequence[str] = ("time_ref", "time"), keep: Column | None = None
+    units: DataFrame, times: DataFrame, columns: Sequence[str] = ("time_ref", "time"), keep: Column | None = None,
+    units_per_tile: int = UNITS_PER_TILE, times_per_tile: int = TIMES_PER_TILE,
 ) -> DataFrame:
     """Every unit at every distinct issue and valid time for which ``keep`` holds.
 
-    The calendar stays distributed and is spread by its keys; units are dealt to a fixed number of lots, and a calendar row
-    meets one lot at a time. Few units are broadcast by Spark's own size check, many are shuffled by lot. ``keep`` is part
-    of the join, so cells it rejects are never made.
+    Up to ``units_per_tile`` units, by their counted number, are broadcast and the calendar stays where it is. More units are dealt to lots, as is the
+    calendar, both by their counted numbers, and the grid is made tile by tile: a tile is one lot of units at one lot of times, a bounded piece of work, and there are
+    as many partitions as tiles. Units are copied once per lot of times and times once per lot of units, which is little beside the grid itself.
+    ``keep`` is part of the join, so cells it rejects are never made.
     """
     spread = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calendar = times.select(*columns).distinct().repartition(spread, *columns)
-    calendar = calendar.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(GRID_LOTS - 1))))
-    placed = units.withColumn("_unit_lot", F.pmod(F.xxhash64(*units.columns), F.lit(GRID_LOTS)).cast("int"))
-    meet = F.col("_lot") == F.col("_unit_lot")
-    grid = calendar.join(placed, meet if keep is None else meet & keep)
-    return grid.select(*units.columns, *columns)
+    calendar = times.select(*columns).distinct()
+    unit_lots = max(1, -(-units.count() // units_per_tile))
+    if unit_lots == 1:
+        left = calendar.repartition(spread, *columns).withColumn("_lot", F.pmod(F.xxhash64(*columns), F.lit(1)))
+        right = F.broadcast(units.withColumn("_unit_lot", F.pmod(F.xxhash64(*units.columns), F.lit(1))))
+        meet = F.col("_lot") == F.col("_unit_lot")
+        return left.join(right, meet if keep is None else meet & keep).select(*units.columns, *columns)
+    calendar = settle(calendar, "calendar")
+    time_lots = max(1, -(-calendar.count() // times_per_tile))
+    every = lambda lots: F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
+    lot = lambda names, lots: F.pmod(F.xxhash64(*names), F.lit(lots)).cast("int")
+    left = calendar.withColumn("_time_lot", lot(columns, time_lots)).withColumn("_lot", every(unit_lots))
+    right = units.withColumn("_unit_lot", lot(units.columns, unit_lots)).withColumn("_unit_time", every(time_lots))
+    tiles = max(spread, unit_lots * time_lots)
+    left, right = left.repartition(tiles, "_lot", "_time_lot"), right.repartition(tiles, "_unit_lot", "_unit_time")
+    meet = (F.col("_lot") == F.col("_unit_lot")) & (F.col("_time_lot") == F.col("_unit_time"))
+    return left.join(right, meet if keep is None else meet & keep).select(*units.columns, *columns)
 
 
 def array_rows(

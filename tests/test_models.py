@@ -164,6 +164,31 @@ def test_grid_is_spread_and_starts_inside_the_join(spark):
     assert "begun" in plan.split("Join")[1].splitlines()[0]
 
 
+def test_tiles_of_the_grid_grow_with_units_and_times(spark):
+    def grid(n_units, n_times, **sizes):
+        units = spark.range(n_units).selectExpr("id as unit", "timestamp_seconds(id * 60) as begun", "'x' as _lot_name")
+        times = spark.range(n_times).selectExpr("timestamp_seconds(id * 3600) as time_ref", "timestamp_seconds(id * 3600 + 7200) as time")
+        return reshape.dense_grid(units, times.unionAll(times), keep=F.col("time_ref") > F.col("begun"), **sizes)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = []
+        for n_units in (300, 2_000, 10_000):
+            made = grid(n_units, 600, times_per_tile=100)
+            sizes = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.countDistinct("unit", "time").alias("cells")).collect()
+            want = sum(max(0, 600 - 1 - k * 60 // 3600) for k in range(n_units))
+            assert sum(r["n"] for r in sizes) == sum(r["cells"] for r in sizes) == want
+            tasks.append(len(sizes))
+            assert n_units == 300 or max(r["n"] for r in sizes) < 6 * want / len(sizes)
+        assert tasks[0] <= 8 < tasks[1] < tasks[2]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = grid(2_000, 600)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_parameters_are_broadcast_and_rows_keep_their_place(spark):
     rng = np.random.default_rng(4)
     rows = [(f"a{k % 3}", [1.0, float(x)], [1.0], float(1 / (1 + np.exp(-x - 0.1 * rng.normal())))) for k, x in enumerate(rng.normal(size=600))]
@@ -351,6 +376,38 @@ def test_logit_normal_recovers_parameters(spark):
     assert 0.87 < share["inside"] < 0.93 and 0.45 < share["over_median"] < 0.55
 
 
+def test_joint_covariance_of_the_area_model(spark):
+    rng = np.random.default_rng(9)
+    n = 150
+    x, s = np.column_stack([np.ones(n), rng.normal(size=n)]), np.column_stack([np.ones(n), rng.normal(size=n)])
+    z = np.clip(x @ [0.2, 0.7] + np.exp(s @ [-0.6, 0.3]) * rng.normal(size=n), -6, 6)
+    rows = [("A", x[i].tolist(), s[i].tolist(), float(1 / (1 + np.exp(-z[i])))) for i in range(n)] + [("A", [1.0, None], [1.0, 0.0], 0.5)]
+    df = spark.createDataFrame(rows, "bidding_area string, x_mu array<double>, x_sigma array<double>, relative_power double")
+    params = logitnormal.fit(df, 2, 2)
+    row = params.first()
+    at = np.concatenate([row["beta"], row["gamma"]])
+
+    def posterior(theta):
+        r, scale = z - x @ theta[:2], s @ theta[2:]
+        return (-scale - r * r * np.exp(-2 * scale) / 2).sum() - (theta[:2] ** 2).sum() / 8 - (theta[2:] ** 2).sum() / (2 * 0.04)
+
+    h = 1e-4
+    steps = h * np.eye(4)
+    curve = -np.array([[(posterior(at + a + b) - posterior(at + a - b) - posterior(at - a + b) + posterior(at - a - b)) / (4 * h * h) for b in steps] for a in steps])
+    cov = np.array(row["cov"]).reshape(4, 4)
+    np.testing.assert_allclose(cov, np.linalg.inv(curve), rtol=2e-3, atol=1e-6)
+    assert np.abs(cov[:2, 2:]).max() > 0 and np.diag(cov)[2:].min() > 0
+    beta, gamma = logitnormal.parameter_draws(at[:2], at[2:], cov, 40_000)
+    np.testing.assert_allclose(np.cov(np.hstack([beta, gamma]).T), cov, atol=0.03 * np.diag(cov).max())
+    slopes = logitnormal.gradient(df, params).toPandas()
+    assert (slopes["n"] == n).all() and sorted(slopes["column"]) == [0, 1, 2, 3] and slopes["slope"].abs().max() < 1e-4
+    drawn = logitnormal.predict(df, params, scale=None, draws=400).collect()
+    wide = [r["draws"] for r in drawn if r["draws"] is not None]
+    assert len(wide) == n and all(d == sorted(d) for d in wide)
+    again = logitnormal.predict(df.repartition(3), params, scale=None, draws=400).collect()
+    assert sorted(map(tuple, wide)) == sorted(tuple(r["draws"]) for r in again if r["draws"] is not None)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], 2.5)], "member_sums array<double>, power double")
     row = bands.normal_band(df).first()
