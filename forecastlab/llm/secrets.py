@@ -3,7 +3,8 @@
 Patterns give the kinds ``assign``, ``access`` and ``hex``. The guess-cost search looks at every value in
 credential context (a wider list of names and of characters than ``assign``), splits it at least cost into
 dictionary words, dates, repeats, keyboard walks and brute-force spans, and adds a ``guess`` span for a
-value whose cheapest split still needs ``10 ** MIN_LOG_GUESSES`` guesses. The search is linear in the
+value whose cheapest split still needs ``10 ** MIN_LOG_GUESSES`` guesses; an unexplained character counts by its class, so eight mixed
+ones are enough. The search is linear in the
 value's length, so values are never cut. Spans count code points, ends are exclusive.
 
 A null or empty text has no spans, and the digest is that of the empty text. Every row gives one row.
@@ -48,11 +49,17 @@ DATE = re.compile(
     r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)"
 )
 LOG_DAYS, LOG_YEARS = math.log10(365), math.log10(120)
-BRUTE_CHAR = 1.0  # log10 guesses of one unexplained character
+#: Signs an unexplained character may be, by its class: digits, small letters, letters of either case, anything that is typed.
+DIGIT, SMALL, LETTER, ANY = 10, 26, 52, 94
 SEGMENT = math.log10(2)  # of one more segment
 WALK_START, WALK_TURN = math.log10(47), math.log10(4.6)
 
 
+def brute_cost(char: str) -> float:
+    """log10 guesses of one unexplained character."""
+    return math.log10(DIGIT if "0" <= char <= "9" else SMALL if "a" <= char <= "z" else LETTER if "A" <= char <= "Z" else ANY)
+
+
 def _key_places() -> dict[str, tuple[int, int]]:
     return {char: (row, column) for row, keys in enumerate(ROWS) for column, char in enumerate(keys)}
 
@@ -113,7 +120,7 @@ class GuessCost:
                     end += 1
                 times = (end - start) // size
                 if times >= 2 and times * size >= 3:
-                    yield start, start + times * size, size * BRUTE_CHAR + math.log10(times)
+                    yield start, start + times * size, sum(map(brute_cost, value[start : start + size])) + math.log10(times)
                 start = max(start + 1, end - size + 1)
         start = 0
         while start < n - 2:  # keyboard walks, as maximal runs
@@ -135,7 +142,7 @@ class GuessCost:
         best = [0.0] + [math.inf] * n  # cost up to here
         brute = [math.inf] * (n + 1)  # the same with an open brute-force span at the end
         for end in range(1, n + 1):
-            brute[end] = min(brute[end - 1], best[end - 1] + SEGMENT) + BRUTE_CHAR
+            brute[end] = min(brute[end - 1], best[end - 1] + SEGMENT) + brute_cost(value[end - 1])
             best[end] = min([brute[end]] + [best[start] + cost + SEGMENT for start, cost in closing.get(end, ())])
         return max(0.0, best[n] - SEGMENT) if n else 0.0
 

@@ -221,12 +221,22 @@ def test_guess_costs():
     assert costs.log_guesses("ab" * 3000) < 10  # very long values, whole
 
 
+@pytest.mark.parametrize("value, found", [
+    ("x9$Kq!2z", True), ("aB3$xY9!q", True), ("kV7#pLw2Qz", True), ("hZ4vQ8nT1xB", True), ("qzvkxwpj", True), ("48151623", False),
+    ("password", False), ("P@ssw0rd1", False), ("qwertyuiop", False), ("abcabcabcab", False), ("20240131", False), ("x9$Kq!2", False),
+])
+def test_values_of_eight_to_eleven_characters(value, found):
+    costs = secrets._searcher(secrets.MODEL_PATH, secrets.load_pieces()[0])
+    spans, _ = secrets.find_spans(f"pwd: {value} end", costs)
+    assert [s for s in spans if s[1] == 3] == ([(5, 3, 5 + len(value))] if found else [])
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     costs = secrets.GuessCost({"abc": 3, "cab": 20, "bca": 5})
     rng = random.Random(9)
 
     def least(value):
-        spans = list(costs.segments(value)) + [(a, b, secrets.BRUTE_CHAR * (b - a)) for a in range(len(value)) for b in range(a + 1, len(value) + 1)]
+        spans = list(costs.segments(value)) + [(a, b, sum(map(secrets.brute_cost, value[a:b]))) for a in range(len(value)) for b in range(a + 1, len(value) + 1)]
         best = [0.0] + [math.inf] * len(value)
         for end in range(1, len(value) + 1):
             best[end] = min(best[a] + c + secrets.SEGMENT for a, b, c in spans if b == end)
