@@ -305,8 +305,8 @@ def _(lab):
 
 @check("ts_adf_stat_aic")
 def _(lab):
-    return autoregression.augmented_dickey_fuller(lab.hourly, AREA, "time", "power").withColumn(
-        "statistic", F.round("statistic", 5)
+    return autoregression.augmented_dickey_fuller(lab.hourly, AREA, "time", "power").withColumns(
+        {"statistic": F.round("statistic", 5), "p_value": F.round("p_value", 6)}
     )
 
 

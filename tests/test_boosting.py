@@ -143,7 +143,7 @@ def test_a_dip_is_passed_over(spark):
 def test_holdout_error_equals_sql_over_predictions(spark):
     frame = panel(1500, 5)
     rows = to_spark(spark, frame)
-    model = boosting.fit(rows, FEATURES, "y", [Job("m", Params(rounds=60, depth=3, eta=0.3, patience=4))], "w", held=F.col("held"))[0]
+    model = boosting.fit(rows, FEATURES, "y", [Job("m", Params(rounds=60, depth=2, eta=0.6, patience=3))], "w", held=F.col("held"))[0]
     told = boosting.predict([model], rows.filter("held"), "p").select("y", "w", "p").toPandas()  # noqa: F841
     rmse = duckdb.sql("SELECT sqrt(sum(w * (y - p) ** 2) / sum(w)) FROM told").fetchall()[0][0]
     assert 0 < model.n_trees < 60 and math.isclose(rmse, min(model.history), rel_tol=1e-9)
@@ -154,7 +154,7 @@ def test_holdout_error_equals_sql_over_predictions(spark):
 def test_many_models_in_one_go_equal_single_fits(spark):
     frame = panel(1600, 6)
     rows = to_spark(spark, frame).repartition(3)
-    params = Params(rounds=20, depth=3, eta=0.3, patience=3)
+    params = Params(rounds=6, depth=2, eta=0.5, patience=3)
     edges = boosting.bin_edges(rows, FEATURES)
     slots = {"0": (0, 1), "2": (2, 3), "below 3": (0, 3), "none": (7, 9), "other holdout": (1, 2, (0, 4))}
     jobs = [Job(k, params, v[0], v[1], v[2] if len(v) > 2 else None) for k, v in slots.items()]
@@ -229,7 +229,7 @@ def test_quantile_models(spark):
     y = a + (1 + a / 3) * rng.normal(size=n)
     frame = pd.DataFrame({"id": np.arange(n), "a": a, "b": 0.0, "c": 0.0, "y": y, "w": 1.0, "em": 0, "held": np.arange(n) % 3 == 0, "f0": "", "slot": "", "margins": 1})
     rows = to_spark(spark, frame)
-    shape = dict(rounds=8, depth=3, eta=0.5, patience=3)
+    shape = dict(rounds=5, depth=3, eta=0.5, patience=3)
     jobs = [Job(str(q), Params(quantile=q, **shape)) for q in (0.05, 0.95)]
     models = boosting.fit(rows, FEATURES, "y", jobs, held=F.col("held"))
     learnt = frame[~frame.held]["y"]
@@ -244,9 +244,9 @@ def test_quantile_models(spark):
 
 def test_poor_trials_end(spark):
     rows = to_spark(spark, panel(1500, 12))
-    jobs = [Job(f"d{d}", Params(rounds=15, depth=d, eta=0.3, patience=15)) for d in (1, 4, 4, 5)]
-    models = boosting.fit(rows, FEATURES, "y", jobs, held=F.col("held"), prune_after=5)
-    assert len(models[0].history) == 6 and max(len(m.history) for m in models) > 8
+    jobs = [Job(f"d{d}", Params(rounds=7, depth=d, eta=0.3, patience=7)) for d in (1, 3, 3, 4)]
+    models = boosting.fit(rows, FEATURES, "y", jobs, held=F.col("held"), prune_after=3)
+    assert len(models[0].history) == 4 and max(len(m.history) for m in models) > 5
 
 
 def test_no_rows_and_rows_that_take_no_part(spark):

@@ -350,6 +350,23 @@ def test_augmented_dickey_fuller_by_brute_force(spark):
     assert row["lags"] == best and row["statistic"] == pytest.approx(fit(best, best)[1], rel=1e-7)
 
 
+def test_augmented_test_on_odd_series_and_its_lag_range(spark):
+    series = {"three": [1.0, 2.0, 4.0], "one": [1.0], "same": [5.0] * 300, "line": [float(k) for k in range(50)], "none": []}
+    rng = np.random.default_rng(5)
+    series["walk"], series["noise"] = np.cumsum(rng.normal(size=900)).tolist(), rng.normal(size=900).tolist()
+    start = pd.Timestamp("2023-01-01")
+    rows = [(k, (start + pd.Timedelta(hours=i)).to_pydatetime(), v) for k, x in series.items() for i, v in enumerate(x)]
+    got = {r["k"]: r for r in autoregression.augmented_dickey_fuller(spark.createDataFrame(rows, "k string, time timestamp, y double"), ["k"], "time", "y").collect()}
+    for name in ("three", "same", "line"):
+        assert got[name]["statistic"] is None and got[name]["p_value"] is None, name
+    assert got["walk"]["p_value"] > 0.05 and got["noise"]["p_value"] < 0.001
+    assert autoregression.most_lags(8784) == 37 and autoregression.most_lags(900) == 21 and got["noise"]["lags"] <= 21
+    # The published critical values of the test with a constant.
+    for statistic, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
+        assert autoregression.unit_root_p_value(statistic) == pytest.approx(p, rel=0.02)
+    assert autoregression.unit_root_p_value(5.0) == 1.0 and autoregression.unit_root_p_value(-40.0) == 0.0 and autoregression.unit_root_p_value(None) is None
+
+
 def test_logit_normal_recovers_parameters(spark):
     rng = np.random.default_rng(7)
     n, beta, gamma = 3000, np.array([-0.5, 0.8]), np.array([-0.7, 0.3])
