@@ -37,7 +37,7 @@ from forecastlab.session import settle
 WORDS = 5
 PERCENT = 80
 MARGIN_PERCENT = 15
-TOKENS_PER_PART = 1_000_000  # counted as dealt, copies of a set in other batches included
+TOKENS_PER_PART = 200_000  # counted as dealt, copies of a set in other batches included
 TOKENS_PER_ROW = 20_000
 LANES = 8  # of a part's tokens, one sorted at a time; a power of two
 GROUP = 192  # members compared all with all
@@ -143,19 +143,15 @@ def _deal_some(sets: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[
     sigs = np.array([s for s, _, _ in sets], np.int64)
     owners = np.array([o for _, o, _ in sets], np.int64)
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-    for a, b in zip(edges[:-1], edges[1:]):
+    rows: list[list] = [[], [], [], [], []]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         runs = np.flatnonzero(np.r_[True, which[a + 1 : b] != which[a : b - 1], True])
         first = which[a:b][runs[:-1]]
-        yield pa.record_batch(
-            [
-                pa.array([int(part[a])], pa.int32()),
-                pa.array([tokens[a:b].tobytes()], pa.binary()),
-                pa.array([sigs[first].tobytes()], pa.binary()),
-                pa.array([owners[first].tobytes()], pa.binary()),
-                pa.array([np.diff(runs).astype(np.uint32).tobytes()], pa.binary()),
-            ],
-            names=["part", "tokens", "sigs", "owners", "counts"],
-        )
+        made = int(part[a]), tokens[a:b].tobytes(), sigs[first].tobytes(), owners[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes()
+        for column, cell in zip(rows, made):
+            column.append(cell)
+    kinds = pa.int32(), *[pa.binary()] * 4
+    yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=["part", "tokens", "sigs", "owners", "counts"])
 
 
 def _count_shared(group: pa.Table) -> pa.Table:
