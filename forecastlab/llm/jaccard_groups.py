@@ -37,8 +37,9 @@ from forecastlab.session import settle
 WORDS = 5
 PERCENT = 80
 MARGIN_PERCENT = 15
-TOKENS_PER_PART = 200_000  # counted as dealt, copies of a set in other batches included
+TOKENS_PER_PART = 500_000  # counted as dealt, copies of a set in other batches included
 TOKENS_PER_ROW = 20_000
+SETS_PER_LOT = 100_000  # whose counts are added up at a time
 LANES = 8  # of a part's tokens, one sorted at a time; a power of two
 GROUP = 192  # members compared all with all
 ROUNDS = 3
@@ -154,10 +155,10 @@ def _deal_some(sets: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[
     yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=["part", "tokens", "sigs", "owners", "counts"])
 
 
-def _count_shared(group: pa.Table) -> pa.Table:
-    """``(sig, shared)``: how many tokens of this hash range each set has that a set of another owner has too.
+def _count_shared(group: pa.Table, lots: int) -> pa.Table:
+    """``(lot, sigs, shared)``: how many tokens of this hash range each set has that a set of another owner has too, packed by lots of sets.
 
-    The range is gone through in lanes of tokens, so that only a part of it is sorted at a time.
+    A set may have such tokens in many ranges, so these counts are not a row each. The range is gone through in lanes of tokens, so that only a part of it is sorted at a time.
     """
     columns = [
         [np.frombuffer(v.as_buffer(), kind) for v in group.column(name)]
@@ -185,13 +186,37 @@ def _count_shared(group: pa.Table) -> pa.Table:
     names, place = np.unique(sigs, return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([f[1] for f in found])) if len(sigs) else np.zeros(0)
     pa.default_memory_pool().release_unused()  # the worker goes on to other parts
-    return pa.table({"sig": pa.array(names, pa.int64()), "shared": pa.array(total.astype(np.int64), pa.int64())})
+    return pa.table(_by_lot(names, total.astype(np.uint32), lots))
+
+
+def _by_lot(sigs: np.ndarray, shared: np.ndarray, lots: int) -> dict[str, pa.Array]:
+    """Sorted sets and their counts as one row per lot."""
+    lot = ((mix(sigs.view(np.uint64)) >> np.uint64(32)) * np.uint64(lots) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(lot, kind="stable")
+    sigs, shared, lot = sigs[order], shared[order], lot[order]
+    edges = np.flatnonzero(np.r_[True, lot[1:] != lot[:-1], True]) if len(lot) else np.zeros(1, np.int64)
+    runs = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return {
+        "lot": pa.array([int(lot[a]) for a, _ in runs], pa.int32()),
+        "sigs": pa.array([sigs[a:b].tobytes() for a, b in runs], pa.binary()),
+        "shared": pa.array([shared[a:b].tobytes() for a, b in runs], pa.binary()),
+    }
+
+
+def _add_shared(group: pa.Table) -> pa.Table:
+    """``(sig, shared)`` of one lot of sets, over all hash ranges."""
+    sigs, shared = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in group.column(name)]) for name, kind in (("sigs", np.int64), ("shared", np.uint32)))
+    names, place = np.unique(sigs, return_inverse=True)
+    total = np.bincount(place, weights=shared).astype(np.int64)
+    return pa.table({"sig": pa.array(names, pa.int64()), "shared": pa.array(total, pa.int64())})
 
 
 def _with_enough(dealt: DataFrame, sizes: DataFrame, least: str) -> DataFrame:
     """The ``(sig, n)`` of ``sizes`` whose count of shared tokens reaches ``least`` of ``n``."""
-    shared = dealt.groupBy("part").applyInArrow(_count_shared, "sig long, shared long")
-    return shared.groupBy("sig").agg(F.sum("shared").alias("shared")).join(sizes, "sig").where(f"shared >= {least}").select("sig", "n")
+    lots = max(1, -(-sizes.count() // SETS_PER_LOT))
+    packed = dealt.groupBy("part").applyInArrow(lambda group: _count_shared(group, lots), "lot int, sigs binary, shared binary")
+    shared = packed.groupBy("lot").applyInArrow(_add_shared, "sig long, shared long")
+    return shared.join(sizes, "sig").where(f"shared >= {least}").select("sig", "n")
 
 
 def _parts(tokens: int) -> int:
