@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from forecastlab.catalog.lab import SCHEMAS, Lab
 from forecastlab.catalog.registry import check
-from forecastlab.functions.scalars import add_hours, decimal_comma
+from forecastlab.functions.scalars import add_hours, decimal_comma, round_to
 from forecastlab.session import scratch_path
 from forecastlab.sources import files, messages, schemas
 
@@ -70,9 +70,10 @@ MEMBER_COLUMNS = [c for c in schemas.names(schemas.FORECAST_WIDE) if c not in ("
 def _(lab):
     wide = lab.forecast_wide.withColumn("ws10m_00", F.when(F.col("lt") != 15, F.col("ws10m_00")))
     ordered = wide.select(*schemas.names(schemas.FORECAST_WIDE))
-    path = _landed(lab, ordered, "forecast", header=True, nullValue="NA")
+    # Text of 90 numbers a row is several times their binary size: it is landed compressed, in files small enough to be read side by side.
+    path = _landed(lab, ordered, "forecast", header=True, nullValue="NA", compression="gzip", maxRecordsPerFile=200_000)
     typed = files.read_csv_like(lab.spark, path, schemas.FORECAST_WIDE)
-    return typed.select("sid", "time_ref", "time", "lt", *[F.round(c, 6).alias(c) for c in ("ws10m_00", *MEMBER_COLUMNS)])
+    return typed.select("sid", "time_ref", "time", "lt", *[round_to(c, 6).alias(c) for c in ("ws10m_00", *MEMBER_COLUMNS)])
 
 
 @check("src_csv_dates", """

@@ -1,0 +1,40 @@
+"""What keeps the larger queries small: fewer shuffled and written bytes, same rows."""
+
+import glob
+import math
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from forecastlab.catalog.lab import Lab
+from forecastlab.functions.scalars import round_to
+from forecastlab.session import shared_dir
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_round_to_is_round(spark):
+    values = [0.0, -0.0, 0.5e-6, -0.5e-6, 1.0000005, 2.5, 123456.7890125, -3.3333335, 1e12 + 0.1234565, 1e-9, -1e-9, None, math.nan, math.inf]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").unionAll(spark.range(2000).select(((F.col("id") - 1000) / 8192 * 1.7).alias("x")))
+    for digits in (3, 5, 6):
+        assert rows.filter(~round_to("x", digits).eqNullSafe(F.round("x", digits))).count() == 0
+
+
+def test_landed_forecast_text_is_compressed(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/forecastlab/forecast-*"))
+    assert entry.queries()["src_csv_typed_na"](spark, SMALL).count() > 0
+    (path,) = set(glob.glob(f"{shared_dir(spark)}/forecastlab/forecast-*")) - before
+    assert glob.glob(f"{path}/*.csv.gz") and not glob.glob(f"{path}/*.csv")
+
+
+def test_lead_time_windows_move_no_wide_rows(spark):
+    # One exchange, below the aggregate that makes the rows; the window finds them in place.
+    plan = entry.queries()["win_centered_mean3"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_training_rows_are_narrow_and_cells_are_not_written(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/forecastlab/local_cells-*"))
+    lab = Lab(spark, SMALL)
+    assert lab.first_rows.filter(F.col("local_relative_power").isNull()).count() == 0 < lab.first_rows.count()
+    assert set(glob.glob(f"{shared_dir(spark)}/forecastlab/local_cells-*")) == before
