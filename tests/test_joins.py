@@ -69,6 +69,17 @@ def test_totals_equal_the_sum_over_pairs(spark):
         )
 
 
+def test_hours_nobody_asks_for_are_not_shuffled(spark):
+    # A message of 200 days and one asked hour in it: one row is left before anything is dealt by key.
+    events = spark.createDataFrame([(1, at(1), at(2), at(2) + dt.timedelta(days=200), 5.0, True)], EVENTS)
+    rows = spark.createDataFrame([(1, at(2), at(3, 6)), (1, at(2), at(3, 6)), (2, at(2), at(1))], "u long, time_ref timestamp, time timestamp")
+    assert [r["time"] for r in intervals.covered_hours(events, rows.select("time").distinct(), ["u"]).collect()] == [at(3, 6)]
+    assert [tuple(r) for r in intervals.covered_cells(events, rows.select("time_ref", "time").distinct(), ["u"]).collect()] == [(1, at(2), at(3, 6))]
+    plan = intervals.visible_totals(rows, events, ["u"], ["lost"])._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    assert [tuple(r) for r in intervals.visible_totals(rows, events, ["u"], ["lost"]).collect()] == [(1, at(2), at(3, 6), 5.0)]
+
+
 def test_off_hour_rows_raise(spark):
     events = spark.createDataFrame([(1, at(1), at(2), at(3), 1.0, True)], EVENTS)
     rows = spark.createDataFrame([(1, at(2, 9, 30), at(2, 12))], "u long, time_ref timestamp, time timestamp")
