@@ -38,3 +38,44 @@ def test_training_rows_are_narrow_and_cells_are_not_written(spark):
     lab = Lab(spark, SMALL)
     assert lab.first_rows.filter(F.col("local_relative_power").isNull()).count() == 0 < lab.first_rows.count()
     assert set(glob.glob(f"{shared_dir(spark)}/forecastlab/local_cells-*")) == before
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_local_table_moves_no_row_per_member_or_cell(spark):
+    # The grid is joined per unit and issue, the wide forecast is moved once; neither cells nor members are dealt again.
+    table = Lab(spark, SMALL).local_table
+    assert table.filter(F.col("em").isNotNull()).count() > 0
+    assert not [line for line in exchanges(table) if " em#" in line or "(windpark_statnet" in line and " time#" in line]
+    for name in ("feat_local_issue",):
+        assert not [line for line in exchanges(entry.queries()[name](spark, SMALL)) if " em#" in line], name
+
+
+def test_local_table_is_the_same_from_long_and_wide_forecasts(spark):
+    from forecastlab.plans import local
+
+    lab = Lab(spark, SMALL)
+    long = local.local_dataset(lab.units, lab.unit_power, lab.forecast, lab.nowcast, lab.outages)
+    wide = lab.local_table
+    assert long.columns == wide.columns
+    told = [
+        x.groupBy("windpark", "em").agg(
+            F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c).cast("double")), 3).alias(c) for c in (*local.LOCAL_FEATURES[:6], "wind_alignment", "adhh", "local_power")]
+        ).toPandas().sort_values(["windpark", "em"]).reset_index(drop=True)
+        for x in (long, wide)
+    ]
+    assert len(told[0]) > 10 and told[0].equals(told[1])
+
+
+def test_every_production_row_of_a_time_stays(spark):
+    # Two production rows of one unit and time are two rows of the table, as a left join gives.
+    from forecastlab.plans import local
+
+    lab = Lab(spark, SMALL)
+    twice = local.local_dataset(lab.units, lab.unit_power.unionAll(lab.unit_power), lab.forecast_wide.withColumnRenamed("sid", "windpark_statnet"), lab.nowcast, lab.outages)
+    known = F.col("local_power").isNotNull()
+    assert twice.filter(known).count() == 2 * lab.local_table.filter(known).count() > 0
+    assert twice.filter(~known).count() == lab.local_table.filter(~known).count() > 0
