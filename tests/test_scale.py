@@ -50,7 +50,7 @@ def test_local_table_moves_no_row_per_member_or_cell(spark):
     table = Lab(spark, SMALL).local_table
     assert table.filter(F.col("em").isNotNull()).count() > 0
     assert not [line for line in exchanges(table) if " em#" in line or "(windpark_statnet" in line and " time#" in line]
-    for name in ("feat_local_issue",):
+    for name in ("feat_local_dataset", "feat_local_issue"):
         assert not [line for line in exchanges(entry.queries()[name](spark, SMALL)) if " em#" in line], name
 
 
