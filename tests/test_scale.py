@@ -79,3 +79,15 @@ def test_every_production_row_of_a_time_stays(spark):
     known = F.col("local_power").isNotNull()
     assert twice.filter(known).count() == 2 * lab.local_table.filter(known).count() > 0
     assert twice.filter(~known).count() == lab.local_table.filter(~known).count() > 0
+
+
+def test_ridge_lines_write_fitted_rows_only(spark):
+    # Neither the rows of all members nor a second copy of them with the terms.
+    folder = f"{shared_dir(spark)}/forecastlab"
+    before = set(glob.glob(f"{folder}/*"))
+    for name in ("bt_rolling_ridge", "eval_loo_station_full"):
+        entry.queries()[name](spark, SMALL)
+    written = set(glob.glob(f"{folder}/*")) - before
+    assert not [path for path in written if "rolling_table" in path or "ridge_table" in path]
+    fitted = [spark.read.parquet(path) for path in written if "ridge_rows" in path]
+    assert len(fitted) == 2 and all(rows.count() > 0 == rows.filter(F.col("local_relative_power").isNull()).count() for rows in fitted)
