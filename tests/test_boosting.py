@@ -268,3 +268,38 @@ def test_importance_and_table_of_splits(spark):
     for feature, share in model.importance():
         assert math.isclose(share, gains.get(feature, 0.0) / gains.sum(), abs_tol=1e-12)
     assert len(table[table.tree == 0]) == 7 and table[table.feature.isna()]["value"].notna().all()
+
+
+def test_large_models_grow_by_level(spark, monkeypatch):
+    """A model whose rows one task has and one that takes a job a level have the same trees."""
+    rows = to_spark(spark, panel(900, 21)).repartition(6, "id")
+    shape = {"rounds": 6, "depth": 3, "patience": 9}
+    jobs = [
+        Job("plain", Params(**shape)), Job("drawn", Params(subsample=0.6, colsample=0.7, **shape)), Job("q", Params(quantile=0.8, **shape)),
+        Job("few", Params(grow="lossguide", max_leaves=3, **shape)), Job("part", Params(**shape), high=2),
+    ]
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
+    edges = boosting.bin_edges(rows, FEATURES)
+    blocks = boosting.binned_blocks(rows, FEATURES, "y", edges, "w", F.col("em"), F.col("held"))
+    whole = boosting.fit_blocks(blocks, FEATURES, edges, jobs)
+    monkeypatch.setattr(boosting, "RENEW", 4)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 400)  # "part" stays below
+    other = boosting.fit_blocks(blocks, FEATURES, edges, jobs)
+    bins = boosting.bins_of(panel(900, 21)[FEATURES].to_numpy(), edges)
+    for a, b in zip(whole, other):
+        assert a.n_trees == b.n_trees and np.allclose(a.history, b.history) and np.allclose(a.margins(bins), b.margins(bins))
+
+
+def test_trees_take_few_jobs(spark):
+    """Thirty trees of depth four are grown and scored in a handful of jobs; a job a level took 120 and more."""
+    rows = to_spark(spark, panel(300, 22))
+    edges = boosting.bin_edges(rows, FEATURES)
+    blocks = boosting.binned_blocks(rows, FEATURES, "y", edges, held=F.col("held"))
+    context = spark.sparkContext
+    context.setJobGroup("few jobs", "")
+    try:
+        model = boosting.fit_blocks(blocks, FEATURES, edges, [Job("m", Params(rounds=30, depth=4, patience=30))])[0]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.history) == 31
+    assert len(context.statusTracker().getJobIdsForGroup("few jobs")) <= 20
