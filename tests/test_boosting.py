@@ -303,3 +303,50 @@ def test_trees_take_few_jobs(spark):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert len(model.history) == 31
     assert len(context.statusTracker().getJobIdsForGroup("few jobs")) <= 20
+
+
+def test_the_fuller_node_of_a_split_is_what_is_left(monkeypatch):
+    """Below the root a task adds up at most half of the rows of a level; the sums are those of adding up all of them, and 0 in bins without rows."""
+    frame = panel(900, 23)
+    x, y, w = arrays(frame)
+    edges = [np.unique(v[~np.isnan(v)])[:-1] for v in x.T]
+    bins, n_bins = boosting.bins_of(x, edges), max(map(len, edges)) + 2
+    rows = boosting._Rows([(0, bins, y, w, np.full(len(y), y.mean()))], 3)
+    grad, node = w * (rows.margin - y), (x[:, 0] > 3) * 1
+    above = rows.sums(np.zeros(len(y), np.int64), 1, [0, 1, 2], grad, n_bins)
+    whole, told = rows.sums(node, 2, [0, 1, 2], grad, n_bins), rows.sums_below(node, above, [0, 1, 2], grad, n_bins)
+    assert np.allclose(told, whole, atol=1e-9) and np.array_equal(told[2], whole[2]) and not told[:, whole[2] == 0].any()
+    read, sums = [], boosting._Rows.sums
+
+    def counted(self, place, nodes, *others):
+        read.append((nodes, int((place >= 0).sum())))
+        return sums(self, place, nodes, *others)
+
+    monkeypatch.setattr(boosting._Rows, "sums", counted)
+    trees = boosting._grown_here(Params(depth=4), 0, 3, rows, n_bins)
+    assert len(trees) == 3 and len(read) > 6
+    assert all(n <= len(y) // 2 for k, (_, n) in enumerate(read) if k % 4), read
+    assert [n for k, (_, n) in enumerate(read) if k % 4 == 0] == [len(y)] * 3
+
+
+def test_walks_are_made_once_a_task():
+    """A model's trees are laid out once and then take any number of batches, missing values included."""
+    tree = boosting.Tree()
+    boosting._apply({(0, 0): {"feature": 1, "gain": 9.0, "cut": 2, "missing_left": True, "grad_left": 1.0, "hess_left": 1.0, "grad": 2.0, "hess": 2.0}}, [Job("m")], {0: tree}, 0)
+    boosting._apply({(0, 2): {"feature": 0, "gain": 9.0, "cut": 0, "missing_left": False, "grad_left": 1.0, "hess_left": 1.0, "grad": 1.0, "hess": 1.0}}, [Job("m")], {0: tree}, 1)
+    tree.value = [0.0, 10.0, 0.0, 30.0, 40.0]
+    walk = boosting._Walk(tree)
+    bins = np.array([[0, 2], [0, 255], [0, 3], [1, 254], [255, 3]], np.uint8)
+    assert walk.leaf(bins).tolist() == tree.leaf_of(bins).tolist() == [1, 1, 3, 4, 4]
+    model = boosting.Boosted("m", ["a", "b"], [np.zeros(1), np.zeros(1)], Params(), 1.0, [tree])
+    assert model.margins(bins, [walk]).tolist() == model.margins(bins).tolist() == [11.0, 11.0, 31.0, 41.0, 41.0]
+    assert boosting._Walk(boosting.Tree()).leaf(bins).tolist() == [0] * 5
+
+
+def test_edges_read_the_rows_twice(spark, monkeypatch):
+    """One pass counts distinct values, one reads sets and quantiles; quantiles of features with few values are not asked for."""
+    asked, quantile = [], F.percentile_approx
+    monkeypatch.setattr(boosting.F, "percentile_approx", lambda *a: asked.append(a) or quantile(*a))
+    rows = spark.createDataFrame([(float(k % 7), float(k)) for k in range(3000)], "a double, b double")
+    few, many = boosting.bin_edges(rows, ["a", "b"], 32)
+    assert len(asked) == 1 and few.tolist() == [0, 1, 2, 3, 4, 5] and len(many) == 31
