@@ -127,6 +127,18 @@ def test_every_member_counts(spark):
     assert row["member_sums"] == [float(3 * em + 51) for em in range(17)]
 
 
+def test_members_side_by_side_have_the_same_sums(spark):
+    """Members in columns give the sums of members in rows, without a row per member; one without any value does not occur."""
+    from forecastlab.operators.reshape import ensemble_long
+
+    at = ["timestamp'2024-01-01 00:00:00' as time_ref", "timestamp'2024-01-02 16:00:00' as time", "40L as lt", "concat('ELSPOT NO', cast(id % 3 as string)) as bidding_area"]
+    values = [f"cast(if(id % {em + 2} = 0 or {em} = 3, null, id * {em + 1}) as double) as local_power_pred_{em:02d}" for em in range(12)]
+    wide = spark.range(40).selectExpr(*at, *values)
+    rows = ensemble_long(wide, area.ISSUE, ["local_power_pred"], members=range(12))
+    told, other = ({r["bidding_area"]: r["member_sums"] for r in area.ensemble_sums(x).collect()} for x in (wide, rows))
+    assert told == other and len(told) == 3 and {len(v) for v in told.values()} == {10, 11}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 40, 5000])
 def test_exact_quantiles_of_any_size(spark, n):
     rng = np.random.default_rng(n)
