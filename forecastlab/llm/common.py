@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,12 +25,48 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+_held: dict[tuple, object] = {}
+
+
+def start_empty() -> None:
+    """For a task that needs the memory: tables that other operators left in its Python worker go."""
+    _held.clear()
+    hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: numpy's and Arrow's allocators keep it, for as long as a Python worker lives, and other stages can't use it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def hold(operator: str, key, make: Callable[[], object]):
+    """Tables of an operator, made once in a Python worker and kept from task to task.
+
+    Workers live through all stages, so those of another operator go before new ones are made.
+    """
+    if (operator, key) not in _held:
+        start_empty()
+        _held[operator, key] = make()
+    return _held[operator, key]
+
+
+def held(operator: str, key):
+    """What :func:`hold` keeps, or nothing."""
+    return _held.get((operator, key))
+
+
 def map_arrow(
     df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None
 ) -> DataFrame:
-    """``mapInArrow`` over single batches; ``done`` ends a task, since Python workers live on and would keep what they hold."""
+    """``mapInArrow`` over single batches; ``done`` ends a task, since Python workers live on and would keep what they hold.
+
+    What tasks before it left, of whatever operator, goes back when a task begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         try:
             for batch in batches:
                 if batch.num_rows:
@@ -36,6 +74,7 @@ def map_arrow(
         finally:
             if done is not None:
                 done()
+            hand_back()
 
     return df.mapInArrow(run, schema)
 

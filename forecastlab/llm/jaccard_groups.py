@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import free_name, id_text, small_side, table
+from forecastlab.llm.common import free_name, id_text, small_side, start_empty, table
 from forecastlab.llm.components import connected
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import mix, shingle_sets
@@ -86,6 +86,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     """``(key, doc_id, n, sig)`` of every row; ``sig`` is null for an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_empty()
         for batch in batches:
             n, sig = [], []
             for tokens in shingle_sets(batch.column("text"), WORDS):
@@ -102,6 +103,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``(sig, n, tokens)`` with the sorted tokens as bytes; empty sets are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_empty()
         for batch in batches:
             found = [t for t in shingle_sets(batch.column("text"), WORDS) if len(t)]
             for at in range(0, len(found), 512):
@@ -228,6 +230,7 @@ def sharing_documents(docs: DataFrame, sizes: DataFrame, rows: DataFrame) -> Dat
     parts = _parts(rows.agg(F.sum(F.expr(f"least(n, n - {_sql_least('n')} + {_sql_margin('n')})"))).first()[0])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_empty()
         for batch in batches:
             sets, seen = [], set()
             for tokens in shingle_sets(batch.column("text"), WORDS):
@@ -246,6 +249,7 @@ def sharing_sets(sets: DataFrame) -> DataFrame:
     parts = _parts(sets.agg(F.sum("n")).first()[0])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_empty()
         for batch in batches:
             rows = zip(batch.column("sig").to_pylist(), batch.column("owner").to_pylist(), batch.column("tokens").to_pylist())
             yield from _deal([(sig, owner, np.frombuffer(tokens, np.uint64)) for sig, owner, tokens in rows], parts)
@@ -297,6 +301,7 @@ def group_links(sets: DataFrame) -> DataFrame:
     seeds = [np.uint64(0xA0761D6478BD642F * (2 * r + 1) & (2**64 - 1)) for r in range(ROUNDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_empty()
         for batch in batches:
             tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
             keys = [pa.array([int(mix(t ^ seed).min().view(np.int64)) for t in tokens], pa.int64()) for seed in seeds]

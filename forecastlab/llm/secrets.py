@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import id_text, map_arrow, table
+from forecastlab.llm.common import hold, id_text, map_arrow, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.vocabulary import MODEL_PATH, SPACE, load_pieces
 from forecastlab.llm.wordhash import slices
@@ -183,13 +183,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
     return "".join([*parts, text[at:]])
 
 
-_costs: dict[str, GuessCost] = {}
-
-
 def _searcher(path: str, pieces: tuple[str, ...]) -> GuessCost:
-    if path not in _costs:
-        _costs[path] = GuessCost(dictionary(pieces))
-    return _costs[path]
+    return hold("secrets", path, lambda: GuessCost(dictionary(pieces)))
 
 
 def find_secrets(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from forecastlab.llm.common import id_text, map_arrow, table
+from forecastlab.llm.common import held, hold, id_text, map_arrow, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.vocabulary import MODEL_PATH, SPACE, UNKNOWN_SCORE, load_pieces, piece_scores
 from forecastlab.llm.wordhash import slices
@@ -188,20 +188,8 @@ class Decoder:
         return out[1:] if out.startswith(" ") else out
 
 
-_encoders: dict[str, tuple[Encoder, Decoder]] = {}
-
-
 def _coders(path: str, model) -> tuple[Encoder, Decoder]:
-    if path not in _encoders:
-        _encoders[path] = (Encoder(*model), Decoder(*model))
-    return _encoders[path]
-
-
-def _coders_done() -> None:
-    """Forget the words seen; the tables of the model stay."""
-    for encoder, _ in _encoders.values():
-        encoder.older = {}
-        encoder.clear()
+    return hold("sentence_pieces", path, lambda: (Encoder(*model), Decoder(*model)))
 
 
 def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
@@ -226,7 +214,13 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 names=["doc_id", "n_ids", "ids", "round_trip"],
             )
 
-    return map_arrow(id_text(docs), work, "doc_id long, n_ids long, ids array<int>, round_trip boolean", _coders_done)
+    def done() -> None:
+        """Forget the words seen; the tables of the model stay."""
+        for encoder, _ in filter(None, [held("sentence_pieces", path)]):
+            encoder.older = {}
+            encoder.clear()
+
+    return map_arrow(id_text(docs), work, "doc_id long, n_ids long, ids array<int>, round_trip boolean", done)
 
 
 def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from forecastlab.llm.common import id_text, map_arrow, table
+from forecastlab.llm.common import hold, id_text, map_arrow, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.sentence_pieces import joined_pairs, word_pattern
 from forecastlab.llm.vocabulary import MODEL_PATH, SPACE, UNKNOWN_SCORE, load_pieces, piece_scores
@@ -96,17 +96,12 @@ class PrefixTrie:
         return tokens, total
 
 
-_tries: dict[str, PrefixTrie] = {}
-
-
 def token_counts(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """``(doc_id, n_pretokens, n_tokens, score)`` of every whole text; ``score`` is the log probability of its best segmentation."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path)[0])  # bounded: one vocabulary file
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        trie = _tries.get(path)
-        if trie is None:
-            trie = _tries[path] = PrefixTrie(piece_scores(shared.value))
+        trie = hold("token_counts", path, lambda: PrefixTrie(piece_scores(shared.value)))
         words = word_pattern(joined_pairs(shared.value)).findall
         for start, rows in slices(batch.column("text")):
             counted = []

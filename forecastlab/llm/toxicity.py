@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forecastlab.llm.common import bounded_sample, fold, held_out, id_text, map_arrow, one_label, table
+from forecastlab.llm.common import bounded_sample, fold, held_out, hold, id_text, map_arrow, one_label, table
 from forecastlab.llm.registry import query
 from forecastlab.llm.wordhash import slices
 from forecastlab.session import settle
@@ -196,15 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return Model(entries, fit_curve(x, np.array([r["toxic"] for r in rows], dtype=float)))
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def _matcher(model: Model) -> Matcher:
-    key = zlib.crc32(repr(model).encode())
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(model)
-    return _matchers[key]
+    return hold("toxicity", zlib.crc32(repr(model).encode()), lambda: Matcher(model))
 
 
 def _features(sample: DataFrame, model: Model) -> DataFrame:

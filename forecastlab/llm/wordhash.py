@@ -74,7 +74,9 @@ def words_of(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray,
     before = offsets[(offsets > 0) & (offsets <= n)] - 1
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    sums = np.cumsum(_BYTE[_LOWER[data]] * _power(_BASE, n))
+    sums = _BYTE[_LOWER[data]]  # in place: the arrays are eight times the slice
+    sums *= _power(_BASE, n)
+    np.cumsum(sums, out=sums)
     value = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
     value = mix(value * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
     return value, np.searchsorted(starts, offsets)

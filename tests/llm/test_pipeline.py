@@ -88,3 +88,16 @@ def test_learning_ignores_held_out_labels(spark, tmp_path):
     models = [toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")) for rows in (right, wrong)]
     assert models[0] == models[1]
     assert docs.where(F.col("doc_id") >= 0).count() == 200
+
+
+def test_a_worker_holds_one_operators_tables():
+    """Python workers live through all stages: the tables of the last operator go before new ones are made, or when a task starts empty."""
+    from forecastlab.llm import common
+
+    made = []
+    one = common.hold("one", 1, lambda: made.append("one") or [1])
+    assert common.hold("one", 1, lambda: made.append("again")) is one and made == ["one"]
+    common.hold("two", 1, lambda: made.append("two") or [2])
+    assert common.held("one", 1) is None and common.held("two", 1) == [2] and len(common._held) == 1
+    common.start_empty()
+    assert not common._held
