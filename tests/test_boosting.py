@@ -350,3 +350,43 @@ def test_edges_read_the_rows_twice(spark, monkeypatch):
     rows = spark.createDataFrame([(float(k % 7), float(k)) for k in range(3000)], "a double, b double")
     few, many = boosting.bin_edges(rows, ["a", "b"], 32)
     assert len(asked) == 1 and few.tolist() == [0, 1, 2, 3, 4, 5] and len(many) == 31
+
+
+def test_features_share_codes(monkeypatch):
+    """One pass counts several features, and the sums are those of each feature alone, missing values and fractions of weights included."""
+    rng = np.random.default_rng(31)
+    n, widths = 5000, [2, 2, 8, 65, 65, 30, 64, 5]
+    bins = np.column_stack([rng.integers(0, k, n) for k in widths]).astype(np.uint8)
+    bins[rng.random(n) < 0.2, 3:5] = boosting.MISSING
+    y, n_bins, calls, counted = rng.normal(size=n), 66, [], np.bincount
+    node = rng.integers(-1, 3, n)
+    node[:4000] = np.minimum(node[:4000], 1)  # one node has few rows
+    for w in (np.ones(n), rng.integers(1, 9, n).astype(float), rng.random(n) + 0.1):
+        rows = boosting._Rows([(0, bins[:3000], y[:3000], w[:3000], y[:3000]), (1, bins[3000:], y[3000:], w[3000:], y[3000:])], len(widths))
+        told = rows.sums(node, 3, list(range(len(widths))), w * y, n_bins)
+        for f in range(len(widths)):
+            code = node * n_bins + np.minimum(bins[:, f], n_bins - 1)
+            for k, weight in ((0, w * y), (1, w)):
+                plain = np.bincount(code[node >= 0], weight[node >= 0], 3 * n_bins).reshape(3, n_bins)
+                assert np.allclose(told[k, :, f], plain) and np.array_equal(told[2, :, f] > 0, plain != 0) or k == 0
+        monkeypatch.setattr(boosting.np, "bincount", lambda *a, **k: calls.append(1) or counted(*a, **k))
+        calls.clear()
+        rows.sums(np.zeros(n, np.int64), 1, list(range(len(widths))), w * y, n_bins, [None])
+        monkeypatch.setattr(boosting.np, "bincount", counted)
+        assert len(calls) < len(widths) * 2
+
+
+def test_replaced_blocks_are_deleted(spark, monkeypatch):
+    """However many trees there are, the folder keeps the first blocks and no copy of them; quantiles of leaves write nothing."""
+    import glob
+
+    from forecastlab.session import shared_dir
+
+    monkeypatch.setattr(boosting, "RENEW", 2)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    rows = to_spark(spark, panel(600, 32))
+    folder = f"{shared_dir(spark).removeprefix('file:')}/forecastlab"
+    before = set(glob.glob(f"{folder}/*"))
+    model = boosting.fit(rows, FEATURES, "y", [Job("m", Params(rounds=5, depth=2, patience=9, quantile=0.7))], held=F.col("held"))[0]
+    written = set(glob.glob(f"{folder}/*")) - before
+    assert len(model.history) == 6 and len(written) == 1 and "tree_blocks" in written.pop()
