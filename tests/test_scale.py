@@ -91,3 +91,59 @@ def test_ridge_lines_write_fitted_rows_only(spark):
     assert not [path for path in written if "rolling_table" in path or "ridge_table" in path]
     fitted = [spark.read.parquet(path) for path in written if "ridge_rows" in path]
     assert len(fitted) == 2 and all(rows.count() > 0 == rows.filter(F.col("local_relative_power").isNull()).count() for rows in fitted)
+
+
+def test_rolling_trees_write_known_rows_only(spark, monkeypatch):
+    # The predicted rows of all members are read as they are made; the rows to learn from are written once for all models of the report.
+    from forecastlab.catalog import models
+
+    monkeypatch.setattr(models, "ROLLING", models.replace(models.ROLLING, rounds=1, depth=1))
+    folder = f"{shared_dir(spark)}/forecastlab"
+    for name, members in (("bt_rolling_trees", 1), ("eval_report_calibrated", 15)):
+        before = set(glob.glob(f"{folder}/*"))
+        entry.queries()[name](spark, SMALL)
+        written = set(glob.glob(f"{folder}/*")) - before
+        assert not [path for path in written if "rolling_table" in path], name
+        (known,) = [spark.read.parquet(path) for path in written if "tree_rows" in path]
+        assert known.count() > 0 == known.filter(F.col("local_relative_power").isNull()).count() and known.select("em").distinct().count() == members, name
+
+
+def test_first_member_models_write_what_they_use(spark):
+    from forecastlab.catalog import models
+
+    lab = Lab(spark, SMALL)
+    train, held, later = models.first_split(lab)
+    whole = models.full_split(lab)
+    first = F.col("em") == 0
+    assert train.filter(~first).count() == held.filter(~first).count() == 0 < train.count() == whole[0].filter(first).count()
+    assert held.count() == whole[1].filter(first).count() and later.count() == whole[2].count() > 0
+
+
+def test_units_meet_narrow_forecasts(spark):
+    # Where units are too many to broadcast, the rows that are shuffled for them don't have the members side by side.
+    def joins(node):
+        found = [node] if node.nodeName() == "Join" else []
+        return found + [j for k in range(node.children().size()) for j in joins(node.children().apply(k))]
+
+    lab = Lab(spark, SMALL)
+    for table in (entry.queries()["feat_hub_air"](spark, SMALL), lab.local_pred_wide, lab.local_cells):
+        found = joins(table._jdf.queryExecution().optimizedPlan())
+        assert found and all(j.children().apply(k).output().size() < 20 for j in found for k in range(2))
+
+
+def test_asked_nowcasts_equal_the_whole(spark):
+    from forecastlab.plans import local
+
+    lab = Lab(spark, SMALL)
+    issues = lab.calendar.select("time_ref").distinct()
+    assert lab.calendar.exceptAll(lab.forecast_wide.select("time_ref", "time").distinct()).count() == 0 < lab.calendar.count() == lab.forecast_wide.select("time_ref", "time").distinct().count()
+    whole = local.nowcast_features(lab.nowcast).join(issues, "time_ref", "left_semi")
+    asked = local.nowcast_features(lab.nowcast, asked=issues)
+    keys = ["windpark_statnet", "time_ref"]
+    columns = [*keys, *[c for c in whole.columns if c not in keys]]
+    assert set(asked.columns) == set(whole.columns)
+    one, other = (x.select(columns).toPandas().sort_values(keys).reset_index(drop=True) for x in (asked, whole))
+    import pandas as pd
+
+    pd.testing.assert_frame_equal(one, other)
+    assert len(one) > 10
